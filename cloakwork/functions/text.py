@@ -21,6 +21,12 @@ SCRIPT_RUNS = [
 ]
 # Latin Extended-A alternates upper and lower case, so a letter there moves by an even step.
 PAIRED_RUN = (0x100, 0x137)
+RUN_TABLE = "array({})".format(
+    ", ".join(
+        f"named_struct('low', {low}, 'high', {high}, 'step', {step})"
+        for low, high, step in [(a, b, 1) for a, b in SCRIPT_RUNS] + [(*PAIRED_RUN, 2)]
+    )
+)
 
 
 def positions(chars: Column, pattern: str) -> Column:
@@ -123,21 +129,21 @@ def moved_letter(char: Column, draw: Callable[[Column | int], Column]) -> Column
         .when((code >= 65) & (code <= 90), F.char(65 + (code - 65 + 1 + draw(25)) % 26))
         .when(code < 128, char)
     )
-    for low, high in SCRIPT_RUNS:
-        span = high - low + 1
-        out = out.when(
-            (code >= low) & (code <= high), code_point(low + (code - low + 1 + draw(span - 1)) % span)
+    def in_run(run: Column) -> Column:
+        low, step = run["low"], run["step"]
+        places = (run["high"] - low + 1) / step
+        moved = low + (code - low + step * (1 + draw((places - 1).cast("bigint")))) % (run["high"] - low + 1)
+        fallback = (
+            F.when(char.rlike(r"^\p{Lu}$"), F.lit("X"))
+            .when(char.rlike(r"^\p{L}$"), F.lit("x"))
+            .when(char.rlike(r"^\p{Nd}$"), F.lit("0"))
+            .otherwise(char)
         )
-    low, high = PAIRED_RUN
-    half = (high - low + 1) // 2
-    step = low + (code - low + 2 + 2 * draw(half - 1)) % (high - low + 1)
-    out = out.when((code >= low) & (code <= high), code_point(step))
-    return (
-        out.when(char.rlike(r"^\p{Lu}$"), F.lit("X"))
-        .when(char.rlike(r"^\p{L}$"), F.lit("x"))
-        .when(char.rlike(r"^\p{Nd}$"), F.lit("0"))
-        .otherwise(char)
-    )
+        return F.when(run.isNull(), fallback).otherwise(code_point(moved.cast("bigint")))
+
+    runs = F.expr(RUN_TABLE)
+    own = F.get(F.filter(runs, lambda r: (code >= r["low"]) & (code <= r["high"])), F.lit(0))
+    return out.otherwise(let(own, in_run))
 
 
 def shuffle_letters(value: Column, stream: Column, keep_digits: Column | int = 0) -> Column:
