@@ -206,9 +206,8 @@ def calling_code_length(value: Column) -> Column:
     )
 
 
-def fictional_phone(key: MaskKey, value: Column, salt: Salt, keep_area: bool) -> Column:
-    """NANP number moved into 555-0100..0199; null for other shapes."""
-    digits = only_digits(value)
+def fictional_digits(key: MaskKey, digits: Column, salt: Salt, keep_area: bool) -> Column:
+    """NANP digits moved into 555-0100..0199; null for other lengths."""
     country = (F.length(digits) == 11) & digits.startswith("1")
     body = F.when(country, F.substring(digits, 2, 10)).when(F.length(digits) == 10, digits)
 
@@ -222,11 +221,16 @@ def fictional_phone(key: MaskKey, value: Column, salt: Salt, keep_area: bool) ->
         number = F.concat(area, F.lit("555"), F.lpad((100 + line).cast("string"), 4, "0"))
         other = F.concat(area, F.lit("555"), F.lpad((100 + (line + 1) % 100).cast("string"), 4, "0"))
         new = F.when(number == original, other).otherwise(number)
-        return F.when(original.isNotNull(), put_digits(value, F.when(country, F.concat(F.lit("1"), new)).otherwise(new)))
+        return F.when(original.isNotNull(), F.when(country, F.concat(F.lit("1"), new)).otherwise(new))
 
     return let(body, build)
 
 
+def fictional_phone(key: MaskKey, value: Column, salt: Salt, keep_area: bool) -> Column:
+    new = fictional_digits(key, only_digits(value), salt, keep_area)
+    return let(new, lambda digits: F.when(digits.isNotNull(), put_digits(value, digits)))
+
+
 def phone(key, value, salt, p1=None, p2=None, row=None):
     mode = mode_of(p1, "FORMAT_PRESERVE")
     if mode == "REDACT":
@@ -235,9 +239,7 @@ def phone(key, value, salt, p1=None, p2=None, row=None):
         return keep_ends(value, "X", 0, 4, r"^\p{Nd}$")
     if mode == "DIGITS_ONLY":
         digits = only_digits(value)
-        return F.coalesce(
-            only_digits(fictional_phone(key, value, salt, False)), keep_format(key, digits, salt)
-        )
+        return F.coalesce(fictional_digits(key, digits, salt, False), keep_format(key, digits, salt))
     if mode == "PRESERVE_AREA":
         digits = only_digits(value)
         kept = F.least(F.when(calling_code_length(value) > 0, calling_code_length(value) + 3).otherwise(3), F.length(digits))
@@ -1118,7 +1120,7 @@ def split_digits(key: MaskKey, value: Column, own: str | None, columns: str | No
     if whole == "ssn":
         masked = only_digits(ssn(key, joined, "ssn", None, "DIGITS_ONLY"))
     else:
-        masked = only_digits(phone(key, joined, "phone"))
+        masked = F.coalesce(fictional_digits(key, joined, "phone", False), keep_format(key, joined, "phone"))
 
     def slice_of(text: Column) -> Column:
         own_part = F.substr(text, before + 1, F.length(cells[place]))

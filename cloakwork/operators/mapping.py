@@ -47,22 +47,29 @@ class ColumnMap:
     p2: str | None = None
 
 
+def select_as(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Select under temporary names, then rename: inside a lambda Spark may read a column name as the alias of an
+    earlier column of the same select, so a result must not carry the name of an input while it is computed."""
+    names = list(columns)
+    return df.select(*[columns[n].alias(f"_out_{i}") for i, n in enumerate(names)]).toDF(*names)
+
+
 def map_columns(df: DataFrame, maps: Sequence[ColumnMap], key: MaskKey | None = None) -> DataFrame:
     row = Row({c.lower(): F.col(c) for c in df.columns})
-    out: list[Column] = []
+    out: dict[str, Column] = {}
     for m in maps:
         action = m.action.upper()
         if action == "UNUSED":
             continue
         if action == "LITERAL":
-            out.append(F.lit(m.literal).alias(m.target))
+            out[m.target] = F.lit(m.literal)
         elif action == "MASK":
             if key is None:
                 raise ValueError("MASK columns need a key")
-            out.append(mask(m.function, F.col(m.source), key, m.salt, m.p1, m.p2, row).alias(m.target))
+            out[m.target] = mask(m.function, F.col(m.source), key, m.salt, m.p1, m.p2, row)
         else:
-            out.append(F.col(m.source or m.target).alias(m.target))
-    return df.select(*out)
+            out[m.target] = F.col(m.source or m.target)
+    return select_as(df, out)
 
 
 def join_on(left: DataFrame, right: DataFrame, links: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
