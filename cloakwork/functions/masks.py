@@ -236,7 +236,7 @@ def phone(key, value, salt, p1=None, p2=None, row=None):
     if mode == "REDACT":
         return F.regexp_replace(value, r"\d", "*")
     if mode == "KEEP_LAST4":
-        return keep_ends(value, "X", 0, 4, r"^\p{Nd}$")
+        return keep_ends(value, "X", 0, 4, r"\p{Nd}")
     if mode == "DIGITS_ONLY":
         digits = only_digits(value)
         return F.coalesce(fictional_digits(key, digits, salt, False), keep_format(key, digits, salt))

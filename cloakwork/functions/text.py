@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -52,25 +53,22 @@ def only_alnum(value: Column) -> Column:
 def put_back(value: Column, replacement: Column, pattern: str, tail: bool = True) -> Column:
     """Write ``replacement`` over the matching characters of ``value``, left to right; layout stays."""
 
-    return let(replacement, lambda new: _fill_with(value, new, pattern, tail))
-
-
-def _fill_with(value: Column, new: Column, pattern: str, tail: bool) -> Column:
-    def fill(chars: Column) -> Column:
-        def write(where: Column) -> Column:
-            def pick(c: Column, i: Column) -> Column:
-                place = F.array_position(where, i).cast("int")
-                return F.when((place > 0) & (place <= F.length(new)), F.substr(new, place, F.lit(1))).otherwise(c)
+    def write(new: Column) -> Column:
+        def step(state: Column, char: Column) -> Column:
+            fits = char.rlike(pattern) & (state["used"] < F.length(new))
+            used = state["used"] + 1
+            return F.struct(
+                F.concat(state["out"], F.when(fits, F.substr(new, used, F.lit(1))).otherwise(char)).alias("out"),
+                F.when(fits, used).otherwise(state["used"]).alias("used"),
+            )
 
-            body = F.array_join(F.transform(chars, pick), "")
-            if not tail:
-                return body
-            rest = (F.size(where) + 1).cast("int")
-            return F.when(F.length(new) >= rest, F.concat(body, F.substr(new, rest))).otherwise(body)
+        def finish(state: Column) -> Column:
+            return F.concat(state["out"], F.substr(new, state["used"] + 1)) if tail else state["out"]
 
-        return let(positions(chars, pattern), write)
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
+        return F.aggregate(characters(value), start, step, finish)
 
-    return let(characters(value), fill)
+    return let(replacement, write)
 
 
 def put_digits(value: Column, digits: Column) -> Column:
@@ -94,25 +92,23 @@ def put_alnum(value: Column, text: Column) -> Column:
     return F.when(value.rlike("^[0-9A-Z]*$"), text).otherwise(let(put_back(value, text, ALNUM, tail=False), fit))
 
 
-def keep_ends(value: Column, mask: str, first: int, last: int, pattern: str = ALNUM) -> Column:
+def keep_ends(value: Column, mask: str, first: int, last: int, pattern: str = r"[\p{L}\p{Nd}]") -> Column:
     """Replace matching characters by ``mask`` except the first and last few of them."""
+    if first == 0 and last == 0:
+        return F.regexp_replace(value, pattern, F.lit(re.sub(r"([\\$])", r"\\\1", mask)))
+    total = F.length(value) - F.length(F.regexp_replace(value, pattern, ""))
 
-    def walk(chars: Column) -> Column:
-        def write(where: Column) -> Column:
-            total = F.size(where)
-            return F.array_join(
-                F.transform(
-                    chars,
-                    lambda c, i: F.when(
-                        (F.array_position(where, i) > first) & (F.array_position(where, i) <= total - last), F.lit(mask)
-                    ).otherwise(c),
-                ),
-                "",
-            )
-
-        return let(positions(chars, pattern), write)
+    def step(state: Column, char: Column) -> Column:
+        hit = char.rlike(pattern)
+        seen = state["seen"] + 1
+        hidden = hit & (seen > first) & (seen <= total - last)
+        return F.struct(
+            F.concat(state["out"], F.when(hidden, F.lit(mask)).otherwise(char)).alias("out"),
+            F.when(hit, seen).otherwise(state["seen"]).alias("seen"),
+        )
 
-    return let(characters(value), walk)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
+    return F.aggregate(characters(value), start, step, lambda state: state["out"])
 
 
 def code_point(number: Column) -> Column:
