@@ -14,12 +14,16 @@ from cloakwork.functions.masks import mask
 
 @dataclass(frozen=True)
 class TextRule:
-    """``value`` says where the value sits in a match: whole, after a lead pattern, or the first n characters."""
+    """The value is the whole match, what follows a lead pattern, or the first n characters of the match.
+
+    ``needs`` is a cheap pattern that every text with a match must contain; other texts skip the rule.
+    """
 
     name: str
     kind: str
     pattern: str
     function: str
+    needs: str = ""
     lead: str | None = None
     head: int | None = None
     p1: str | None = None
@@ -35,20 +39,20 @@ NAME_END = r"(?=\s*(?:[,;:]|\bmy\b|\b(?:ssn|social|phone|email|card|account|dob|
 SSN_LABEL = r"(?:ssn|social\s+security(?:\s+number)?)"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 DEFAULT_RULES = [
-    TextRule("Contextual full name", "FULL_NAME", NAME_LEAD + NAME_VALUE + NAME_END, "FULL_NAME", lead=NAME_LEAD),
+    TextRule("Contextual full name", "FULL_NAME", NAME_LEAD + NAME_VALUE + NAME_END, "FULL_NAME", "name|customer|client|patient", lead=NAME_LEAD),
     TextRule(
-        "Compact SSN after label", "SSN", SSN_LABEL + r"\s*(?:is|[:=#-])?\s*\d{9}(?!\d)", "SSN",
+        "Compact SSN after label", "SSN", SSN_LABEL + r"\s*(?:is|[:=#-])?\s*\d{9}(?!\d)", "SSN", r"\d{9}",
         lead=SSN_LABEL + r"\s*(?:is|[:=#-])?\s*",
     ),
-    TextRule("Compact SSN before label", "SSN", r"(?<!\d)\d{9}\s*(?:is\s+)?(?:my\s+)?" + SSN_LABEL, "SSN", head=9),
-    TextRule("Email address", "EMAIL", r"(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![A-Z0-9])", "EMAIL"),
-    TextRule("US Social Security number", "SSN", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", "SSN"),
-    TextRule("Payment card", "CREDIT_CARD", r"(?<!\d)(?:\d[ -]?){12,19}(?!\d)", "CREDIT_CARD"),
-    TextRule("IBAN", "IBAN", r"(?<![A-Z0-9])[A-Z]{2}\d{2}[A-Z0-9]{10,30}(?![A-Z0-9])", "IBAN"),
-    TextRule("IPv4 address", "IP_ADDRESS", rf"(?<!\d){OCTET}(?:\.{OCTET}){{3}}(?!\d)", "IP_ADDRESS"),
-    TextRule("MAC address", "MAC_ADDRESS", r"(?<![0-9A-F])(?:[0-9A-F]{2}[:-]){5}[0-9A-F]{2}(?![0-9A-F])", "MAC_ADDRESS"),
+    TextRule("Compact SSN before label", "SSN", r"(?<!\d)\d{9}\s*(?:is\s+)?(?:my\s+)?" + SSN_LABEL, "SSN", r"\d{9}", head=9),
+    TextRule("Email address", "EMAIL", r"(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![A-Z0-9])", "EMAIL", "@"),
+    TextRule("US Social Security number", "SSN", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", "SSN", r"\d-\d{2}-\d"),
+    TextRule("Payment card", "CREDIT_CARD", r"(?<!\d)(?:\d[ -]?){12,19}(?!\d)", "CREDIT_CARD", r"(?:\d[ -]?){12}"),
+    TextRule("IBAN", "IBAN", r"(?<![A-Z0-9])[A-Z]{2}\d{2}[A-Z0-9]{10,30}(?![A-Z0-9])", "IBAN", r"[A-Z]{2}\d{2}"),
+    TextRule("IPv4 address", "IP_ADDRESS", rf"(?<!\d){OCTET}(?:\.{OCTET}){{3}}(?!\d)", "IP_ADDRESS", r"\d\.\d"),
+    TextRule("MAC address", "MAC_ADDRESS", r"(?<![0-9A-F])(?:[0-9A-F]{2}[:-]){5}[0-9A-F]{2}(?![0-9A-F])", "MAC_ADDRESS", "[0-9A-F]{2}[:-][0-9A-F]{2}[:-]"),
     TextRule(
-        "Phone number", "PHONE", r"(?<!\w)(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\w)", "PHONE"
+        "Phone number", "PHONE", r"(?<!\w)(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\w)", "PHONE", r"\d{3}\)?[ .-]?\d{4}"
     ),
 ]
 
@@ -97,11 +101,15 @@ def mask_text(text: Column, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_RU
         for i, rule in enumerate(rules):
             new, count = apply_rule(rule, state["text"], key)
             result = F.struct(new.alias("text"), F.concat(state["found"], F.array(count)).alias("found"))
+            skipped = F.struct(state["text"].alias("text"), F.concat(state["found"], F.array(F.lit(0))).alias("found"))
+            result = F.when(state["text"].rlike(f"(?iu){rule.needs}"), result).otherwise(skipped)
             out = F.when(place == i, result) if out is None else out.when(place == i, result)
         return out.otherwise(state)
 
     steps = F.array(*[F.lit(i) for i in range(len(rules))])
-    return F.when(text.isNotNull(), F.aggregate(steps, start, step))
+    nothing = F.struct(text.alias("text"), F.array(*[F.lit(0) for _ in rules]).alias("found"))
+    hints = "(?iu)" + "|".join(dict.fromkeys(rule.needs for rule in rules))
+    return F.when(text.rlike(hints), F.aggregate(steps, start, step)).when(text.isNotNull(), nothing)
 
 
 def masked_text(text: Column, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_RULES) -> Column:
