@@ -229,14 +229,12 @@ def findings(scores: DataFrame) -> DataFrame:
         "value_share", F.when(strong, share).otherwise(F.lit(0.0))
     )
     scored = scored.withColumn("pii_type", F.coalesce("value_type", "name_type")).where("pii_type IS NOT NULL")
-    safe = F.create_map(
-        *[
-            F.lit(x)
-            for pii, fn in SUGGESTED.items()
-            for kind in ("TEXT", "NUMERIC", "DATE", "BOOLEAN", "BINARY", "OTHER")
-            for x in (f"{pii}/{kind}", safe_function(fn, kind))
-        ]
-    )
+    entries = [
+        f"'{pii}/{kind}', '{safe_function(fn, kind)}'"
+        for pii, fn in SUGGESTED.items()
+        for kind in ("TEXT", "NUMERIC", "DATE", "BOOLEAN", "BINARY", "OTHER")
+    ]
+    safe = F.expr(f"map({', '.join(entries)})")
     suggested = F.try_element_at(safe, F.concat_ws("/", "pii_type", "category"))
     return scored.select(
         "table_name", "column_name", "category", "pii_type",

@@ -137,12 +137,19 @@ def tops(t):
 
 
 @query(
-    "profile_dates_and_flags",
-    "SELECT 'l_shipdate' AS column_name, min(l_shipdate)::DATE AS first, max(l_shipdate)::DATE AS last, CAST(round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) * 100) AS INT) AS percent_true FROM lineitem",
+    "profile_date_range",
+    "SELECT 'l_shipdate' AS column_name, min(l_shipdate)::DATE AS first, max(l_shipdate)::DATE AS last FROM lineitem",
 )
 def dates(t):
-    flags = dis.percent_true(t.lineitem.select((F.col("l_returnflag") == "R").alias("returned")), ["returned"])
-    return dis.date_ranges(t.lineitem.select("l_shipdate")).crossJoin(F.broadcast(flags.select("percent_true")))
+    return dis.date_ranges(t.lineitem.select("l_shipdate"))
+
+
+@query(
+    "profile_percent_true",
+    "SELECT 'returned' AS column_name, CAST(round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) * 100) AS INT) AS percent_true FROM lineitem",
+)
+def flags(t):
+    return dis.percent_true(t.lineitem.select((F.col("l_returnflag") == "R").alias("returned")), ["returned"])
 
 
 @query(
