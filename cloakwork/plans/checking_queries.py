@@ -216,31 +216,38 @@ def posture(t):
     return chk.posture(history)
 
 
+SEGMENT = 50
+
+
+def chained(rows):
+    """Events with a real hash chain in segments of fifty; each segment starts with an anchor."""
+    event = F.struct(*rows.columns)
+    groups = rows.groupBy(F.floor(F.col("seq") / SEGMENT).alias("segment")).agg(F.sort_array(F.collect_list(event)).alias("events"))
+
+    def step(done, e):
+        previous = F.when(F.size(done) > 0, F.element_at(done, -1)["hash"]).otherwise("")
+        own = chk.event_hash(previous, [e["seq"], e["event_type"], e["user_id"]])
+        return F.concat(done, F.array(F.struct(e["seq"].alias("seq"), e["event_type"].alias("event_type"), e["user_id"].alias("user_id"), previous.alias("prev_hash"), own.alias("hash"))))
+
+    kind = "array<struct<seq:bigint,event_type:string,user_id:bigint,prev_hash:string,hash:string>>"
+    chain = F.aggregate("events", F.array().cast(kind), lambda done, e: F.when(F.size(done) > 0, step(done, e)).otherwise(step(F.array().cast(kind), e)))
+    return groups.select(F.explode(chain).alias("e")).select("e.*")
+
+
 @query(
     "check_audit_chain",
-    "SELECT event_id AS seq, CASE WHEN event_id % 997 = 5 THEN 'CONTENT_MISMATCH' ELSE 'LINK_BREAK' END AS reason FROM events WHERE event_id % 997 = 5 OR (event_id % 1009 = 7 AND event_id % 997 <> 5)",
+    "SELECT event_id AS seq, CASE WHEN event_id % 997 = 5 THEN 'CONTENT_MISMATCH' ELSE 'LINK_BREAK' END AS reason FROM events "
+    "WHERE event_id % 997 = 5 OR event_id % 1009 = 7 OR (event_id % 1009 = 8 AND event_id % 50 <> 0)",
 )
 def audit(t):
-    """Hash chain over the events with planted breaks: changed content, and a wrong link with a fresh hash."""
-    rows = t.events.select(F.col("event_id").alias("seq"), "event_type", "user_id")
-    own = lambda shift: F.sha2((F.col("seq") + shift).cast("string"), 256)
-    # Links are stand-in values of the neighbour's number, so that the chain can be built without a running scan.
-    linked = rows.withColumn("prev_hash", F.when(F.col("seq") > 0, own(-1)).otherwise("")).withColumn("hash", own(0))
-    broken = F.col("seq") % 1009 == 7
-    linked = linked.withColumn("prev_hash", F.when(broken, F.lit("tampered")).otherwise(F.col("prev_hash")))
-    changed = linked.withColumn("content_ok", F.col("seq") % 997 != 5)
-    return audit_breaks(changed)
-
-
-def audit_breaks(chain):
-    from cloakwork.operators.positions import with_sequence
-
-    placed = with_sequence(chain, ["seq"], "_pos")
-    before = placed.select((F.col("_pos") + 1).alias("_pos"), F.col("hash").alias("_expected"))
-    joined = placed.join(before, "_pos", "left")
-    link = F.col("_expected").isNotNull() & ~F.col("prev_hash").eqNullSafe(F.col("_expected"))
-    reason = F.when(~F.col("content_ok"), "CONTENT_MISMATCH").when(link, "LINK_BREAK")
-    return joined.select("seq", reason.alias("reason")).where("reason IS NOT NULL")
+    """Planted breaks: changed content, and a wrong link with a fresh hash (which also breaks the link after it)."""
+    fields = ["seq", "event_type", "user_id"]
+    chain = chained(t.events.select(F.col("event_id").alias("seq"), "event_type", "user_id"))
+    moved = F.col("seq") % 1009 == 7
+    chain = chain.withColumn("prev_hash", F.when(moved, "tampered").otherwise(F.col("prev_hash")))
+    chain = chain.withColumn("hash", F.when(moved, chk.event_hash(F.col("prev_hash"), [F.col(c) for c in fields])).otherwise(F.col("hash")))
+    chain = chain.withColumn("user_id", F.when(F.col("seq") % 997 == 5, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    return chk.verify_chain(chain, "seq", fields, anchor=f"seq % {SEGMENT} = 0")
 
 
 @query(
