@@ -514,6 +514,15 @@ def date_shift(key, value, salt, p1=None, p2=None, row=None):
     return with_date(value, p2, lambda day: F.date_add(day, days))
 
 
+def shifted(key: MaskKey, value: Column, text: Column, salt: Salt, spec: str | None, row: Row | None) -> Column:
+    """DATE_SHIFT of a date or timestamp column without the way through text; same days as the text form."""
+    if row is not None and row.shared_shift is not None:
+        days = row.shared_shift
+    else:
+        days = shift_days(key.number(tag(salt, "|dshift"), text), *shift_range(spec))
+    return value + F.make_dt_interval(days=days)
+
+
 def dob_age_band(key, value, salt, p1=None, p2=None, row=None):
     band = max(1, int(p1)) if p1 and re.fullmatch(r"\s*-?\d+\s*", p1) else 5
     digest = key.draws(tag(salt, "|dob"), value).digest

@@ -14,6 +14,7 @@ from cloakwork.functions.keyed import iban_valid, luhn_valid
 from cloakwork.functions.masks import MARKS
 from cloakwork.functions.structured import MARKUP
 from cloakwork.operators.positions import top_in_group
+from cloakwork.session import spread
 
 # IBAN countries, column-name patterns, value patterns and suggested masks, in order of precedence.
 IBAN_COUNTRIES = (
@@ -185,12 +186,8 @@ def confidence(named: Column, by_value: Column, share: Column) -> Column:
     return F.least(score, F.lit(0.99))
 
 
-def column_scores(df: DataFrame, table: str, names: Mapping[str, str] = NAME_HINTS, values: Mapping[str, str] = VALUE_HINTS) -> DataFrame:
-    """One row per column: rows, hits per value type, a redacted sample.
-
-    A single scan: each row becomes (column, text) pairs that are tested once and summed before the shuffle, so the
-    plan does not grow with the number of columns and a few counters per column leave a task.
-    """
+def text_pairs(df: DataFrame, table: str, names: Mapping[str, str] = NAME_HINTS) -> DataFrame:
+    """Each row as (table, column, text) with what the column's name and type say about it."""
     pairs = []
     for f in df.schema.fields:
         kind = category(f.dataType)
@@ -198,22 +195,32 @@ def column_scores(df: DataFrame, table: str, names: Mapping[str, str] = NAME_HIN
         born = re.search(NAME_HINTS["DOB"], f.name, re.I) is not None
         pairs.append(
             F.struct(
-                F.lit(f.name).alias("column_name"), F.lit(kind).alias("category"),
+                F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(kind).alias("category"),
                 F.lit(name_hint(f.name, names)).cast("string").alias("name_type"), text.alias("text"),
                 F.lit(kind in ("TEXT", "DATE")).alias("tested"), F.lit(born).alias("born"),
             )
         )
-    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+
+
+def column_scores(
+    tables: Mapping[str, DataFrame], names: Mapping[str, str] = NAME_HINTS, values: Mapping[str, str] = VALUE_HINTS
+) -> DataFrame:
+    """One row per column: rows, hits per value type, a redacted sample.
+
+    One scan per table and one aggregate for all of them: each row becomes (column, text) pairs that are tested once
+    and summed before the shuffle, so the plan does not grow with the columns and few counters leave a task.
+    """
+    long = reduce(DataFrame.unionByName, [text_pairs(spread(df), name, names) for name, df in tables.items()])
     tested = F.when(F.col("tested") & F.col("text").isNotNull(), F.col("text"))
-    counted = long.groupBy("column_name", "category", "name_type").agg(
+    counted = long.groupBy("table_name", "column_name", "category", "name_type").agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(value_test(t, tested, F.col("born"), values)).alias(f"hits_{i}") for i, t in enumerate(values)],
         F.min("text").alias("least"),
     )
     hits = F.array(*[F.struct(F.lit(t).alias("kind"), F.col(f"hits_{i}").alias("hits")) for i, t in enumerate(values)])
     return counted.select(
-        F.lit(table).alias("table_name"), "column_name", "category", "name_type", "n_rows", hits.alias("hits"),
-        redacted_sample(F.col("least")).alias("sample"),
+        "table_name", "column_name", "category", "name_type", "n_rows", hits.alias("hits"), redacted_sample(F.col("least")).alias("sample")
     )
 
 
@@ -246,7 +253,7 @@ def findings(scores: DataFrame) -> DataFrame:
 
 def discover(tables: Mapping[str, DataFrame], **hints) -> DataFrame:
     """Findings of several tables."""
-    return reduce(DataFrame.unionByName, [findings(column_scores(df, name, **hints)) for name, df in tables.items()])
+    return findings(column_scores(tables, **hints))
 
 
 def leaf_findings(df: DataFrame, table: str, column: str, form: str = "marks") -> DataFrame:

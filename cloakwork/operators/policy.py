@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from cloakwork.functions import masks
 from cloakwork.functions.keyed import MaskKey
 from cloakwork.functions.masks import PRIORITY, SALTS, Row
+from cloakwork.operators.discovery import category
 from cloakwork.operators.positions import with_sequence
 from cloakwork.operators.subset import Edge, referenced_first
-from cloakwork.session import small_side
+from cloakwork.session import small_side, spread
 
 
 @dataclass(frozen=True)
@@ -178,7 +179,7 @@ def apply_policy(
     kinds = {f.name.lower(): f.dataType for f in df.schema.fields}
     if any(r.function.upper() == "SEQUENCE" for r in active):
         df = with_sequence(df, sequence_order or columns, "_row_index", 0)
-    df = with_joined_columns(df, active, others or {})
+    df = with_joined_columns(spread(df) if active else df, active, others or {})
     text = {c.lower(): source_text(F.col(c), kinds[c.lower()]) for c in columns}
     shift_rules = [r for r in active if r.function.upper() == "DATE_SHIFT"]
     span = masks.shared_range([r.p1 for r in shift_rules])
@@ -194,10 +195,14 @@ def apply_policy(
         for r in batch:
             source = r.column.lower()
             row = Row(text, siblings, shift, index)
-            masked = masks.mask(r.function, text[source], policy.key, policy.salt(r), r.p1, r.p2, row, r.multi_value)
+            original = text[source]
+            if r.function.upper() == "DATE_SHIFT" and not (r.p2 or r.multi_value) and category(kinds[source]) == "DATE":
+                masked, original = masks.shifted(policy.key, F.col(r.column), text[source], policy.salt(r), r.p1, row), F.col(r.column)
+            else:
+                masked = masks.mask(r.function, text[source], policy.key, policy.salt(r), r.p1, r.p2, row, r.multi_value)
             test = rule_condition(r, {c.lower(): F.col(c) for c in columns})
             if test is not None:
-                masked = F.when(test, masked).otherwise(text[source])
+                masked = F.when(test, masked).otherwise(original)
             new[f"_masked_{source}"] = masked
             done[source] = f"_masked_{source}"
         df = df.withColumns(new)

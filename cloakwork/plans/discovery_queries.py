@@ -28,7 +28,7 @@ def contacts(t):
     "SELECT 'site', 'URL', round(0.35 + 0.4 * count(*) FILTER (site LIKE 'https%') / (SELECT n FROM n), 4), 'TOKENIZE' FROM c",
 )
 def discover(t):
-    found = dis.findings(dis.column_scores(contacts(t), "contacts"))
+    found = dis.findings(dis.column_scores({"contacts": contacts(t)}))
     return found.select("column_name", "pii_type", "confidence", "suggested_function")
 
 
@@ -37,7 +37,7 @@ def discover(t):
     "SELECT 'url' AS column_name, 'URL' AS kind, count(*) FILTER (regexp_matches(trim(url), '^(?i:https?://|www\\.)[^\\s]+$')) AS hits FROM pages",
 )
 def value_hits(t):
-    scores = dis.column_scores(t.pages.select("url"), "pages")
+    scores = dis.column_scores({"pages": t.pages.select("url")})
     return scores.select("column_name", F.explode("hits").alias("h")).select("column_name", "h.kind", "h.hits").where("hits > 0 AND kind = 'URL'")
 
 
@@ -178,7 +178,7 @@ def suppression(t):
     "('site', 'URL', 'SUGGESTED'), ('phone_backup', 'EMAIL', 'SUGGESTED'), ('gone_reviewed', 'SSN', 'REJECTED')) f(column_name, pii_type, status) WHERE (SELECT count(*) FROM customer) > 0",
 )
 def rescan(t):
-    fresh = dis.findings(dis.column_scores(contacts(t), "contacts"))
+    fresh = dis.findings(dis.column_scores({"contacts": contacts(t)}))
     old = t.spark.createDataFrame(
         [
             ("contacts", "contact", "CUSTOM", 0.9, "TOKENIZE", "APPROVED"), ("contacts", "full_name", "EMAIL", 0.5, "EMAIL", "SUGGESTED"),

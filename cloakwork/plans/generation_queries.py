@@ -14,6 +14,7 @@ from cloakwork.operators.synthesis import Check, Col, Table
 from cloakwork.plans import sqltext as sql
 from cloakwork.functions import wordlists as words
 from cloakwork.plans.registry import query
+from cloakwork.session import spread
 
 GEN = MaskKey("synthetic", "7")
 
@@ -70,7 +71,7 @@ def contacts(t):
     " UNION ALL ".join(f"SELECT '{n}' AS network, count(*) AS n_rows, count(*) AS valid, count(*) AS distinct_cards FROM orders" for n in gen.CARDS),
 )
 def cards(t):
-    rows = t.orders.select((F.col("o_orderkey") + 1).alias("row"))
+    rows = spread(t.orders.select((F.col("o_orderkey") + 1).alias("row")))
     pairs = [F.struct(F.lit(n).alias("network"), gen.card_number(Source(GEN, f"c.{n}"), F.col("row"), n).alias("card"), F.lit(len_).alias("size")) for n, (_, len_) in gen.CARDS.items()]
     flat = rows.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
     return flat.groupBy("network").agg(

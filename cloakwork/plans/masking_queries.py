@@ -16,6 +16,7 @@ from cloakwork.operators.policy import lookup_by_table, pick_by_table
 from cloakwork.plans import sqltext as sql
 from cloakwork.plans.keys import KEY
 from cloakwork.plans.registry import query
+from cloakwork.session import spread
 
 # Inputs as expressions that both engines read the same way.
 SSN_DIGITS = "cast(100000000 + (c_custkey * 7919) % 800000000 as string)"
@@ -43,7 +44,7 @@ def add(name, fn, table, key, value, out_sql, p1=None, p2=None, salt=None):
 
     @query(name, sql_text)
     def build(t):
-        rows = getattr(t, table).select(key, F.expr(value).alias("v"))
+        rows = spread(getattr(t, table).select(key, F.expr(value).alias("v")))
         return rows.select(key, mask(fn, F.col("v"), KEY, salt, p1, p2).alias("masked"))
 
 
@@ -275,7 +276,7 @@ EVERY_CARD = "SELECT count(*) AS n_rows, count(*) AS valid, count(*) AS distinct
 
 def card_properties(t, mode, kept):
     body = F.expr(CARD_BODY)
-    rows = t.orders.select(F.concat(body, luhn_digit(body)).alias("v"))
+    rows = spread(t.orders.select("o_orderkey")).select(F.concat(body, luhn_digit(body)).alias("v"))
     rows = rows.select("v", mask("CREDIT_CARD", F.col("v"), KEY, None, mode).alias("m"))
     return rows.agg(
         F.count("*").alias("n_rows"), F.sum(luhn_valid(F.col("m")).cast("bigint")).alias("valid"),
@@ -397,7 +398,7 @@ MESSAGE = (
     "SELECT count(*) AS n_rows, count(*) AS same_length_header, count(*) AS amount_kept, 0 AS clear_name, 0 AS clear_account, count(*) AS address_kept FROM orders",
 )
 def swift_messages(t):
-    rows = t.orders.select(F.expr(MESSAGE).alias("v"), "o_totalprice", "o_custkey")
+    rows = spread(t.orders.select("o_orderkey", "o_custkey", "o_totalprice")).select(F.expr(MESSAGE).alias("v"), "o_totalprice", "o_custkey")
     rows = rows.withColumn("m", mask("SWIFT_MT", F.col("v"), KEY, "swift"))
     amount = F.concat(F.lit(":32A:240101USD"), F.col("o_totalprice").cast("decimal(14,2)").cast("string"), F.lit("\n"))
     own = F.concat(F.lit("/"), F.lpad(F.col("o_custkey").cast("string"), 10, "0"))

@@ -11,7 +11,7 @@ from cloakwork.operators.policy import Clause, Override, Policy, Rule
 from cloakwork.plans import sqltext as sql
 from cloakwork.plans.keys import EDGES, KEY, PRIMARY_KEYS
 from cloakwork.plans.registry import query
-from cloakwork.session import scratch_path
+from cloakwork.session import scratch_path, spread
 
 GIVEN = sql.first_name(KEY, "name.first", "c_name")
 
@@ -213,7 +213,7 @@ EMAIL_RE = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 )
 def text_documents(t):
     """E-mails found per document; every one is masked onto a reserved domain."""
-    done = t.documents.select("doc_id", freetext.mask_text(F.col("text"), KEY).alias("r"))
+    done = spread(t.documents.select("doc_id", "text")).select("doc_id", freetext.mask_text(F.col("text"), KEY).alias("r"))
     counted = done.select("doc_id", freetext.counts_by_kind(F.col("r.found")).alias("kinds"), F.col("r.text").alias("text"))
     return counted.select(
         "doc_id", F.coalesce(F.try_element_at("kinds", F.lit("EMAIL")), F.lit(0)).alias("emails"),
@@ -225,7 +225,7 @@ def text_documents(t):
 def text_counts(t):
     """Changed values per personal-data type over documents and conversations."""
     texts = t.documents.select("text").union(t.conversations.select("text"))
-    done = texts.select(freetext.mask_text(F.col("text"), KEY).alias("r"))
+    done = spread(texts).select(freetext.mask_text(F.col("text"), KEY).alias("r"))
     kinds = done.select(F.explode(freetext.counts_by_kind(F.col("r.found"))).alias("kind", "values"))
     return kinds.groupBy("kind").agg(F.sum("values").alias("changed"), F.count("*").alias("texts"))
 
@@ -251,7 +251,7 @@ def text_json(t):
 def text_html(t):
     """Text nodes masked; tags, scripts and styles untouched."""
     masked = structured.change_html_text(F.col("html"), freetext.text_changer(KEY))
-    rows = t.pages.select("page_id", masked.alias("m"))
+    rows = spread(t.pages.select("page_id", "html")).select("page_id", masked.alias("m"))
     return rows.select(
         "page_id", F.length(F.regexp_replace("m", "[^<]", "")).alias("tags_kept"), F.col("m").contains("<script>").alias("has_script")
     )

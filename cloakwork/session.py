@@ -63,3 +63,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a frame whose row count was checked; larger frames stay with AQE's choice."""
     seen = df.limit(rows + 1).count()
     return F.broadcast(df) if seen <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for costly expressions when the input has fewer splits than the cluster has cores.
+
+    Large inputs have many splits and pass through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
