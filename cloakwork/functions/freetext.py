@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import MaskKey, let, luhn_valid
-from cloakwork.functions.masks import mask
+from cloakwork.functions.masks import Row, mask
 
 
 @dataclass(frozen=True)
@@ -57,11 +57,16 @@ DEFAULT_RULES = [
 ]
 
 
+# Types whose default pattern finds nothing but values of the right shape.
+SHAPED = {"SSN", "CREDIT_CARD", "IP_ADDRESS", "MAC_ADDRESS", "PHONE"}
+
+
 def masked_match(rule: TextRule, match: Column, key: MaskKey) -> Column:
     salt = f"unstructured.{rule.kind.lower()}"
+    row = Row(shaped=rule in DEFAULT_RULES and rule.kind in SHAPED)
 
     def value_mask(value: Column) -> Column:
-        return F.coalesce(mask(rule.function, value, key, salt, rule.p1, rule.p2), F.lit(""))
+        return F.coalesce(mask(rule.function, value, key, salt, rule.p1, rule.p2, row), F.lit(""))
 
     if rule.lead:
         lead = F.regexp_extract(match, f"(?iu)^({rule.lead})", 1)

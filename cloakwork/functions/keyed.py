@@ -69,7 +69,12 @@ class Draws:
 
 def at(options: Sequence[str], position: Column) -> Column:
     """Entry of a short literal list at a zero-based position."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (position + 1).cast("int"))
+    return F.element_at(literal_list(tuple(options)), (position + 1).cast("int"))
+
+
+def literal_list(options: Sequence[str]) -> Column:
+    quoted = ", ".join("'" + o.replace("\\", "\\\\").replace("'", "\\'") + "'" for o in options)
+    return F.expr(f"array({quoted})")
 
 
 class MaskKey:

@@ -36,6 +36,7 @@ class Row:
     masked: Mapping[str, Column] = field(default_factory=dict)
     shared_shift: Column | None = None
     index: Column | None = None
+    shaped: bool = False  # the value is known to have the function's shape, so no other form is planned
 
     def original(self, name: str) -> Column:
         found = self.columns.get(name.strip().lower())
@@ -91,6 +92,13 @@ def character_map(key: MaskKey, value: Column, salt: Salt, spec: str | None = No
     )
 
 
+def or_else(shape: Column, masked: Column, other: Callable[[], Column], row: Row | None) -> Column:
+    """Mask of a value with the expected shape, the other form for the rest."""
+    if row is not None and row.shaped:
+        return masked
+    return F.when(shape, masked).otherwise(other())
+
+
 # ---------------------------------------------------------------- names and e-mail
 
 def first_pick(key: MaskKey, salt: Salt, value: Column) -> Column:
@@ -246,8 +254,11 @@ def phone(key, value, salt, p1=None, p2=None, row=None):
         rest = random_digits(key.stream(tag(salt, "|phone.area"), digits, F.length(digits)), F.length(digits) - kept)
         other = put_digits(value, F.concat(F.substr(digits, F.lit(1), kept), rest))
         return F.coalesce(fictional_phone(key, value, salt, True), other)
+    made = fictional_phone(key, value, salt, False)
+    if row is not None and row.shaped:
+        return made
     keep = calling_code_length(value) if mode_of(p2, "PRESERVE_COUNTRY") == "PRESERVE_COUNTRY" else 0
-    return F.coalesce(fictional_phone(key, value, salt, False), keep_format(key, value, salt, keep))
+    return F.coalesce(made, keep_format(key, value, salt, keep))
 
 
 def ssn_layout(digits: Column, layout: str, dashed: Column) -> Column:
@@ -264,15 +275,18 @@ def ssn(key, value, salt, p1=None, p2=None, row=None):
     digits = only_digits(value)
     shaped = F.length(digits) == 9
     dashed = value.contains("-")
-    other = keep_format(key, value, salt)
+
+    def other() -> Column:
+        return keep_format(key, value, salt)
+
     if mode == "FORMAT_PRESERVE":
-        return other
+        return other()
     if mode == "KEEP_LAST4":
         kept = ssn_layout(F.concat(F.lit("*****"), F.substring(digits, 6, 4)), layout, dashed)
-        return F.when(shaped, kept).otherwise(other)
+        return or_else(shaped, kept, other, row)
     if mode == "REDACT":
         stars = F.when(dashed | F.lit(layout == "DASHED"), F.lit("***-**-****")).otherwise(F.lit("*********"))
-        return F.when(shaped, stars).otherwise(other)
+        return or_else(shaped, stars, other, row)
 
     def build(d: Column) -> Column:
         draws = Draws(d)
@@ -286,7 +300,7 @@ def ssn(key, value, salt, p1=None, p2=None, row=None):
         serial = F.lpad((1 + draws.below(1, 9999)).cast("string"), 4, "0")
         return ssn_layout(F.concat(area, group, serial), layout, dashed)
 
-    return F.when(shaped, let(key.draws(tag(salt, "|ssn"), digits).digest, build)).otherwise(other)
+    return or_else(shaped, let(key.draws(tag(salt, "|ssn"), digits).digest, build), other, row)
 
 
 def power_of_ten(exponent: Column) -> Column:
@@ -363,38 +377,40 @@ def card_keeping_last4(key: MaskKey, digits: Column, salt: Salt) -> Column:
 def credit_card(key, value, salt, p1=None, p2=None, row=None):
     mode, layout = mode_of(p1, "VALID_PRESERVE_BIN"), mode_of(p2, "PRESERVE_FORMAT")
 
-    def body_permuted(digits: Column, prefix_size: Column, label: str) -> Column:
-        prefix = F.substr(digits, F.lit(1), prefix_size)
-        inner = F.substr(digits, prefix_size + 1, F.length(digits) - prefix_size - 1)
-        domain = F.concat(
-            salt if isinstance(salt, Column) else F.lit(salt), F.lit(f"{label}|length="),
-            F.length(digits).cast("string"), F.lit("|prefix="), prefix,
-        )
-        return let(
-            F.concat(prefix, permute_digits(key, inner, domain)), lambda body: F.concat(body, luhn_digit(body))
-        )
+    if mode in ("VALID_RANDOM_BIN", "REDACT"):
+        label = "|random-bin"
+    else:
+        label = "|format" if mode == "FORMAT_PRESERVE" else "|preserve-bin"
 
     def masked(digits: Column) -> Column:
+        size, base = F.length(digits), salt if isinstance(salt, Column) else F.lit(salt)
+        whole = F.concat(base, F.lit("|ccn-non-luhn|length="), size.cast("string"))
+
+        def nonconform() -> Column:
+            return keep_format(key, value, tag(salt, "|ccn-nonconform"))
+
         if mode in ("VALID_KEEP_LAST4", "KEEP_LAST4"):
-            good = card_keeping_last4(key, digits, salt)
-        elif mode in ("VALID_RANDOM_BIN", "REDACT"):
-            network = F.when(digits.rlike("^(3[47]|5[1-5])"), F.lit(2)).otherwise(F.lit(1))
-            good = body_permuted(digits, network, "|random-bin")
-        elif mode == "FORMAT_PRESERVE":
-            good = body_permuted(digits, F.lit(1), "|format")
+            bad = permute_digits(key, digits, whole)
+            full = F.when(luhn_valid(digits), card_keeping_last4(key, digits, salt)).otherwise(bad)
+            return or_else(size.between(12, 19), card_layout(full, value, layout), nonconform, row)
+        if mode in ("VALID_RANDOM_BIN", "REDACT"):
+            kept = F.when(digits.rlike("^(3[47]|5[1-5])"), F.lit(2)).otherwise(F.lit(1))
         else:
-            good = body_permuted(digits, F.lit(6), "|preserve-bin")
-        domain = F.concat(
-            salt if isinstance(salt, Column) else F.lit(salt), F.lit("|ccn-non-luhn|length="),
-            F.length(digits).cast("string"),
-        )
-        bad = permute_digits(key, digits, domain)
-        size = F.length(digits)
-        return (
-            F.when((size < 12) | (size > 19), keep_format(key, value, tag(salt, "|ccn-nonconform")))
-            .when(luhn_valid(digits), card_layout(good, value, layout))
-            .otherwise(card_layout(bad, value, layout))
-        )
+            kept = F.lit(1 if mode == "FORMAT_PRESERVE" else 6)
+        prefix = F.substr(digits, F.lit(1), kept)
+        inner = F.substr(digits, kept + 1, size - kept - 1)
+        domain = F.concat(base, F.lit(f"{label}|length="), size.cast("string"), F.lit("|prefix="), prefix)
+
+        def full_number(valid: Column) -> Column:
+            # A valid number keeps its prefix and gets a new check digit; other digits are permuted as a whole.
+            mixed = permute_digits(key, F.when(valid, inner).otherwise(digits), F.when(valid, domain).otherwise(whole))
+            body = let(F.concat(prefix, mixed), lambda b: F.concat(b, luhn_digit(b)))
+            return card_layout(F.when(valid, body).otherwise(mixed), value, layout)
+
+        if row is not None and row.shaped:
+            body = let(F.concat(prefix, permute_digits(key, inner, domain)), lambda b: F.concat(b, luhn_digit(b)))
+            return card_layout(body, value, layout)
+        return or_else(size.between(12, 19), let(luhn_valid(digits), full_number), nonconform, row)
 
     return let(only_digits(value), masked)
 
@@ -1035,6 +1051,8 @@ def ip_address(key, value, salt, p1=None, p2=None, row=None):
         return out.otherwise(public)
 
     made = let(key.draws(tag(salt, "|ip"), F.lower(clean)).digest, build)
+    if row is not None and row.shaped:
+        return made
     return F.coalesce(made, character_map(key, value, tag(salt, "|ip-fallback")))
 
 
@@ -1053,8 +1071,9 @@ def mac_address(key, value, salt, p1=None, p2=None, row=None):
         return F.when(value == F.upper(value), F.upper(out)).otherwise(out)
 
     made = let(key.draws(tag(salt, "|mac"), compact).digest, build)
-    other = character_map(key, value, tag(salt, "|mac-fallback"))
-    return F.when(compact.rlike("^[0-9a-f]{12}$"), made).otherwise(other)
+    return or_else(
+        compact.rlike("^[0-9a-f]{12}$"), made, lambda: character_map(key, value, tag(salt, "|mac-fallback")), row
+    )
 
 
 def uuid_shape(digest: Column) -> Column:

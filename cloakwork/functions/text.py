@@ -119,12 +119,11 @@ def code_point(number: Column) -> Column:
 def moved_letter(char: Column, draw: Callable[[Column | int], Column]) -> Column:
     """Another character of the same kind: digit, case and script stay. ``draw(n)`` gives 0..n-1."""
     code = F.ascii(char)
-    out = (
-        F.when((code >= 48) & (code <= 57), F.char(48 + (code - 48 + 1 + draw(9)) % 10))
-        .when((code >= 97) & (code <= 122), F.char(97 + (code - 97 + 1 + draw(25)) % 26))
-        .when((code >= 65) & (code <= 90), F.char(65 + (code - 65 + 1 + draw(25)) % 26))
-        .when(code < 128, char)
-    )
+    base = F.when(code.between(97, 122), 97).when(code.between(65, 90), 65).when(code.between(48, 57), 48)
+    size = F.when(base == 48, 10).otherwise(26)
+    plain = F.char(base + (code - base + 1 + draw((size - 1).cast("bigint"))) % size)
+    out = F.when(base.isNotNull(), plain).when(code < 128, char)
+
     def in_run(run: Column) -> Column:
         low, step = run["low"], run["step"]
         places = (run["high"] - low + 1) / step
