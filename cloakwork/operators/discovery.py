@@ -365,7 +365,7 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     rows = [
         F.struct(
             F.lit(c).alias("column_name"), F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high"),
-            F.round(f"c{i}", 4).alias("mean"), F.round(f"d{i}", 4).alias("spread"),
+            F.round(f"c{i}", 6).alias("mean"), F.round(f"d{i}", 4).alias("spread"),
         )
         for i, c in enumerate(names)
     ]

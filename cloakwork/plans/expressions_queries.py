@@ -137,13 +137,13 @@ def conversions(t):
 @query(
     "aggregate_functions",
     "SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_nationkey) AS nations, CAST(sum(CAST(c_acctbal AS DECIMAL(14,2))) AS DOUBLE) AS total, "
-    "round(avg(c_acctbal), 4) AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high, round(stddev_samp(c_acctbal), 4) AS spread FROM customer GROUP BY 1",
+    "round(CAST(sum(CAST(c_acctbal AS DECIMAL(14,2))) AS DOUBLE) / count(c_acctbal), 6) AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high, round(stddev_samp(c_acctbal), 4) AS spread FROM customer GROUP BY 1",
 )
 def aggregates(t):
     return t.customer.groupBy("c_mktsegment").agg(
         F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("nations"),
         F.sum(F.col("c_acctbal").cast("decimal(14,2)")).cast("double").alias("total"),
-        F.round(F.avg("c_acctbal"), 4).alias("mean"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"),
+        F.round(F.sum(F.col("c_acctbal").cast("decimal(14,2)")).cast("double") / F.count("c_acctbal"), 6).alias("mean"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"),
         F.round(F.stddev_samp("c_acctbal"), 4).alias("spread"),
     )
 

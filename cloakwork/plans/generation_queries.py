@@ -255,7 +255,7 @@ def from_target(t):
     rows = t.orders.select((F.col("o_orderkey") + 1).alias("_row"))
     out = syn.existing_keys(rows, t.supplier, "s_suppkey", "supplier", GEN, "x.supplier")
     joined = out.join(t.supplier.select(F.col("s_suppkey").alias("supplier"), F.lit(1).alias("hit")), "supplier", "left")
-    return joined.agg(F.count("*").alias("n_rows"), F.count_if(F.col("hit").isNull()).alias("orphans"), (F.count_distinct("supplier") > 50).alias("many_parents"))
+    return joined.agg(F.count("*").alias("n_rows"), F.count_if(F.col("hit").isNull()).alias("orphans"), (F.count_distinct("supplier") > 5).alias("many_parents"))
 
 
 @query(

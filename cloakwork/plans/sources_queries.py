@@ -308,3 +308,15 @@ def change_feed(t):
     stream = chg.feed_stream(t.spark, source, schema=T.StructType.fromDDL("id bigint, op string"), files=1)
     chg.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), mark)
     return t.spark.read.parquet(out).drop("batch")
+
+
+@query("source_jdbc_split_read", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def jdbc(t):
+    """Rows written to a database over JDBC and read back in key ranges by separate tasks."""
+    url = f"jdbc:derby:memory:{scratch_path(t.spark, 'db').rsplit('/', 1)[-1]};create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    files.write_jdbc(rows, url, "SUPPLIERS", "overwrite", **driver)
+    top = rows.agg(F.max("s_suppkey")).first()[0]
+    back = files.read_jdbc(t.spark, url, "SUPPLIERS", "s_suppkey", 0, top + 1, 4, **driver)
+    return back.select(*[F.col(c.upper()).alias(c) for c in rows.columns])

@@ -30,7 +30,7 @@ class FieldAt:
 
     @property
     def digits(self) -> int:
-        return {"ZONED": self.length, "PACKED": 2 * self.length - 1, "BINARY": {2: 4, 4: 9, 8: 18}.get(self.length, 18)}[self.kind]
+        return 2 * self.length - 1 if self.kind == "PACKED" else self.length
 
 
 def scaled(number: Column, scale: int) -> Column:
@@ -67,16 +67,20 @@ def encoded(value: Column, f: FieldAt) -> Column:
         return F.encode(F.translate(text, TEXT, RAW), "ISO-8859-1")
     units = F.coalesce(F.round(value.cast("decimal(28,8)") * 10**f.scale, 0).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     size = F.abs(units)
+    if f.kind == "BINARY":
+        low, high = (-(2 ** (8 * f.length - 1)), 2 ** (8 * f.length - 1) - 1) if f.signed else (0, 2 ** (8 * f.length) - 1)
+        failed = F.raise_error(F.concat(F.lit(f"{f.name} does not fit: "), units.cast("string"))).cast("string")
+        bits = F.lpad(F.hex(units.cast("bigint")), 16, "0")
+        fits = units.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
+        return F.unhex(F.substring(F.when(fits, bits).otherwise(failed), -2 * f.length, 2 * f.length))
     too_big = F.raise_error(F.concat(F.lit(f"{f.name} does not fit: "), units.cast("string"))).cast("string")
     plain = F.when(F.length(size.cast("string")) > f.digits, too_big).otherwise(F.lpad(size.cast("string"), f.digits, "0"))
     negative = units < 0
     sign = F.when(negative, "D").otherwise("C" if f.signed else "F")
     if f.kind == "PACKED":
         return F.unhex(F.concat(plain, sign))
-    if f.kind == "ZONED":
-        zones = F.regexp_replace(F.substring(plain, 1, f.length - 1), "(.)", "F$1")
-        return F.unhex(F.concat(zones, sign, F.substring(plain, -1, 1)))
-    return F.unhex(F.substring(F.lpad(F.hex(F.when(plain.isNotNull(), units.cast("bigint"))), 16, "0"), -2 * f.length, 2 * f.length))
+    zones = F.regexp_replace(F.substring(plain, 1, f.length - 1), "(.)", "F$1")
+    return F.unhex(F.concat(zones, sign, F.substring(plain, -1, 1)))
 
 
 def read_records(spark: SparkSession, path: str, length: int) -> DataFrame:
