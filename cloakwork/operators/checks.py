@@ -15,6 +15,7 @@ from cloakwork.functions.text import only_digits
 from cloakwork.operators.discovery import VALUE_HINTS
 from cloakwork.operators.policy import Rule
 from cloakwork.operators.positions import with_sequence
+from cloakwork.session import small_side
 
 FINDING = (
     "severity string, check_name string, table_name string, column_name string, pii_type string, "
@@ -325,7 +326,7 @@ def apply_waivers(findings: DataFrame, waivers: DataFrame, today) -> DataFrame:
     numbered = findings.withColumn("_scopes", covered)
     matched = (
         numbered.where("severity = 'FAIL'").withColumn("_scope", F.explode("_scopes"))
-        .join(F.broadcast(active), "_scope").where(F.col("_pii").isNull() | (F.col("_pii") == F.lower("pii_type")))
+        .join(small_side(active), "_scope").where(F.col("_pii").isNull() | (F.col("_pii") == F.lower("pii_type")))
         .groupBy("table_name", "column_name", "check_name").agg(F.min("_waiver").alias("waiver_id"))
         .withColumnsRenamed({"table_name": "_t", "column_name": "_c", "check_name": "_k"})
     )

@@ -14,7 +14,6 @@ from cloakwork.functions.keyed import iban_valid, luhn_valid
 from cloakwork.functions.masks import MARKS
 from cloakwork.functions.structured import MARKUP
 from cloakwork.operators.positions import top_in_group
-from cloakwork.session import spread
 
 # IBAN countries, column-name patterns, value patterns and suggested masks, in order of precedence.
 IBAN_COUNTRIES = (
@@ -123,6 +122,7 @@ NUMERIC_SAFE = {
 DATE_SAFE = {"DATE_SHIFT", "DOB_AGE_BAND", "AGE"}
 ANY_SAFE = {"NULLIFY", "FIXED", "PASSTHROUGH"}
 VALUE_SHARE = 0.6
+SAMPLE_FROM = 200  # rows a shown sample value may come from
 
 
 def category(kind: T.DataType) -> str:
@@ -211,16 +211,19 @@ def column_scores(
     One scan per table and one aggregate for all of them: each row becomes (column, text) pairs that are tested once
     and summed before the shuffle, so the plan does not grow with the columns and few counters leave a task.
     """
-    long = reduce(DataFrame.unionByName, [text_pairs(spread(df), name, names) for name, df in tables.items()])
+    long = reduce(DataFrame.unionByName, [text_pairs(df, name, names) for name, df in tables.items()])
     tested = F.when(F.col("tested") & F.col("text").isNotNull(), F.col("text"))
     counted = long.groupBy("table_name", "column_name", "category", "name_type").agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(value_test(t, tested, F.col("born"), values)).alias(f"hits_{i}") for i, t in enumerate(values)],
-        F.min("text").alias("least"),
     )
     hits = F.array(*[F.struct(F.lit(t).alias("kind"), F.col(f"hits_{i}").alias("hits")) for i, t in enumerate(values)])
-    return counted.select(
-        "table_name", "column_name", "category", "name_type", "n_rows", hits.alias("hits"), redacted_sample(F.col("least")).alias("sample")
+    scores = counted.select("table_name", "column_name", "category", "name_type", "n_rows", hits.alias("hits"))
+    # One value per column for the reviewer, from the first rows of each table; the counts above see every row.
+    first = reduce(DataFrame.unionByName, [text_pairs(df.limit(SAMPLE_FROM), name, names) for name, df in tables.items()])
+    shown = first.where(F.trim("text") != "").groupBy("table_name", "column_name").agg(F.min("text").alias("least"))
+    return scores.join(
+        shown.select("table_name", "column_name", redacted_sample(F.col("least")).alias("sample")), ["table_name", "column_name"], "left"
     )
 
 

@@ -45,13 +45,16 @@ def _same(left: str, right: str) -> Column:
 
 def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Order], name: str = "row_number") -> DataFrame:
     """``row_number`` inside each group plus ``group_rows``. The order should be unique to be repeatable."""
+    if not group:
+        numbered = with_sequence(df, order, name)
+        return numbered.withColumn("group_rows", F.lit(numbered.count()))
     placed = with_sequence(df, [*group, *order], "_at")
     spans = placed.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("group_rows")
     )
     match = [_same(g, f"_g_{g}") for g in group]
     return (
-        placed.join(spans, match if match else F.lit(True))
+        placed.join(spans, match)
         .withColumn(name, F.col("_at") - F.col("_first") + 1)
         .drop("_first", "_at", *[f"_g_{g}" for g in group])
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions.keyed import iban_valid, luhn_valid
 from cloakwork.operators import discovery as dis
 from cloakwork.plans.registry import query
+from cloakwork.session import spread
 
 CONTACT = (
     "SELECT c_custkey AS cust_no, 'user' || c_custkey || '@corp.com' AS contact, c_name AS full_name, "
@@ -55,7 +56,7 @@ NAMED = [("customer", "c_name", "FULL_NAME", "FULL_NAME"), ("supplier", "s_name"
 def discover_all(t):
     """Findings over every given table, one scan each."""
     names = "customer supplier part orders events documents pages conversations".split()
-    return dis.discover({n: getattr(t, n) for n in names}).select(
+    return dis.discover({n: spread(getattr(t, n)) for n in names}).select(
         "table_name", "column_name", "pii_type", "confidence", "suggested_function", "value_hits"
     )
 

@@ -123,7 +123,7 @@ ROW_DAYS = f"(5 + {sql.number(KEY, 'row|dshift', ROW_TEXT)} % 16)"
 )
 def shared_shift(t):
     """Two shifted dates of a row move together, so their interval stays."""
-    rows = t.orders.select("o_orderkey", "o_orderdate", (F.col("o_orderdate") + F.expr("interval 3 days")).alias("l_commit"))
+    rows = spread(t.orders).select("o_orderkey", "o_orderdate", (F.col("o_orderdate") + F.expr("interval 3 days")).alias("l_commit"))
     rules = [Rule("o", "o_orderdate", "DATE_SHIFT", p1="5:60"), Rule("o", "l_commit", "DATE_SHIFT", p1="-10:20")]
     return pol.apply_policy(rows, "o", Policy(KEY, rules))
 

@@ -66,9 +66,10 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """More tasks for costly expressions when the input has fewer splits than the cluster has cores.
+    """More tasks for costly expressions on a table scan with fewer splits than the cluster has cores.
 
-    Large inputs have many splits and pass through unchanged, without a shuffle.
+    Large tables have many splits and pass through unchanged, without a shuffle. For scans only: asking a plan with
+    joins for its partitions would run its shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -145,6 +145,11 @@ def store_cells(path: str):
     return write
 
 
+def compact(spark: SparkSession, path: str, into: str) -> None:
+    """Stored batches merged into one new store; the old one can go once readers have moved on."""
+    merge_cells(spark.read.parquet(path).drop("batch")).write.mode("overwrite").parquet(f"{into}/batch=0")
+
+
 def run_available(stream: DataFrame, write, checkpoint: str) -> None:
     """Process what has arrived and stop; the same query with another trigger runs continuously."""
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

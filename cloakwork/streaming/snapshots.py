@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import hex_number
+from cloakwork.session import cut
 from cloakwork.streaming import changes
 
 LANES, LANE_DIGITS = 4, 8
@@ -68,27 +70,48 @@ def row_diff(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFra
 
 
 def take(df: DataFrame, table: str, key: Sequence[str], buckets: int, store: str, snapshot: str) -> DataFrame:
-    """Store a snapshot: only buckets with a digest not stored before are written; then the manifest."""
+    """Store a snapshot and return its manifest.
+
+    Only buckets with a digest not stored before are written, into a folder of this snapshot; the manifest says for
+    each bucket in which snapshot's folder its rows lie. Taking the same snapshot again replaces it.
+    """
     spark = df.sparkSession
-    index = f"{store}/manifest"
-    rows = manifest(df, table, key, buckets).withColumn("buckets", F.lit(buckets))
-    rows.write.mode("overwrite").parquet(f"{index}/snapshot={snapshot}")
-    listed = spark.read.parquet(index).where(F.col("table_name") == table)
-    now = listed.where(F.col("snapshot").cast("string") == snapshot)
-    known = listed.where(F.col("snapshot").cast("string") != snapshot).select("digest")
-    fresh = now.join(known, "digest", "left_anti").select("bucket", "digest")
-    data = df.withColumn("bucket", bucket_of(key, buckets)).join(fresh, "bucket")
-    data.write.mode("append").parquet(f"{store}/{table}")
+    home = f"{store}/{table}"
+    found = manifest(df, table, key, buckets)
+    earlier = stored_manifests(spark, store, table)
+    if earlier is not None:
+        known = earlier.where(F.col("snapshot") != snapshot).groupBy("bucket", "digest").agg(F.min("stored_in").alias("_home"))
+        found = found.join(known, ["bucket", "digest"], "left")
+    else:
+        found = found.withColumn("_home", F.lit(None).cast("string"))
+    rows = found.select(
+        "table_name", "bucket", "n_rows", "digest", F.coalesce("_home", F.lit(snapshot)).alias("stored_in"), F.lit(buckets).alias("buckets")
+    )
+    path = f"{store}/manifest/{table}/snapshot={snapshot}"
+    cut(rows).write.mode("overwrite").parquet(path)
+    now = spark.read.parquet(path)
+    fresh = now.where(F.col("stored_in") == snapshot).select("bucket")
+    data = df.withColumn("bucket", bucket_of(key, buckets)).join(fresh, "bucket", "left_semi")
+    data.write.mode("overwrite").parquet(f"{home}/stored_in={snapshot}")
     return now
 
 
+def stored_manifests(spark: SparkSession, store: str, table: str) -> DataFrame | None:
+    """Manifests of all snapshots of a table, None before the first one."""
+    try:
+        rows = spark.read.parquet(f"{store}/manifest/{table}")
+    except AnalysisException:
+        return None
+    return rows.withColumn("snapshot", F.col("snapshot").cast("string"))
+
+
 def restore(spark: SparkSession, store: str, table: str, snapshot: str) -> DataFrame:
-    """Rows of a snapshot, rebuilt from the stored buckets its manifest lists."""
-    listed = spark.read.parquet(f"{store}/manifest").where(
-        (F.col("snapshot").cast("string") == snapshot) & (F.col("table_name") == table)
-    )
-    data = spark.read.parquet(f"{store}/{table}")
-    return data.join(listed.select("digest", "bucket"), ["digest", "bucket"], "left_semi").drop("digest", "bucket")
+    """Rows of a snapshot from the folders its manifest names; other folders are not read."""
+    listed = spark.read.parquet(f"{store}/manifest/{table}/snapshot={snapshot}")
+    folders = [r[0] for r in listed.select("stored_in").distinct().collect()]
+    data = spark.read.parquet(f"{store}/{table}").withColumn("stored_in", F.col("stored_in").cast("string"))
+    data = data.where(F.col("stored_in").isin(*folders))
+    return data.join(listed.select("stored_in", "bucket"), ["stored_in", "bucket"], "left_semi").drop("stored_in", "bucket")
 
 
 def advance(spark: SparkSession, store: str, table: str, key: Sequence[str], base: str, name: str, feed: DataFrame, last_id=None, until=None) -> DataFrame:
@@ -97,9 +120,7 @@ def advance(spark: SparkSession, store: str, table: str, key: Sequence[str], bas
     if scoped.where(~F.coalesce(changes.has_key(F.col("pk")), F.lit(False))).limit(1).count():
         raise ValueError("the range holds changes without a key")
     rows = changes.apply_net(restore(spark, store, table, base), changes.net_changes(scoped), table, key)
-    size = spark.read.parquet(f"{store}/manifest").where(
-        (F.col("snapshot").cast("string") == base) & (F.col("table_name") == table)
-    ).agg(F.max("buckets")).first()[0]
+    size = spark.read.parquet(f"{store}/manifest/{table}/snapshot={base}").agg(F.max("buckets")).first()[0]
     return take(rows, table, key, size, store, name)
 
 
