@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import wordlists as words
 from cloakwork.functions.keyed import (
-    Draws, MaskKey, at, characters, let, luhn_digit, luhn_valid, mod97, normalise, stream_draw, weighted_digit_sum,
+    Draws, MaskKey, at, characters, let, luhn_digit, luhn_sum, luhn_valid, mod97, normalise, stream_draw, weighted_digit_sum,
 )
 from cloakwork.functions.text import (
     case_of, count_to, in_case, keep_ends, like_source_case, only_alnum, only_digits, put_alnum, put_digits,
@@ -347,31 +347,24 @@ def card_layout(digits: Column, original: Column, layout: str) -> Column:
     return put_digits(original, digits)
 
 
-WALK_STEPS = 512  # a walk longer than this has a chance of about 1 in 10**23
-
-
 def card_keeping_last4(key: MaskKey, digits: Column, salt: Salt) -> Column:
-    """Walk the permutation until the kept check digit fits again; still one-to-one."""
-    tail, check = F.substring(digits, -4, 3), F.substring(digits, -1, 1)
-    head = F.substr(digits, F.lit(1), F.length(digits) - 4)
+    """Last four digits kept and the number valid again.
+
+    All digits before the fifth-last are permuted; the fifth-last then has exactly one value that makes the check sum
+    right. It is fixed by the other digits in source and result alike, so valid numbers still never collide.
+    """
+    tail = F.substring(digits, -4, 4)
+    head = F.substr(digits, F.lit(1), F.length(digits) - 5)
     domain = F.concat(
         salt if isinstance(salt, Column) else F.lit(salt), F.lit("|keep-last4|length="),
-        F.length(digits).cast("string"), F.lit("|tail="), F.substring(digits, -4, 4),
+        F.length(digits).cast("string"), F.lit("|tail="), tail,
     )
-    start = F.struct(head.alias("head"), F.lit(False).alias("done"))
-
-    def step(state: Column, _: Column) -> Column:
-        def advance(candidate: Column) -> Column:
-            fits = luhn_digit(F.concat(candidate, tail)) == check
-            return F.struct(candidate.alias("head"), fits.alias("done"))
-
-        return F.when(state["done"], state).otherwise(let(permute_digits(key, state["head"], domain), advance))
 
-    def finish(state: Column) -> Column:
-        failed = F.raise_error(F.lit("card walk did not end")).cast("string")
-        return F.when(state["done"], F.concat(state["head"], tail, check)).otherwise(failed)
+    def complete(new: Column) -> Column:
+        rest = (F.lit(10) - luhn_sum(F.concat(new, F.lit("0"), tail), False) % 10) % 10
+        return F.concat(new, rest.cast("string"), tail)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK_STEPS)), start, step, finish)
+    return let(permute_digits(key, head, domain), complete)
 
 
 def credit_card(key, value, salt, p1=None, p2=None, row=None):
@@ -943,7 +936,7 @@ def iban(key, value, salt, p1=None, p2=None, row=None):
         made = F.concat(country, check, body)
         return made if mode_of(p2, "") == "COMPACT" else put_alnum(value, made)
 
-    return F.when(shaped, let(bban, build)).otherwise(character_map(key, value, tag(salt, "|iban-fallback")))
+    return or_else(shaped, let(bban, build), lambda: character_map(key, value, tag(salt, "|iban-fallback")), row)
 
 
 def swift_bic(key, value, salt, p1=None, p2=None, row=None):
@@ -965,7 +958,7 @@ def swift_bic(key, value, salt, p1=None, p2=None, row=None):
         return F.concat(letters, country, tail)
 
     made = let(key.stream(tag(salt, "|bic"), compact, F.lit(16)), build)
-    return F.when(shaped, made).otherwise(character_map(key, value, tag(salt, "|bic-fallback")))
+    return or_else(shaped, made, lambda: character_map(key, value, tag(salt, "|bic-fallback")), row)
 
 
 ABA_PREFIXES = [f"{n:02d}" for n in (*range(1, 13), *range(21, 33))]
@@ -1210,6 +1203,7 @@ def swift_mt(key, value, salt, p1=None, p2=None, row=None):
 
     def field_value(name: Column, text: Column) -> Column:
         own = F.concat(salt if isinstance(salt, Column) else F.lit(salt), F.lit(":"), name)
+        known = Row(shaped=True)
         lines = F.split(text, "\n", -1)
         bare = F.transform(lines, lambda x: F.regexp_replace(x, "\r$", ""))
         plain = F.transform(
@@ -1222,12 +1216,12 @@ def swift_mt(key, value, salt, p1=None, p2=None, row=None):
             end = F.when(x.endswith("\r"), F.lit("\r")).otherwise(F.lit(""))
             account = F.substr(body, F.lit(2))
             masked_account = F.when(
-                account.rlike("^[A-Z]{2}[0-9]{2}[A-Za-z0-9]{10,30}$"), iban(key, account, own)
+                account.rlike("^[A-Z]{2}[0-9]{2}[A-Za-z0-9]{11,30}$"), iban(key, account, own, row=known)
             ).otherwise(bank_account(key, account, own, "FORMAT_PRESERVE"))
             new = (
                 F.when(name.isin(*REFERENCE_TAGS), keep_format(key, body, own))
                 .when(body.startswith("/") & (F.length(body) > 1), F.concat(F.lit("/"), masked_account))
-                .when(body.rlike(BIC_LINE), swift_bic(key, body, own))
+                .when(body.rlike(BIC_LINE), swift_bic(key, body, own, row=known))
                 .when((i + 1) == party, full_name(key, body, own))
                 .otherwise(body)
             )
