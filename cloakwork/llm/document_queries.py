@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import quality_rules
+from cloakwork.llm import license_scan, quality_rules
 from cloakwork.llm.registry import query, table
 
 
@@ -19,3 +19,17 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", *[F.col(f"_counts.{c}").alias(c) for c in counts], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept")
     )
+
+
+@query("op3_license_scan", license_scan.brute_force_sql())
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence wordings in every document."""
+    found = license_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    names = lambda matches: F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+    starts = F.transform(base, lambda m: m["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
