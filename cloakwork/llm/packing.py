@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 
 from cloakwork.llm import batches as B
@@ -52,6 +52,12 @@ class PieceEncoder(B.PieceIds):
                 self.blank[word] = raw[a:b]
 
 
+def encoder_in_worker(definition: Broadcast) -> PieceEncoder:
+    """Found by its module, so what it has learned outlives a task."""
+    key = hash(definition.value)
+    return _ENCODERS.get(key) or _ENCODERS.setdefault(key, PieceEncoder(definition.value))
+
+
 @dataclass
 class Piece:
     key: object
@@ -144,8 +150,7 @@ def pack(
     names, ender = [f.name for f in schema.fields], np.array([end_id], "<u4").tobytes()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = hash(definition.value)
-        encoder = _ENCODERS.get(value) or _ENCODERS.setdefault(value, PieceEncoder(definition.value))
+        encoder = encoder_in_worker(definition)
         number = TaskContext.get().partitionId() << 36
         waiting: list[Piece] = []
         key_type = None

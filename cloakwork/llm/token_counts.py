@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from cloakwork.llm import batches as B
@@ -38,6 +39,12 @@ class Counter:
         return B.sums(each[codes], offsets)
 
 
+def counter_in_worker(definition: Broadcast) -> Counter:
+    """Found by its module, so what it has learned outlives a task."""
+    key = hash(definition.value)
+    return _COUNTERS.get(key) or _COUNTERS.setdefault(key, Counter(definition.value))
+
+
 def count_tokens(
     docs: DataFrame, vocabulary: str, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -52,8 +59,7 @@ def count_tokens(
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(definition.value)
-        counter = _COUNTERS.get(key) or _COUNTERS.setdefault(key, Counter(definition.value))
+        counter = counter_in_worker(definition)
         for part in B.slices(parts, 1):
             tokens = pa.array(counter.count(part.column(1)))
             size = pc.fill_null(pc.cast(pc.binary_length(part.column(1)), pa.int64()), 0)
