@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import license_scan, quality_rules
+from cloakwork.llm import license_scan, quality_rules, toxicity
 from cloakwork.llm.registry import query, table
 
 
@@ -33,3 +33,19 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def fold(folds: int, id_column: str = "doc_id"):
+    """Fold of a row by the checksum of its id as text."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document; labels of one fold in five are not learned from."""
+    docs = table(spark, folder, "documents")
+    judge = toxicity.learn(docs, table(spark, folder, "labels").where(fold(5) != 0))
+    return toxicity.score(docs, judge).select(
+        "doc_id", (fold(5) == 0).alias("held_out"), F.col("_toxicity.score").alias("score"),
+        (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.evidence").alias("evidence"),
+    )
