@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import jaccard_join
+from cloakwork.llm import embedding_dedup, jaccard_join
 from cloakwork.llm.registry import query, table
 
 
+@query("op2_embedding_dedup")
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of embeddings with cosine 0.95 or more."""
+    return embedding_dedup.link_embeddings(table(spark, folder, "embeddings"), least=0.95)
+
+
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
