@@ -34,7 +34,7 @@ def _build(table: pa.Table) -> pa.Table:
     rows = first[graph.order]
     return pa.table(
         {
-            "dim": [raw.shape[1]], "shard": table.column("shard")[:1], "raw": [raw[rows].tobytes()],
+            "dim": pa.array([raw.shape[1]], pa.int32()), "shard": table.column("shard")[:1], "raw": pa.array([raw[rows].tobytes()], pa.binary()),
             "classes": [classes[rows].astype("<i8").tobytes()], "copies": [copies[rows].astype("<i8").tobytes()],
             "near": [[n.tobytes() for n in graph.near]], "width": pa.array([[n.shape[1] for n in graph.near]], pa.list_(pa.int32())),
         }

@@ -1,12 +1,44 @@
-"""Stages of the corpus pipeline: each keeps or packs all of what its predecessor kept."""
+"""Stages of the corpus pipeline: each works on all that its predecessor kept, and its decisions take effect."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakwork.llm import jaccard_join, packing, quality_rules, toxicity
+from cloakwork.llm.registry import ship, table
+from cloakwork.llm.token_queries import BYTE_BPE
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the base rule and the learned decision list accept."""
+    ship(spark)
+    rules = quality_rules.learn_rules(docs, table(spark, folder, "labels"))
+    return quality_rules.judge(docs, rules).where("_kept").select(docs.columns)
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose toxicity score is below one half."""
+    ship(spark)
+    judge = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, judge).where("_toxicity.score < 0.5").select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each component of near copies the document with the least id.
+
+    Of repeated rows (equal id and text) one stays. Rows without an id cannot be named by a component: they all stay.
+    """
+    ship(spark)
+    linked = jaccard_join.link(docs)
+    chosen = linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times"))
+    joined = docs.join(chosen, F.col("doc_id") == F.col("_id"))
+    once = joined.where("_times = 1").select(docs.columns)
+    repeated = joined.where("_times > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
-keep_civil = keep_one_of_near_copies = pack_rest = keep_good
+def pack_rest(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    ship(spark)
+    return packing.pack(docs, BYTE_BPE, max_tokens=1024)
