@@ -300,7 +300,8 @@ def score(
     cells = of_held.groupBy("chunk").cogroup(their.groupBy("chunk")).applyInArrow(held_out, "bucket long, cell string, tokens long, sums array<double>")
     summed = cells.groupBy("bucket", "cell").agg(F.sum("tokens").alias("n"), *[F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(order + 1)])
     table = [(r["bucket"], r["n"], [r[f"s{j}"] / r["n"] for j in range(order + 1)]) for r in summed.collect()]
-    model = Mixture(fit_weights(table, order), n_train, n_words)
+    weights = fit_weights(table, order) if n_train else np.eye(1, order + 1, order)  # nothing learned: the uniform share alone
+    model = Mixture(weights, n_train, n_words)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         done = []
