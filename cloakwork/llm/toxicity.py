@@ -17,6 +17,8 @@ from cloakwork.llm import batches as B
 PREFIXES = (4, 5, 6)
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»‘’“”…"
 BLOCK = 64  # examples in a block of the index
+REMEMBERED = 20_000  # equal vectors that a task looks up once
+FIRST = 4  # blocks read before others are ruled out
 _COLUMNS: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
@@ -69,7 +71,10 @@ def forget(space: Space) -> None:
 
 
 class BlockMaxIndex:
-    """Postings by column, cut into blocks of examples, with the largest weight of each column in each block."""
+    """Postings by column, cut into blocks of examples, with the largest weight of each column in each block.
+
+    ``limit`` and ``run`` are tables of columns by blocks: bounded like the examples and terms.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.size = len(vectors)
@@ -79,45 +84,50 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((row, column))
         self.row, self.weight, column = row[order], weight[order], column[order]
-        self.start = np.searchsorted(column, np.arange(width + 1))
-        change = np.ones(len(column), bool)
-        change[1:] = (column[1:] != column[:-1]) | (self.row[1:] // BLOCK != self.row[:-1] // BLOCK)
-        self.run = np.flatnonzero(change)  # first posting of each (column, block)
-        self.run_block = self.row[self.run] // BLOCK
-        self.run_max = np.maximum.reduceat(self.weight, self.run) if len(self.run) else np.zeros(0)
-        self.run_end = np.append(self.run[1:], len(column))
-        self.run_start = np.searchsorted(column[self.run], np.arange(width + 1))
+        place = column * max(1, self.blocks) + self.row // BLOCK
+        places, self.first, self.length = np.unique(place, return_index=True, return_counts=True)
+        self.run = np.full(width * max(1, self.blocks), -1, np.int32)
+        self.run[places] = np.arange(len(places))
+        self.limit = np.zeros(len(self.run))
+        self.limit[places] = np.maximum.reduceat(self.weight, self.first) if len(places) else 0
+        self.run, self.limit = (x.reshape(width, max(1, self.blocks)) for x in (self.run, self.limit))
+
+    def _read(self, column: np.ndarray, weight: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of all examples in the blocks with a cosine above 0."""
+        runs = self.run[column[:, None], blocks]
+        term, at = np.nonzero(runs >= 0)
+        run = runs[term, at]
+        each = self.length[run]
+        ends = np.cumsum(each)
+        posting = np.repeat(self.first[run] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        local = np.repeat(at * BLOCK, each) + self.row[posting] % BLOCK
+        score = np.bincount(local, np.repeat(weight[term], each) * self.weight[posting], len(blocks) * BLOCK)
+        hit = np.flatnonzero(score > 0)
+        number = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+        kept = number != but
+        return number[kept], score[hit[kept]]
 
     def nearest(self, column: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: the lower number), exactly; ``but`` is left out.
 
-        A block is read only while its bound, the sum of query weight times block maximum, reaches the k-th best so far.
+        A block's bound is the sum of query weight times block maximum. The FIRST blocks of largest bound give the k-th best so
+        far; after these, only blocks whose bound reaches it are read, and none if there is none.
         """
-        bound = np.zeros(self.blocks)
-        runs = [(c, w, self.run_start[c], self.run_start[c + 1]) for c, w in zip(column.tolist(), weight.tolist())]
-        where: dict[int, list[tuple[int, float]]] = {}
-        for _, w, a, b in runs:
-            bound[self.run_block[a:b]] += w * self.run_max[a:b]
-            for r, block in zip(range(a, b), self.run_block[a:b].tolist()):
-                where.setdefault(block, []).append((r, w))
-        found, scores, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or bound[block] < floor - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for r, w in where[block]:
-                part = slice(self.run[r], self.run_end[r])
-                score[self.row[part] - block * BLOCK] += w * self.weight[part]
-            hit = np.flatnonzero(score > 0)
-            number = hit + block * BLOCK
-            keep = number != but
-            found, scores = np.append(found, number[keep]), np.append(scores, score[hit][keep])
-            if len(found) > k:
-                best = np.lexsort((found, -np.round(scores, 12)))[:k]
-                found, scores = found[best], scores[best]
-            if len(found) == k:
-                floor = scores.min()
-        best = np.lexsort((found, -np.round(scores, 12)))
+        bound = weight @ self.limit[column]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, scores = self._read(column, weight, order[:FIRST], but)
+        if len(order) > FIRST:
+            floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+            rest = order[FIRST:]
+            rest = rest[bound[rest] >= floor - 1e-12]
+            if len(rest):
+                more, theirs = self._read(column, weight, rest, but)
+                found, scores = np.append(found, more), np.append(scores, theirs)
+        if len(scores) > k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12
+            found, scores = found[near], scores[near]
+        best = np.lexsort((found, -np.round(scores, 12)))[:k]
         return found[best], np.minimum(scores[best], 1.0)
 
 
@@ -149,9 +159,14 @@ class Judge:
         scores, evidence = np.full(len(texts), self.silent), [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
         for i in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(bounds[i], bounds[i + 1])
-            found, cosine = self.index.nearest(column[part], weight[part], self.k)
-            if len(found):
-                scores[i], evidence[i] = self.calibrated(self.vote(found, cosine)), (found, cosine)
+            key = column[part].tobytes() + weight[part].tobytes()
+            if key not in self._votes:
+                found, cosine = self.index.nearest(column[part], weight[part], self.k)
+                vote = self.calibrated(self.vote(found, cosine)) if len(found) else self.silent
+                if len(self._votes) > REMEMBERED:
+                    self._votes.clear()
+                self._votes[key] = vote, (found, cosine)
+            scores[i], evidence[i] = self._votes[key]
         return scores, evidence
 
 
