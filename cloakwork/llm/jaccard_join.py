@@ -18,7 +18,9 @@ from cloakwork.llm.components import connected_components
 from cloakwork.session import cut, scratch_path
 
 PARTS = 3  # second-level partitions of a group; a signature takes all but one of them
-SPARE = 2  # groups beyond the need, so that groups with empty partitions can be passed over
+SPARE = 2  # groups beyond the need, so that groups with empty partitions can be passed over; none where few differ
+FEW = 4  # differences below which no spare groups are added: small sets would leave them empty
+SKETCH = 128  # counts of shingles by hash that bound the difference of two sets from below
 SIGNATURES = 500_000  # signatures that meet in one reducing task
 SMALL = 1_000_000  # rows of 16 bytes that a broadcast may hold, checked by count
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -66,14 +68,17 @@ class SizeBands:
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, "right") - 1
 
-    def groups(self, band: int) -> int:
-        """First-level groups for pairs whose larger set lies in the band.
+    def groups(self, band: int) -> tuple[int, int]:
+        """(first-level groups, spare ones among them) for pairs whose larger set lies in the band.
 
         Such a pair differs in at most k = floor(2 * largest size * (1 - j) / (1 + j)) shingles, so at most k // 2 groups hold
-        two differences or more: in SPARE + 1 groups or more, at most one of the PARTS partitions differs.
+        two differences or more: in the spare groups and one more, at most one of the PARTS partitions differs. Sets too small
+        to differ at all are equal or not similar: they need no group.
         """
         largest = self.low[band] * 100 // self.percent
-        return 2 * largest * (100 - self.percent) // (100 + self.percent) // 2 + 1 + SPARE
+        k = 2 * largest * (100 - self.percent) // (100 + self.percent)
+        spare = SPARE if k >= FEW else 0
+        return (k // 2 + 1 + spare, spare) if k else (0, 0)
 
 
 def signatures(sets: list[np.ndarray], bands: SizeBands) -> tuple[np.ndarray, np.ndarray]:
@@ -81,32 +86,37 @@ def signatures(sets: list[np.ndarray], bands: SizeBands) -> tuple[np.ndarray, np
 
     The shingle domain is dealt to groups and their partitions by hash; a signature is the content of all but one partition
     of a group, with the band, the group and the partition that is left out. A group whose partitions are all empty but one
-    says little: it is passed over, unless a set has more than SPARE of them (then none is). A similar pair has SPARE + 1
-    groups with at most one difference, so one of these stays for both sets: none is missed.
+    says little: it is passed over, unless a set has more of them than spare groups (then none is). A similar pair has one
+    more group with at most one difference than there are spare ones, so one of these stays for both sets: none is missed.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     low, high = (values & np.uint64(0xFFFFFFFF)).astype(float), (values >> np.uint64(32)).astype(float)
     band = bands.band(np.maximum(sizes, 1))
-    per_band = np.array([bands.groups(i) for i in range(len(bands.low) - 1)], np.int64)
+    per_band, spare = np.array([bands.groups(i) for i in range(len(bands.low) - 1)], np.int64).T
     out_set, out_sig = [], []
     for ahead in (0, 1):
         tag = band + ahead
         groups = np.where(sizes > 0, per_band[np.minimum(tag, len(per_band) - 1)], 0)
+        if not groups.any():
+            continue
+        grouped = groups[owner] > 0
         first = np.cumsum(groups) - groups
         total = int(groups.sum())
-        place = spread(values ^ (tag[owner].astype(np.uint64) * _MULT)) % (groups[owner] * PARTS).astype(np.uint64)
-        at = first[owner] * PARTS + place.astype(np.int64)
+        held, by = values[grouped], owner[grouped]
+        place = spread(held ^ (tag[by].astype(np.uint64) * _MULT)) % (groups[by] * PARTS).astype(np.uint64)
+        at = first[by] * PARTS + place.astype(np.int64)
         width = total * PARTS
         count = np.bincount(at, minlength=width).reshape(-1, PARTS)
         # sums of 64-bit hashes, from halves that doubles hold exactly
-        content = np.bincount(at, low, width).astype(np.uint64) + (np.bincount(at, high, width).astype(np.uint64) << np.uint64(32))
+        low_sum, high_sum = (np.bincount(at, part[grouped], width).astype(np.uint64) for part in (low, high))
+        content = low_sum + (high_sum << np.uint64(32))
         content = spread(content).reshape(-1, PARTS)
         of = np.repeat(np.arange(len(sets)), groups)
         number = np.arange(total) - first[of]
         poor = (count == 0).sum(axis=1) >= PARTS - 1
-        many = np.bincount(of[poor], minlength=len(sets)) > SPARE
+        many = np.bincount(of[poor], minlength=len(sets)) > spare[np.minimum(tag, len(per_band) - 1)]
         used = ~poor | many[of]
         head = spread((tag[of] << 32 | number).astype(np.uint64))
         for left_out in range(PARTS):
@@ -116,6 +126,8 @@ def signatures(sets: list[np.ndarray], bands: SizeBands) -> tuple[np.ndarray, np
                     value = value * _MULT + content[:, part]
             out_set.append(of[used])
             out_sig.append(spread(value[used]))
+    if not out_set:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     number, value = np.concatenate(out_set), np.concatenate(out_sig)
     order = np.argsort(number, kind="stable")
     return number[order], value[order]
@@ -187,6 +199,32 @@ def shared_signatures(docs: DataFrame, size: int, bands: SizeBands, tasks: int,
     return sent.groupBy("task").applyInArrow(meet, "bucket long, key binary")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Size and counts by hash, up to 255 each."""
+    counts = np.bincount((shingles >> np.uint64(33)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return len(shingles).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def not_ruled_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow the similarity.
+
+    Sets of sizes m and n that differ in d shingles have an intersection of (m + n - d) / 2, and d is at least the sum of the
+    differences of their counts. So no similar pair is ruled out.
+    """
+    left = sets.select(F.col("key").alias("a"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
+
+    def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, 8 + SKETCH) for c in (2, 3))
+            m, n = (np.ascontiguousarray(v[:, :8]).view("<i8").reshape(-1) for v in (x, y))
+            apart = np.maximum(np.abs(x[:, 8:].astype(np.int16) - y[:, 8:]).sum(axis=1), np.abs(m - n))
+            yield part.select([0, 1]).filter(pa.array(100 * (m + n - apart) >= percent * (m + n + apart)))
+
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+    return joined.mapInArrow(check, "a binary, b binary")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of keys with 100 * intersection >= percent * union, counted on the whole sets."""
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
@@ -254,7 +292,8 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = kept(pairs, f"pairs_{step}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        good = kept(similar(pairs, sets, percent), f"links_{step}")
+        likely = kept(not_ruled_out(pairs, sets, percent), f"likely_{step}")
+        good = kept(similar(likely, sets, percent), f"links_{step}")
         links = good if links is None else links.unionByName(good)
         linked = connected_components(links)
         roots = kept(members.select(F.col("key").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"roots_{step}")
@@ -268,7 +307,7 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame, rows: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """``key, shingles`` of the given keys, from the text of one row of each class (the one with the least id)."""
+    """``key, sketch, shingles`` of the given keys, from the text of one row of each class (the one with the least id)."""
     wanted = cut(rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
     frame = B.keyed_texts(docs, id_column, text_column)
     chosen = wanted.select("id", F.col("key").alias("wanted"))
@@ -277,11 +316,13 @@ def _sets_of(docs: DataFrame, keys: DataFrame, rows: DataFrame, size: int, id_co
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(parts, 1):
-            keys_, out = [], []
+            keys_, drawn, out = [], [], []
             for key, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size)):
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key:  # rows with one id may differ in text
                     keys_.append(key)
+                    drawn.append(sketch(s))
                     out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys_, pa.binary()), pa.array(out, pa.binary())], ["key", "shingles"])
+            columns = [pa.array(c, pa.binary()) for c in (keys_, drawn, out)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sketch", "shingles"])
 
-    return joined.mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
+    return joined.mapInArrow(run, "key binary, sketch binary, shingles binary").dropDuplicates(["key"])
