@@ -205,7 +205,7 @@ def score(
                         pa.array([number]), pa.array([is_held]), pa.array([int(lengths[trained[chosen]].sum())]), pa.array([len(chunk.codes)]),
                         pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                         pa.array([trained[chosen].astype(np.uint8).tobytes()], pa.binary()),
-                        pa.array([chunk.ends.astype("<i4").tobytes()], pa.binary()), pa.array([chunk.codes.astype("<i4").tobytes()], pa.binary()),
+                        pa.array([_planes(chunk.ends, "<i4")], pa.binary()), pa.array([_planes(chunk.codes, "<i4")], pa.binary()),
                         pa.array([chunk.vocabulary.tobytes()], pa.binary()),
                     ],
                     ["chunk", "held", "trained", "tokens", "ids", "train", "ends", "codes", "vocabulary"],
@@ -232,33 +232,35 @@ def score(
                         total[len(hashes) - 2] = trained.sum()  # START, as context
                     sent = []
                     for task, own in _dealt(hashes, tasks):
-                        deleted_ = total[own] if row["held"] else np.zeros(len(own), np.int64)
-                        sent.append((task, n, row["chunk"], hashes[own].tobytes(), total[own].astype("<u4").tobytes(), deleted_.astype("<u4").tobytes()))
+                        steps = np.diff(hashes[own], prepend=np.uint64(0))  # rising, so the steps have empty high bytes
+                        sent.append((task, n, row["chunk"], row["held"], _planes(steps, "<u8"), _planes(total[own], "<u4")))
                     if sent:
-                        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, t in zip(zip(*sent), kinds)], ["task", "n", "chunk", "grams", "train", "held"]
+                            [pa.array(c, t) for c, t in zip(zip(*sent), kinds)], ["task", "n", "chunk", "held", "grams", "train"]
                         )
 
     def add_up(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        own, held_ = (np.concatenate([np.frombuffer(x, "<u4") for x in table.column(c).to_pylist()]) for c in ("train", "held"))
+        grams = [np.cumsum(_whole(x, "<u8"), dtype=np.uint64) for x in table.column("grams").to_pylist()]
+        own = np.concatenate([_whole(x, "<u4") for x in table.column("train").to_pylist()])
+        held_ = table.column("held").to_pylist()
         distinct, code = np.unique(np.concatenate(grams), return_inverse=True)
-        total, gone = np.bincount(code, own).astype(np.int64), np.bincount(code, held_).astype(np.int64)
-        cuts = np.cumsum([len(g) for g in grams])[:-1]
+        of_held = np.repeat(held_, [len(g) for g in grams])
+        total, gone = np.bincount(code, own).astype(np.int64), np.bincount(code, own * of_held).astype(np.int64)
+        parts = np.split(code, np.cumsum([len(g) for g in grams])[:-1])
         first = table.column("n")[0].as_py() == 1
         words = int(((total > 0) & (distinct != _mix(np.array([START], np.uint64))[0])).sum()) if first else 0
         return pa.table(
             {
                 "chunk": table.column("chunk"), "n": table.column("n"), "task": table.column("task"),
-                "train": pa.array([total[c].astype("<i8").tobytes() for c in np.split(code, cuts)], pa.binary()),
-                "held": pa.array([gone[c].astype("<i8").tobytes() for c in np.split(code, cuts)], pa.binary()),
+                "train": pa.array([_planes(total[c], "<i8") for c in parts], pa.binary()),
+                "held": pa.array([_planes(gone[c], "<i8") if h else b"" for c, h in zip(parts, held_)], pa.binary()),
                 "words": pa.array([words, *[0] * (len(grams) - 1)], pa.int64()),
             }
         )
 
     grams = chunks.select("chunk", "held", "train", "ends", "codes", "vocabulary").mapInArrow(
-        send, "task int, n int, chunk long, grams binary, train binary, held binary"
+        send, "task int, n int, chunk long, held boolean, grams binary, train binary"
     )
     totals = kept(
         grams.groupBy("n", "task").applyInArrow(add_up, "chunk long, n int, task int, train binary, held binary, words long"), "totals"
@@ -269,8 +271,8 @@ def score(
         """Totals in the order of the chunk's own n-grams."""
         got: dict[tuple[int, int], np.ndarray] = {}
         for row in table.select(["n", "task", "train", "held"]).to_pylist():
-            value = np.frombuffer(row["train"], "<i8")
-            got[row["n"], row["task"]] = value - np.frombuffer(row["held"], "<i8") if less_held else value
+            value = _whole(row["train"], "<i8")
+            got[row["n"], row["task"]] = value - _whole(row["held"], "<i8") if less_held else value
         out = []
         for n in range(1, order + 1):
             hashes = chunk.grams(n)[0]
@@ -331,14 +333,25 @@ def score(
 
 
 def _chunk(row: dict) -> Chunk:
-    return Chunk(np.frombuffer(row["codes"], "<i4"), np.frombuffer(row["ends"], "<i4"), np.frombuffer(row["vocabulary"], np.uint64))
+    return Chunk(_whole(row["codes"], "<i4"), _whole(row["ends"], "<i4"), np.frombuffer(row["vocabulary"], np.uint64))
+
+
+def _planes(numbers: np.ndarray, kind: str) -> bytes:
+    """First bytes of all numbers, then second bytes and so on: high bytes are mostly 0, which compresses to nothing."""
+    whole = np.ascontiguousarray(numbers.astype(kind))
+    return np.ascontiguousarray(whole.view(np.uint8).reshape(len(whole), whole.itemsize).T).tobytes()
+
+
+def _whole(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def _dealt(hashes: np.ndarray, tasks: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(task, places of its hashes in rising order), the same in every pass."""
-    target = (hashes % np.uint64(tasks)).astype(np.int64)
-    order = np.argsort(target, kind="stable")
-    ends = np.searchsorted(target[order], np.arange(tasks + 1))
+    """(task, places of its hashes, by rising hash), the same in every pass; a task has a range of hashes."""
+    order = np.argsort(hashes, kind="stable")
+    edges = np.array([(t << 64) // tasks for t in range(tasks)], np.uint64)
+    ends = np.append(np.searchsorted(hashes[order], edges), len(hashes))
     for task in range(tasks):
         if ends[task + 1] > ends[task]:
             yield task, order[ends[task] : ends[task + 1]]
