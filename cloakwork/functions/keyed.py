@@ -52,8 +52,20 @@ class Draws:
             raise ValueError("a digest holds eight draws")
         return hex_number(F.substring(self.digest, 8 * index + 1, 8))
 
+    def wide(self, index: int) -> Column:
+        """63-bit draw; draws 2k and 2k + 1 share their bits with wide draw 2k."""
+        if not 0 <= index < 8:
+            raise ValueError("a digest holds eight draws")
+        return non_negative_long(F.substring(self.digest, 16 * (index // 2) + 1, 16))
+
     def below(self, index: int, bound: int) -> Column:
-        return self.raw(index) % F.lit(bound).cast("bigint")
+        """Draw below a bound; bounds that 32 bits cannot fill evenly take a wide draw."""
+        draw = self.raw(index) if bound <= 1 << 31 else self.wide(index)
+        return draw % F.lit(bound).cast("bigint")
+
+    def fine_unit(self, index: int) -> Column:
+        """Double in [0, 1) with 53 random bits."""
+        return F.shiftright(self.wide(index), 10).cast("double") / F.lit(9007199254740992.0)
 
     def digits(self, index: int, width: int) -> Column:
         """``width`` (at most nine) decimal digits."""

@@ -78,7 +78,7 @@ def character_map(key: MaskKey, value: Column, salt: Salt, spec: str | None = No
     kept = {}
     for side in ("FIRST", "LAST"):
         found = re.search(rf"(?:^|[,;])\s*{side}\s*[:=]\s*(\d+)", spec or "", re.I)
-        kept[side] = min(1024, int(found.group(1))) if found else 0
+        kept[side] = int(found.group(1)) if found else 0
     first, last = kept["FIRST"], kept["LAST"]
     if not first and not last:
         return masked
@@ -815,7 +815,7 @@ def redact(key, value, salt, p1=None, p2=None, row=None):
     mode = mode_of(p2, "FULL")
     number = re.search(r":\s*(\d+)\s*$", mode)
     if mode.startswith("STANDARD:"):
-        return F.lit(mask * min(int(number.group(1)) if number else 8, 4096))
+        return F.lit(mask * (int(number.group(1)) if number else 8))
     if mode == "FULL":
         return F.repeat(F.lit(mask), F.length(value))
     count = int(number.group(1)) if number else 0
@@ -825,6 +825,7 @@ def redact(key, value, salt, p1=None, p2=None, row=None):
 
 
 def redact_keep_last4(key, value, salt, p1=None, p2=None, row=None):
+    """The function's form: at most twelve stars, then the last four characters."""
     size = F.length(value)
     stars = F.repeat(F.lit("*"), F.least(size - 4, F.lit(12)))
     return F.when(size <= 4, F.lit("****")).otherwise(F.concat(stars, F.substring(value, -4, 4)))

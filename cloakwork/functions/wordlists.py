@@ -32,13 +32,13 @@ LAST_TAILS = (
     "park pole ridge rose row sey shaw"
 ).split()
 
-# Company and safe e-mail domain vocabularies used by the keyed pick.
+# Own company names and e-mail domains; the domains end in the reserved .test.
 COMPANIES = [
-    "Acme Corp", "Globex Inc", "Initech LLC", "Umbrella Holdings", "Stark Industries", "Wayne Enterprises",
-    "Pied Piper", "Hooli Systems", "Vandelay Industries", "Wonka Labs", "Aperture Science", "Tyrell Corp",
-    "Cyberdyne Systems", "Soylent Foods", "Oceanic Air",
+    "Alderbrook Foods", "Birchline Freight", "Copperfield Tools", "Driftwood Media", "Eastmoor Energy", "Fernhill Textiles",
+    "Greystone Bearings", "Hollowell Optics", "Ironvale Castings", "Juniper Bay Shipping", "Kestrel Paper", "Larkspur Dental",
+    "Millrace Software", "Northgate Glass", "Oakhaven Dairy", "Pinecrest Insurance", "Quarrybank Cement", "Redwater Brewing",
 ]
-SAFE_DOMAINS = ["example.test", "mailinator.test", "qa-mail.test", "sandbox.test", "demo-inbox.test"]
+SAFE_DOMAINS = ["mailbox.test", "post-office.test", "letters.test", "inbox-one.test", "courier.test", "pigeon.test"]
 
 STREET_NAMES = (
     "Alder Amber Beacon Brook Canyon Clover Coral Cotton Crest Dawn Fern Field Garden Glen Harbor Heron Hill "

@@ -45,7 +45,7 @@ def leak_check(source: DataFrame, target: DataFrame, table: str, column: str) ->
     return leaked_rows(source, target, column).agg(
         *finding(
             F.when(count > 0, "FAIL").otherwise("PASS"), "LEAK", table, column, None, count,
-            F.concat(count.cast("string"), F.lit(" masked value(s) identical to live source values")),
+            F.concat(count.cast("string"), F.lit(" value(s) of the target still stand in the source")),
         )
     )
 
@@ -112,7 +112,7 @@ def format_checks(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame
         F.struct(
             *finding(
                 F.when(F.col(f"bad_{i}") > 0, "FAIL").otherwise("PASS"), "FORMAT", table, r.column, None, F.col(f"bad_{i}"),
-                F.concat(F.col(f"bad_{i}").cast("string"), F.lit(f" value(s) violate the {r.function} format contract")),
+                F.concat(F.col(f"bad_{i}").cast("string"), F.lit(f" value(s) are not in the form that {r.function} promises")),
             )
         )
         for i, r in enumerate(mine)
@@ -125,7 +125,7 @@ def deliverable_domain(df: DataFrame, table: str, column: str) -> DataFrame:
     return df.agg(
         *finding(
             F.when(count > 0, "WARN").otherwise("PASS"), "DOMAIN", table, column, "EMAIL", count,
-            F.concat(count.cast("string"), F.lit(" masked email(s) on potentially deliverable domains")),
+            F.concat(count.cast("string"), F.lit(" e-mail(s) whose domain may receive mail")),
         )
     )
 
@@ -281,13 +281,15 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def clash_report(source: DataFrame, target: DataFrame, identity: Sequence[str], column: str) -> DataFrame:
-    """Rows that share a masked key although their source keys differ: original, masked and how many rows clash."""
+    """Rows that share a masked key although their source keys differ: original, masked and how many rows clash.
+
+    Rows are first counted by (masked, original) pair, so a mask that collapses to one value meets one row per original.
+    """
     pairs = source.select(*identity, F.col(column).alias("original")).join(
         target.select(*identity, F.col(column).alias("masked")), list(identity)
     )
-    clashing = pairs.groupBy("masked").agg(
-        F.count_distinct("original").alias("originals"), F.count(F.lit(1)).alias("rows")
-    ).where("originals > 1")
+    counted = pairs.groupBy("masked", "original").agg(F.count(F.lit(1)).alias("n"))
+    clashing = counted.groupBy("masked").agg(F.count("original").alias("originals"), F.sum("n").alias("rows")).where("originals > 1")
     return pairs.join(clashing, "masked")
 
 

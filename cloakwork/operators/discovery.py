@@ -122,7 +122,6 @@ NUMERIC_SAFE = {
 DATE_SAFE = {"DATE_SHIFT", "DOB_AGE_BAND", "AGE"}
 ANY_SAFE = {"NULLIFY", "FIXED", "PASSTHROUGH"}
 VALUE_SHARE = 0.6
-SAMPLE_FROM = 200  # rows a shown sample value may come from
 
 
 def category(kind: T.DataType) -> str:
@@ -219,14 +218,24 @@ def column_scores(
     )
     hits = F.array(*[F.struct(F.lit(t).alias("kind"), F.col(f"hits_{i}").alias("hits")) for i, t in enumerate(values)])
     scores = counted.select("table_name", "column_name", "category", "name_type", "n_rows", hits.alias("hits"))
-    # One value per column for the reviewer, from the first rows of each table; the counts above see every row.
-    first = reduce(DataFrame.unionByName, [text_pairs(df.limit(SAMPLE_FROM), name, names) for name, df in tables.items()])
-    shown = first.where(F.trim("text") != "").groupBy("table_name", "column_name").agg(F.min("text").alias("least"))
+    # One value per column for the reviewer: the least text of the whole column, by one aggregate without groups per table.
+    shown = reduce(DataFrame.unionByName, [least_texts(df, name) for name, df in tables.items()])
     return scores.join(
         shown.select("table_name", "column_name", redacted_sample(F.col("least")).alias("sample")), ["table_name", "column_name"], "left"
     )
 
 
+def least_texts(df: DataFrame, table: str) -> DataFrame:
+    """``(table_name, column_name, least)``: the least text of each column that is not blank."""
+    plain = [f.name for f in df.schema.fields if category(f.dataType) not in ("BINARY", "OTHER")]
+    if not plain:
+        return df.sparkSession.createDataFrame([], "table_name string, column_name string, least string")
+    text = lambda c: F.col(c).cast("string")
+    least = df.agg(*[F.min(F.when(F.trim(text(c)) != "", text(c))).alias(f"_{i}") for i, c in enumerate(plain)])
+    rows = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"_{i}").alias("least")) for i, c in enumerate(plain)])
+    return least.select(F.explode(rows).alias("r")).select("r.*").where("least IS NOT NULL")
+
+
 def findings(scores: DataFrame) -> DataFrame:
     """Columns that hold personal data, with type, confidence and a mask that fits the column."""
     best = F.reduce(
@@ -328,15 +337,8 @@ def rescan(old: DataFrame, new: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- profiles
 
-LOW_CARDINALITY = 25
-TOP_VALUES = 12
-SAMPLE_ROWS = 20_000
-
-
-def sampled(df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
-    """Random sample of about ``rows`` rows when the table is larger (a profile feature)."""
-    total = df.count()
-    return df if total <= rows else df.sample(fraction=rows / total, seed=seed)
+LOW_CARDINALITY = 25  # fixed value: most distinct values of a column that is drawn by weight; a plan lists all of them
+TOP_VALUES = 12  # fixed value: values that a report on a column shows
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -426,6 +428,8 @@ SENSITIVE_WORDS = [
     ),
     ("kyc|aml|sanction|risk|fraud", "BANKING_CONTROL", None),
 ]
+# Words of a technical identifier, words whose values may be kept, and generators by name.
+TECHNICAL_WORDS = "id|key"
 SAFE_WORDS = "status|state|type|code|flag|indicator|category|channel|currency|method|frequency|reason|source system"
 NAME_GENERATORS = [
     ("email|mail", "EMAIL"), ("phone|mobile|tel", "PHONE_US"), ("first", "FIRST_NAME"), ("last|surname", "LAST_NAME"),
@@ -438,11 +442,18 @@ NAME_GENERATORS = [
 
 
 def sensitivity(column: str) -> tuple[str, str | None] | None:
-    """Category and safe generator of a sensitive column name; None when its values may be kept."""
+    """Category and safe generator of a sensitive column name; None when its values may be kept.
+
+    Tax numbers come first: no other word in a name makes their values safe. Then technical identifiers and safe words.
+    """
     words = " " + re.sub(r"[^a-z0-9]+", " ", column.lower()) + " "
-    if re.search(rf" ({SAFE_WORDS}) ", words):
+    holds = lambda pattern: re.search(rf" ({pattern}) ", words) is not None
+    tax, *others = SENSITIVE_WORDS
+    if holds(tax[0]):
+        return tax[1:]
+    if holds(TECHNICAL_WORDS) or holds(SAFE_WORDS):
         return None
-    return next(((kind, gen) for pattern, kind, gen in SENSITIVE_WORDS if re.search(rf" ({pattern}) ", words)), None)
+    return next(((kind, gen) for pattern, kind, gen in others if holds(pattern)), None)
 
 
 def generator_for_name(column: str) -> str:
@@ -454,7 +465,7 @@ def recommend(df: DataFrame, keys: Sequence[str] = (), keep_safe: bool = True) -
     counts = value_counts(df)
     profile = column_profile(counts)
     stats, dates = numeric_stats(df), date_ranges(df)
-    listed = top_values(counts, TOP_VALUES).groupBy("column_name").agg(
+    listed = top_values(counts, LOW_CARDINALITY).groupBy("column_name").agg(
         F.array_join(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("place", F.translate("value", "|:", "  ").alias("value"), "rows"))),

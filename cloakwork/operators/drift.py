@@ -112,7 +112,9 @@ def key_drift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def gated_load(issues: DataFrame, load: Callable[[], None]) -> None:
     """Run a load unless the drift holds a blocking issue."""
-    stop = issues.where(F.col("severity").isin(*GATE)).limit(20).collect()
+    blocking = issues.where(F.col("severity").isin(*GATE)).groupBy("table_name", "issue").agg(F.count(F.lit(1)).alias("n"))
+    stop = blocking.orderBy("table_name", "issue").collect()  # one row per table and kind of issue
     if stop:
-        raise ValueError("schema drift stops the load: " + ", ".join(sorted({f"{r['table_name']} {r['issue']}" for r in stop})))
+        named = ", ".join(f"{r['table_name']} {r['issue']} ({r['n']})" for r in stop)
+        raise ValueError(f"schema drift stops the load: {sum(r['n'] for r in stop)} issues: {named}")
     load()

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import hex_number
-from cloakwork.streaming.snapshots import cell_text
+from cloakwork.operators.positions import group_positions
+from cloakwork.streaming.snapshots import LANES, cell_text
 
 FRAGMENT_ROWS = 1_000
 
@@ -35,10 +36,11 @@ def with_root(member: Member) -> DataFrame:
 
 
 def fragments(members: Sequence[Member], per_fragment: int = FRAGMENT_ROWS) -> DataFrame:
-    """``(entity, member, part, rows, digest, n_rows)`` for every key at once.
+    """``(entity, member, part, rows, n_rows, lane_0 .. lane_3)`` for every key at once.
 
-    A member with many rows for one key is cut into parts by row hash, so no part grows without bound and no row is
-    left out. Rows are kept as JSON text; the digest does not depend on their order.
+    A member with many rows for one key is cut into parts by position, equal rows included, so no part holds more than
+    ``per_fragment`` rows and no row is left out. Rows are kept as JSON text. The lanes are sums of row-hash slices: they do not
+    depend on the order of rows, and together make the digest of a capsule.
     """
     out = []
     for m in members:
@@ -46,23 +48,27 @@ def fragments(members: Sequence[Member], per_fragment: int = FRAGMENT_ROWS) -> D
         rows = with_root(m)
         sizes = rows.groupBy(F.col("entity").alias("_e")).agg(F.ceil(F.count(F.lit(1)) / per_fragment).alias("_parts")).where("_parts > 1")
         row_hash = F.sha2(cell_text(columns).cast("binary"), 256)
-        cut = rows.join(sizes, F.col("entity") == F.col("_e"), "left").select(
-            "entity", F.to_json(F.struct(*columns)).alias("row"), row_hash.alias("hash"), F.coalesce("_parts", F.lit(1)).alias("_parts")
+        told = rows.join(sizes, F.col("entity") == F.col("_e"), "left").select(
+            "entity", F.to_json(F.struct(*columns)).alias("row"), row_hash.alias("hash"), F.col("_parts").isNotNull().alias("_large")
         )
-        part = (hex_number(F.substring("hash", 9, 8)) % F.col("_parts")).cast("int")
+        large = group_positions(told.where("_large"), ["entity"], ["hash"], "_place").drop("group_rows")
+        large = large.withColumn("part", F.floor((F.col("_place") - 1) / per_fragment).cast("int")).drop("_place")
+        parts = told.where("NOT _large").withColumn("part", F.lit(0)).unionByName(large)
+        lanes = [F.sum(hex_number(F.substring("hash", 1 + 8 * i, 8))).alias(f"lane_{i}") for i in range(LANES)]
         out.append(
-            cut.groupBy("entity", part.alias("part")).agg(
-                F.collect_list("row").alias("rows"), F.sum(hex_number(F.substring("hash", 1, 8))).alias("digest"), F.count(F.lit(1)).alias("n_rows")
-            ).withColumn("member", F.lit(m.name))
+            parts.groupBy("entity", "part").agg(F.collect_list("row").alias("rows"), F.count(F.lit(1)).alias("n_rows"), *lanes)
+            .withColumn("member", F.lit(m.name))
         )
     return reduce(DataFrame.unionByName, out)
 
 
 def capsule(parts: DataFrame) -> DataFrame:
     """One row per entity and member: rows, parts and a digest over the parts."""
-    return parts.groupBy("entity", "member").agg(
-        F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("parts"), F.sum("digest").alias("digest")
+    summed = parts.groupBy("entity", "member").agg(
+        F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("parts"), *[F.sum(f"lane_{i}").alias(f"lane_{i}") for i in range(LANES)]
     )
+    text = F.concat_ws(":", "n_rows", *[f"lane_{i}" for i in range(LANES)])
+    return summed.select("entity", "member", "n_rows", "parts", F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
 def add_version(history: DataFrame, current: DataFrame, key: str, label: str) -> DataFrame:

@@ -55,10 +55,16 @@ def updated(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def upserted(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Matching rows updated, the rest of the source inserted."""
-    marked = target.withColumn("_own", F.lit(True))
-    joined = marked.join(_present(source, keys), [F.col(k) == F.col(f"_s_{k}") for k in keys], "full_outer")
-    return _merged(joined, target.columns, source.columns, keys, F.col("_hit"))
+    """Matching rows updated, the rest of the source inserted.
+
+    A left join and a union: when the source is small it is broadcast, and the target is neither shuffled nor sorted.
+    """
+    own = target.select(*keys).join(source.select(*keys), list(keys), "left_semi")
+    new = source.join(own, list(keys), "left_anti")
+    absent = [F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns if c not in source.columns]
+    return updated(target, source, keys).unionByName(
+        new.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in source.columns if c in target.columns], *absent)
+    )
 
 
 def _merged(joined: DataFrame, columns: Sequence[str], given: Sequence[str], keys: Sequence[str], hit: Column) -> DataFrame:
@@ -81,8 +87,12 @@ def rewrite_in_place(spark: SparkSession, path: str, change: Callable[[DataFrame
     old, new, final = (hadoop.Path(p) for p in (f"{path}.old", f"{path}.next", path))
     files = final.getFileSystem(spark._jsc.hadoopConfiguration())
     files.delete(old, True)
-    files.rename(final, old)
-    files.rename(new, final)
+    if not files.rename(final, old):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(new, final):
+        if not files.rename(old, final):
+            raise OSError(f"the new table is in {path}.next, the old one in {path}.old")
+        raise OSError(f"cannot put {path}.next in place; the old table stays")
     files.delete(old, True)
 
 

@@ -14,7 +14,6 @@ from cloakwork.functions.masks import Row, mask
 from cloakwork.operators.positions import with_sequence
 from cloakwork.session import small_side
 
-CROSS_ROWS = 1_000  # a source without a link must be this small
 
 
 def scan(source: DataFrame, where: str | None = None, rows: int | None = None) -> DataFrame:
@@ -83,11 +82,9 @@ def join_as_text(left: DataFrame, right: DataFrame, links: Sequence[tuple[str, s
     return left.join(right, text, how)
 
 
-def join_unlinked(left: DataFrame, right: DataFrame, rows: int = CROSS_ROWS) -> DataFrame:
-    """Source without a link: every row meets the few rows of a checked, broadcast table."""
-    if right.limit(rows + 1).count() > rows:
-        raise ValueError(f"a source without a join key may hold at most {rows} rows")
-    return left.crossJoin(F.broadcast(right))
+def join_unlinked(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Source without a link: every row meets every row, as the plan's author asked; Spark picks the side to broadcast."""
+    return left.crossJoin(right)
 
 
 def look_up(df: DataFrame, reference: DataFrame, on: Column | str, returns: Sequence[str] | None = None) -> DataFrame:
@@ -155,12 +152,10 @@ def preview(df: DataFrame, rows: int = 100) -> tuple[DataFrame, bool]:
     return df.limit(rows), df.limit(rows + 1).count() > rows
 
 
-PAGE_ROWS = 250
-
-
 def page(df: DataFrame, key: Sequence[str], rows: int, skip: int = 0) -> tuple[DataFrame, bool]:
-    """Page in key order and whether another page follows."""
-    rows = min(rows, PAGE_ROWS)
+    """Page of the size asked for, in key order, and whether another page follows."""
+    if rows < 1:
+        raise ValueError("a page holds at least one row")
     ordered = df.orderBy(*key).offset(skip)
     return ordered.limit(rows), ordered.limit(rows + 1).count() > rows
 

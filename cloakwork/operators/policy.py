@@ -148,12 +148,26 @@ def rule_condition(rule: Rule, row: Mapping[str, Column]) -> Column | None:
 
 # ---------------------------------------------------------------- one table
 
-def back_to_type(value: Column, kind: T.DataType) -> Column:
+# Functions whose results are words or tokens, whatever they are given.
+TEXT_RESULTS = {
+    "TOKENIZE", "FIRST_NAME", "LAST_NAME", "FULL_NAME", "COMPANY", "EMAIL", "ADDRESS_STREET", "ADDRESS_US", "CITY_STATE_ZIP",
+    "UUID", "IBAN", "SWIFT_BIC", "SWIFT_MT", "IP_ADDRESS", "MAC_ADDRESS", "NATIONAL_ID",
+}
+
+
+def check_fit(rule: Rule, kind: T.DataType) -> None:
+    """Refuse, before anything runs, a mask whose results the column's type cannot hold."""
+    if not isinstance(kind, T.StringType) and rule.function.upper() in TEXT_RESULTS:
+        raise ValueError(f"{rule.table}.{rule.column}: {rule.function} makes text, the column is {kind.simpleString()}")
+
+
+def back_to_type(value: Column, kind: T.DataType, name: str = "value") -> Column:
+    """Masked text in the column's type; a value that does not fit fails the job instead of becoming null."""
     if isinstance(kind, T.StringType):
         return value
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return value.try_cast(kind)
-    return value.try_cast(kind)
+    typed = value.try_cast(kind)
+    lost = F.raise_error(F.concat(F.lit(f"masked {name} does not fit {kind.simpleString()}: "), value.cast("string"))).cast(kind)
+    return F.when(value.isNotNull() & typed.isNull(), lost).otherwise(typed)
 
 
 def source_text(value: Column, kind: T.DataType) -> Column:
@@ -177,6 +191,9 @@ def apply_policy(
     active = [r for r in rules if r.column.lower() not in fixed]
     columns = df.columns
     kinds = {f.name.lower(): f.dataType for f in df.schema.fields}
+    for rule in active:
+        if rule.column.lower() in kinds:
+            check_fit(rule, kinds[rule.column.lower()])
     if any(r.function.upper() == "SEQUENCE" for r in active):
         df = with_sequence(df, sequence_order or columns, "_row_index", 0)
     df = with_joined_columns(df, active, others or {})
@@ -221,7 +238,7 @@ def apply_policy(
         elif action == "NULL_OUT":
             out.append(F.lit(None).cast(kinds[c.lower()]).alias(c))
         elif c.lower() in done:
-            out.append(back_to_type(F.col(done[c.lower()]), kinds[c.lower()]).alias(c))
+            out.append(back_to_type(F.col(done[c.lower()]), kinds[c.lower()], f"{table}.{c}").alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)

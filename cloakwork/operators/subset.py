@@ -158,21 +158,17 @@ class Closure:
             new = self._merge(table, [rows])
             if new is not None:
                 fresh[table] = new
-        guard = max(12, 2 * len(self.edges) + len(seeds) + 4)
         later = any("DEFER" in ((d.parents or "").upper(), (d.children or "").upper()) for d in self.directives.values())
         for deferred in (False, True) if later else (False,):
             if deferred:
                 fresh = {t: reduce(DataFrame.unionByName, parts) for t, parts in self.found.items()}
-            steps = 0
-            while fresh and steps < guard:
-                steps += 1
+            while fresh:  # ends, as each round adds keys of finite tables
                 self.round += 1
                 fresh = self._step(fresh, deferred)
-            if fresh:
-                self.selection.warn(f"traversal stopped after {guard} passes")
         return self._finish()
 
     def _finish(self) -> Selection:
+        lost: dict[str, DataFrame] = {}
         for table, parts in self.found.items():
             keys, rule = reduce(DataFrame.unionByName, parts), self.directives.get(table)
             count = self.total[table]
@@ -183,11 +179,36 @@ class Closure:
                 keys = cut(keys.join(self.tables[table].where(rule.where).select(*own), own, "left_semi"))
                 count = keys.count()
             if rule and rule.limit and count > rule.limit:
-                keys = cut(cap(keys, self.keys[table], rule.limit))
-                count = rule.limit
+                kept = cut(cap(keys, self.keys[table], rule.limit))
+                lost[table] = keys.join(kept, list(self.keys[table]), "left_anti").select(*self.keys[table])
+                keys, count = kept, rule.limit
             self.selection.keys[table], self.selection.counts[table] = keys, count
+        self._drop_orphans(lost)
         return self.selection
 
+    def _drop_orphans(self, lost: dict[str, DataFrame]) -> None:
+        """A cap must not leave rows that point at what it cut off: these go too, and what points at them."""
+        chosen = self.selection
+        while lost:
+            gone: dict[str, list[DataFrame]] = {}
+            for e in self.edges:
+                if e.parent in lost and e.child in chosen.keys:
+                    values = lost[e.parent]
+                    if list(self.keys[e.parent]) != [e.parent_column]:
+                        values = self.tables[e.parent].join(values, list(self.keys[e.parent]), "left_semi")
+                    own = list(self.keys[e.child])
+                    children = children_of(self.tables[e.child], e.child_column, own, values, e.parent_column)
+                    gone.setdefault(e.child, []).append(children.join(chosen.keys[e.child].select(*own), own, "left_semi"))
+            lost = {}
+            for table, parts in gone.items():
+                own = list(self.keys[table])
+                dropped = cut(reduce(DataFrame.unionByName, parts).distinct())
+                count = dropped.count()
+                if count:
+                    lost[table] = dropped
+                    chosen.keys[table] = cut(chosen.keys[table].join(dropped, own, "left_anti"))
+                    chosen.counts[table] -= count
+
 
 def cap(keys: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
     """First keys in order of discovery (round, then key)."""

@@ -91,10 +91,13 @@ def enforced(value: Column, check: Check, row: Column) -> Column:
 
 
 class Generator:
-    """Generates the tables of a plan, parents first."""
+    """Generates the tables of a plan, parents first. With a ``store`` each table is written there once and read back, so what
+    is derived from it or checked on it later does not generate it anew."""
 
-    def __init__(self, spark: SparkSession, tables: Sequence[Table], seed: str = "0", now: dt.datetime = gen.EPOCH):
-        self.spark, self.now = spark, now
+    def __init__(
+        self, spark: SparkSession, tables: Sequence[Table], seed: str = "0", now: dt.datetime = gen.EPOCH, store: str | None = None
+    ):
+        self.spark, self.now, self.store = spark, now, store
         self.key = MaskKey("synthetic", seed)
         self.tables = {t.name: t for t in tables}
         self.done: dict[str, DataFrame] = {}
@@ -119,12 +122,32 @@ class Generator:
         parents = self.tables[c.refers[0]].rows
         label = c.group or c.name
         if c.refers[0] == table.name:
-            earlier = self.source(table.name, label).draws(row).raw(7) % F.greatest(row - 1, F.lit(1))
+            draws = self.source(table.name, label).draws(row)
+            earlier = (draws.raw(7) if table.rows <= 1 << 31 else draws.wide(7)) % F.greatest(row - 1, F.lit(1))
             return F.when(row > 1, earlier + 1)
         if c.fewest is not None or c.most is not None:
-            # Each parent in turn, in a keyed order: every parent gets floor or ceil of rows / parents children.
-            return gen.permuted(self.source(table.name, label), (row - 1) % parents, parents, "parents") + 1
-        return self.source(table.name, label).draws(row).raw(7) % parents + 1
+            return self.bounded_parent(table, c, row)
+        return self.source(table.name, label).draws(row).below(7, parents) + 1
+
+    def bounded_parent(self, table: Table, c: Col, row: Column) -> Column:
+        """Parent of a row so that each parent has from ``fewest`` to ``most`` children.
+
+        The first ``fewest`` rows of every parent come first. Each further row takes one of the places that are left under
+        ``most``, numbered through and drawn without repetition by a keyed permutation, so counts vary as if drawn at random.
+        """
+        parents, fewest = self.tables[c.refers[0]].rows, c.fewest or 0
+        source = self.source(table.name, c.group or c.name)
+        rest = table.rows - parents * fewest
+        room = (c.most if c.most is not None else fewest + max(1, rest)) - fewest
+        turn = gen.permuted(source, (row - 1) % parents, parents, "parents")
+        if rest <= 0 or room <= 0:
+            return turn + 1
+        if c.most is None:  # no upper bound: any parent
+            free = source.draws(row).below(7, parents)
+        else:
+            place = gen.permuted(source, row - 1 - parents * fewest, parents * room, "places")
+            free = F.floor(place / F.lit(room).cast("bigint")).cast("bigint")
+        return F.when(row <= parents * fewest, turn).otherwise(free) + 1
 
     def pure(self, table: str, column: str) -> Col | None:
         """The column, when its value depends on nothing but its row number."""
@@ -160,10 +183,13 @@ class Generator:
                     df = self.derived(df, plan, c, refs)
         for c in plan.columns:
             if c.unique:
-                df = made_unique(df, c.name)
+                df = made_unique(df, c.name, c.type)
         checked = {c.name: enforced(F.col(c.name), c.check, row) for c in plan.columns if c.check}
         df = df.withColumns(checked) if checked else df
         out = df.select("_row", *[F.col(c.name).try_cast(c.type).alias(c.name) for c in plan.columns])
+        if self.store:
+            out.write.parquet(f"{self.store}/{name}")
+            out = self.spark.read.parquet(f"{self.store}/{name}")
         self.done[name] = out
         return out
 
@@ -198,21 +224,44 @@ class Generator:
         return {n: df.drop("_row") for n, df in self.done.items()}
 
 
-def made_unique(df: DataFrame, column: str) -> DataFrame:
-    """First row of each value keeps it, later rows get their row number; an e-mail stays an e-mail.
+def made_unique(df: DataFrame, column: str, kind: str = "string") -> DataFrame:
+    """First row of each value keeps it; a later row gets a value of the column's type that no row has.
 
+    Numbers and dates go on behind the largest value by the row number. Text gets its row number behind a mark ("-", or "+"
+    inside an e-mail); where that is some row's own value, the mark is made longer than any in the column. Nulls stay null.
     Values are counted before the shuffle and only the repeated ones are joined back, so a value that fills a third
     of the table costs one row on the small side.
     """
-    repeated = df.groupBy(F.col(column).alias("_value")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = df.join(repeated.drop("_n"), F.col(column).eqNullSafe(F.col("_value")), "left")
-    text, number = F.coalesce(F.col(column), F.lit("")), F.col("_row").cast("string")
-    spot = F.locate("@", text)
-    suffixed = F.when(
-        spot > 1, F.concat(F.substr(text, F.lit(1), spot - 1), F.lit("+"), number, F.substr(text, spot))
-    ).otherwise(F.concat(text, F.lit("-"), number))
-    later = F.col("_first").isNotNull() & (F.col("_row") != F.col("_first"))
-    return joined.withColumn(column, F.when(later, suffixed).otherwise(F.col(column))).drop("_value", "_first")
+    own = F.col(column)
+    repeated = df.where(own.isNotNull()).groupBy(own.alias("_value")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    joined = df.join(repeated.drop("_n"), own == F.col("_value"), "left")
+    later, number = F.col("_first").isNotNull() & (F.col("_row") != F.col("_first")), F.col("_row").cast("string")
+    kind = kind.lower()
+    if kind == "boolean":
+        raise ValueError(f"{column}: a boolean column holds two values, it cannot be unique")
+    if kind.startswith(("date", "timestamp")):
+        top = df.agg(F.max(own.try_cast("timestamp_ntz")).alias("_top"))
+        moved = F.timestamp_add("DAY", F.col("_row").cast("int"), F.col("_top")).cast("string" if kind != "date" else "date").cast("string")
+        return joined.crossJoin(F.broadcast(top)).withColumn(column, F.when(later, moved).otherwise(own)).drop("_value", "_first", "_top")
+    if not kind.startswith(("string", "varchar", "char")):
+        top = df.agg(F.coalesce(F.max(own.try_cast("decimal(38,8)")), F.lit(0).cast("decimal(38,8)")).alias("_top"))
+        whole = kind.startswith(("tinyint", "smallint", "int", "bigint", "byte", "short", "long"))
+        moved = (F.ceil("_top") if whole else F.col("_top")) + F.col("_row")
+        return joined.crossJoin(F.broadcast(top)).withColumn(column, F.when(later, moved.cast("string")).otherwise(own)).drop("_value", "_first", "_top")
+    spot = F.locate("@", own)
+    suffixed = lambda dash, plus: F.when(
+        spot > 1, F.concat(F.substr(own, F.lit(1), spot - 1), plus, number, F.substr(own, spot))
+    ).otherwise(F.concat(own, dash, number))
+    marks = df.agg(  # one row: the longest marks before a number
+        F.coalesce(F.max(F.length(F.regexp_extract(own, r"(-*)[0-9]+$", 1))), F.lit(0)).alias("_dashes"),
+        F.coalesce(F.max(F.length(F.regexp_extract(own, r"(\+*)[0-9]+@", 1))), F.lit(0)).alias("_pluses"),
+    )
+    tried = joined.withColumn("_tried", F.when(later, suffixed(F.lit("-"), F.lit("+"))))
+    taken = df.select(own.alias("_taken")).where(F.col("_taken").isNotNull()).distinct()
+    out = tried.join(taken, F.col("_tried") == F.col("_taken"), "left").crossJoin(F.broadcast(marks))
+    longer = suffixed(F.repeat(F.lit("-"), F.col("_dashes") + 1), F.repeat(F.lit("+"), F.col("_pluses") + 1))
+    value = F.when(~later, own).when(F.col("_taken").isNotNull(), longer).otherwise(F.col("_tried"))
+    return out.withColumn(column, value).drop("_value", "_first", "_tried", "_taken", "_dashes", "_pluses")
 
 
 def existing_keys(df: DataFrame, targets: DataFrame, key: str, column: str, generator_key: MaskKey, label: str) -> DataFrame:

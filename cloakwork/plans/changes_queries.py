@@ -213,6 +213,17 @@ def restored(t):
     return snap.restore(t.spark, store, "orders", "first")
 
 
+@query("snapshot_retaken", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def retaken(t):
+    """The second snapshot shares all buckets with the first; taking the first again, with other rows, leaves it whole."""
+    store = scratch_path(t.spark, "snapshots")
+    rows = t.orders.select(*ORDER_COLUMNS)
+    snap.take(rows, "orders", ["o_orderkey"], 64, store, "first")
+    snap.take(rows, "orders", ["o_orderkey"], 64, store, "second")
+    snap.take(later(t), "orders", ["o_orderkey"], 64, store, "first")
+    return snap.restore(t.spark, store, "orders", "second")
+
+
 USERS = "base0 AS (SELECT DISTINCT user_id, '0.00' AS amount, '1' AS k FROM events WHERE user_id % 3 <> 0 AND user_id % 2 = 0)"
 
 
@@ -228,15 +239,17 @@ def advanced(t):
 @query(
     "snapshot_coordinated_extract",
     "SELECT 'events' AS source, count(*) AS n_rows, 'SUCCESS' AS status FROM events WHERE ts <= TIMESTAMP '2024-01-10' UNION ALL "
-    "SELECT 'orders', count(*), 'SUCCESS' FROM orders WHERE o_orderdate <= TIMESTAMP '2024-01-10' UNION ALL SELECT 'future', 0, 'FAILED' FROM (SELECT count(*) FROM events)",
+    "SELECT 'orders', count(*), 'SUCCESS' FROM orders WHERE o_orderdate <= TIMESTAMP '2024-01-10' UNION ALL SELECT 'future', 0, 'SUCCESS' FROM (SELECT count(*) FROM events) "
+    "UNION ALL SELECT 'broken', 0, 'FAILED'",
 )
 def together(t):
+    """An empty source is a success with no rows; one that cannot be read fails alone."""
     instant = dt.datetime(2024, 1, 10)
     later_rows = t.events.where("ts > timestamp_ntz'2024-01-10'")
     out = snap.extract_together(
         {
-            "events": (t.events.drop("props"), "ts", ["event_id"]), "orders": (t.orders, "o_orderdate", ["o_orderkey"]),
-            "future": (later_rows, "ts", ["event_id"]),
+            "events": (t.events, "ts", ["event_id"]), "orders": (t.orders, "o_orderdate", ["o_orderkey"]),
+            "future": (later_rows, "ts", ["event_id"]), "broken": (lambda: t.no_such_table, None, ["id"]),
         }, instant,
     )
     return out.select("source", "n_rows", "status")

@@ -183,6 +183,18 @@ def suppression(t):
     return dis.recommend(rows).select("column_name", "generator", "param1", "source_values")
 
 
+@query(
+    "profile_name_sensitivity",
+    "SELECT * FROM (VALUES ('ssn_code', 'SSN', 'PII_TAX_ID', 'suppressed'), ('card_type', 'WEIGHTED', NULL, 'used'), ('account_id', 'WEIGHTED', NULL, 'used'), "
+    "('account', 'ACCOUNT_NUMBER', 'FINANCIAL_ACCOUNT', 'suppressed')) f(column_name, generator, sensitivity, source_values) WHERE (SELECT count(*) FROM customer) > 0",
+)
+def name_sensitivity(t):
+    """Tax numbers are sensitive whatever else their name says; types and technical identifiers are not."""
+    few = F.col("c_mktsegment")
+    rows = t.customer.select(few.alias("ssn_code"), few.alias("card_type"), few.alias("account_id"), few.alias("account"))
+    return dis.recommend(rows).select("column_name", "generator", "sensitivity", "source_values")
+
+
 @query(
     "discover_rescan_merge",
     "SELECT * FROM (VALUES ('contact', 'CUSTOM', 'APPROVED'), ('full_name', 'FULL_NAME', 'SUGGESTED'), ('phone', 'PHONE', 'SUGGESTED'), ('salary', 'EMPLOYMENT_DATA', 'SUGGESTED'), "

@@ -98,7 +98,8 @@ def customer_members(t):
 
 
 def lane(columns):
-    return f"sum(('0x' || substr(sha256({row_sql(columns)}), 1, 8))::UBIGINT)::BIGINT"
+    sums = " || ':' || ".join(f"sum(('0x' || substr(sha256({row_sql(columns)}), {1 + 8 * i}, 8))::UBIGINT)::BIGINT" for i in range(4))
+    return f"sha256(count(*) || ':' || {sums})"
 
 
 @query(

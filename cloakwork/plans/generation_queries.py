@@ -14,7 +14,7 @@ from cloakwork.operators.synthesis import Check, Col, Table
 from cloakwork.plans import sqltext as sql
 from cloakwork.functions import wordlists as words
 from cloakwork.plans.registry import query
-from cloakwork.session import spread
+from cloakwork.session import scratch_path, spread
 
 GEN = MaskKey("synthetic", "7")
 
@@ -118,8 +118,8 @@ def places(t):
 
 @query(
     "generate_business_values",
-    f"SELECT row, {sql.listing(words.COMPANIES)}[{d('s.company', 'row', 0, 15)} + 1] AS company, {sql.listing(gen.ORDER_STATES)}[{d('s.state', 'row', 0, 6)} + 1] AS state, "
-    f"{sql.listing(gen.LOREM)}[{d('s.word', 'row', 0, 10)} + 1] AS word FROM {R}",
+    f"SELECT row, {sql.listing(words.COMPANIES)}[{d('s.company', 'row', 0, len(words.COMPANIES))} + 1] AS company, {sql.listing(gen.ORDER_STATES)}[{d('s.state', 'row', 0, 6)} + 1] AS state, "
+    f"{sql.listing(gen.LOREM)}[{d('s.word', 'row', 0, len(gen.LOREM))} + 1] AS word FROM {R}",
 )
 def business(t):
     return generated(t, "s", {"company": Spec("COMPANY"), "state": Spec("ORDER_STATUS"), "word": Spec("LOREM_WORD")})
@@ -166,13 +166,13 @@ def bell(t):
 @query(
     "generate_network_values",
     f"SELECT row, {sql.listing(gen.HTTP_CODES)}[{d('i.http', 'row', 0, 10)} + 1] AS http, '10.' || {d('i.v4', 'row', 0, 256)} || '.' || {d('i.v4', 'row', 1, 256)} || '.' || (1 + {d('i.v4', 'row', 2, 254)}) AS v4, "
-    f"'https://' || {sql.listing(words.SAFE_DOMAINS)}[{d('i.url', 'row', 0, 5)} + 1] || '/shop' AS url FROM {R}",
+    f"'https://' || {sql.listing(words.SAFE_DOMAINS)}[{d('i.url', 'row', 0, len(words.SAFE_DOMAINS))} + 1] || '/shop' AS url FROM {R}",
 )
 def network(t):
     return generated(t, "i", {"http": Spec("HTTP_STATUS"), "v4": Spec("IPV4"), "url": Spec("URL", "/shop")})
 
 
-def shop(t, seed="7"):
+def shop(t, seed="7", store=None):
     """Customers, accounts and transfers as many as the given customers and orders."""
     customers, orders = t.customer.count(), t.orders.count()
     tables = [
@@ -192,7 +192,7 @@ def shop(t, seed="7"):
             Col("amount", "DECIMAL_RANGE", "-50", "900", type="decimal(12,2)", check=Check(low="0")),
         ]),
     ]
-    return syn.Generator(t.spark, tables, seed).run()
+    return syn.Generator(t.spark, tables, seed, store=store).run()
 
 
 EDGES = [Edge("customers", "boss", "customers", "id"), Edge("accounts", "owner", "customers", "id"), Edge("transfers", "account", "accounts", "no")]
@@ -205,13 +205,17 @@ EDGES = [Edge("customers", "boss", "customers", "id"), Edge("accounts", "owner",
     "('repeated', 'accounts.no', 0), ('repeated', 'transfers.id', 0), ('orphans', 'customers.boss', 0), ('orphans', 'accounts.owner', 0), ('orphans', 'transfers.account', 0))",
 )
 def evidence(t):
-    return syn.load_evidence(shop(t), EDGES, {"customers": ["id", "mail"], "accounts": ["no"], "transfers": ["id"]})
+    return syn.load_evidence(shop(t, store=scratch_path(t.spark, "shop")), EDGES, {"customers": ["id", "mail"], "accounts": ["no"], "transfers": ["id"]})
 
 
-@query("generate_children_bounds", "SELECT 3 AS fewest, 3 AS most, count(*) AS parents FROM customer")
+@query("generate_children_bounds", "SELECT true AS at_least_one, true AS at_most_five, true AS they_vary, count(*) AS parents, 3 * count(*) AS children FROM customer")
 def bounds(t):
+    """Every parent has one to five children, three on average, and not all the same number."""
     per = shop(t)["accounts"].groupBy("owner").agg(F.count("*").alias("n"))
-    return per.agg(F.min("n").alias("fewest"), F.max("n").alias("most"), F.count("*").alias("parents"))
+    return per.agg(
+        (F.min("n") >= 1).alias("at_least_one"), (F.max("n") <= 5).alias("at_most_five"), (F.count_distinct("n") > 1).alias("they_vary"),
+        F.count("*").alias("parents"), F.sum("n").alias("children"),
+    )
 
 
 @query("generate_composite_key", "SELECT count(*) AS n_rows, 0 AS mismatched FROM orders")
@@ -269,6 +273,53 @@ def unique(t):
     return out.agg(F.count("*").alias("n_rows"), F.count_distinct("name").alias("distinct_out"), F.count_if(F.col("name") == F.col("before")).alias("kept"))
 
 
+@query(
+    "generate_unique_planted",
+    "SELECT count(*) AS n_rows, count(*) AS texts, count(*) AS numbers, count(*) AS days, 0 AS nulls FROM part",
+)
+def unique_planted(t):
+    """Values that look like repaired ones are planted; numbers and dates stay of their type."""
+    row = (F.col("p_partkey") + 1).alias("_row")
+    rows = t.part.select(
+        row, F.when(F.col("p_partkey") % 3 == 0, "a").otherwise(F.concat(F.lit("a-"), (F.col("p_partkey") + 1 - F.col("p_partkey") % 3).cast("string"))).alias("text"),
+        (F.col("p_partkey") % 10).cast("string").alias("number"), F.lit("2024-01-01").alias("day"),
+    )
+    out = syn.made_unique(syn.made_unique(syn.made_unique(rows, "text"), "number", "int"), "day", "date")
+    kinds = out.select("text", F.col("number").try_cast("int").alias("number"), F.col("day").try_cast("date").alias("day"))
+    return kinds.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("text").alias("texts"), F.count_distinct("number").alias("numbers"),
+        F.count_distinct("day").alias("days"), F.count_if(F.col("text").isNull() | F.col("number").isNull() | F.col("day").isNull()).alias("nulls"),
+    )
+
+
+@query(
+    "generate_wide_ranges",
+    f"SELECT count(*) AS n_rows, true AS inside, true AS past_32_bits, true AS rarely_repeats FROM {R}",
+)
+def wide_ranges(t):
+    """Ranges that 32 bits cannot fill."""
+    out = generated(t, "w", {"big": Spec("INT_RANGE", "0", "1000000000000"), "money": Spec("DECIMAL_RANGE", "0", "1000000000000")})
+    big, money = F.col("big").cast("bigint"), F.col("money").cast("decimal(20,2)")
+    return out.agg(
+        F.count("*").alias("n_rows"), (F.min(big) >= 0).__and__(F.max(big) <= 10**12).alias("inside"),
+        (F.max(big) > 2**33).__and__(F.max(money) > 2**33).alias("past_32_bits"), (F.count_distinct(big) > 0.99 * F.count("*")).alias("rarely_repeats"),
+    )
+
+
+@query(
+    "profile_lists_all_weights",
+    "SELECT count(DISTINCT n_name) AS listed, count(*) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def all_weights(t):
+    """A column drawn by weight keeps all of its values, as many as count as few."""
+    from cloakwork.operators.discovery import recommend
+
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("market"))
+    weights = F.split("param1", r"\|")
+    total = F.aggregate(weights, F.lit(0).cast("bigint"), lambda s, w: s + F.element_at(F.split(w, ":"), 2).cast("bigint"))
+    return recommend(rows).where("generator = 'WEIGHTED'").select(F.size(weights).cast("bigint").alias("listed"), total.alias("total"))
+
+
 @query("generate_look_alike", "SELECT count(*) AS n_rows, 5 AS segments, count(*) AS distinct_keys, 0 AS source_names FROM customer")
 def look_alike(t):
     plan = syn.look_alike(t.customer, "customer", t.customer.count(), ["c_custkey"])

@@ -244,6 +244,25 @@ def text_json(t):
     return t.events.select("event_id", structured.change_json_text(doc, change).alias("doc"))
 
 
+@query("text_mask_keeps_markup", "SELECT doc_id, true AS json_same, true AS html_same, true AS xml_same FROM documents")
+def text_markup(t):
+    """Texts inside JSON, HTML and XML, with escapes and entities: what is read back is the mask of the plain text."""
+    from cloakwork.functions.masks import mask
+
+    change = lambda x: mask("FORMAT_PRESERVE", x, KEY, "w")
+    text = F.concat(F.substring("text", 1, 60), F.lit(' "q" \\ & <b> \'é\n'), F.col("doc_id").cast("string"))
+    rows = spread(t.documents.select("doc_id", text.alias("x"))).withColumn("want", change(F.col("x")))
+    json = F.get_json_object(structured.change_json_text(F.to_json(F.struct("x")), change), "$.x")
+    written = structured.encoded(F.col("x"))
+    html = F.regexp_extract(structured.change_html_text(F.concat(F.lit("<p class='a'>"), written, F.lit("</p>")), change), r"(?s)^<p class='a'>(.*)</p>$", 1)
+    in_xml = structured.change_xml_text(F.concat(F.lit('<r a="'), written, F.lit('">'), written, F.lit("</r>")), change)
+    attribute, node = (F.regexp_extract(in_xml, r'(?s)^<r a="([^"]*)">(.*)</r>$', i) for i in (1, 2))
+    return rows.select(
+        "doc_id", (json == F.col("want")).alias("json_same"), (structured.decoded(html) == F.col("want")).alias("html_same"),
+        ((structured.decoded(attribute) == F.col("want")) & (structured.decoded(node) == F.col("want"))).alias("xml_same"),
+    )
+
+
 @query(
     "text_mask_html",
     "SELECT page_id, length(regexp_replace(html, '[^<]', '', 'g')) AS tags_kept, html LIKE '%<script>%' AS has_script FROM pages",

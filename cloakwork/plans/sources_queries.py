@@ -290,6 +290,12 @@ def page(t):
     return rows.withColumn("has_more", F.lit(more))
 
 
+@query("page_of_any_size", "SELECT o_orderkey, true AS has_more FROM orders ORDER BY o_orderkey LIMIT 300")
+def large_page(t):
+    rows, more = ops.page(t.orders.select("o_orderkey"), ["o_orderkey"], 300)
+    return rows.withColumn("has_more", F.lit(more))
+
+
 @query("create_target_like_source", "SELECT 0 AS n_rows, 11 AS n_columns FROM (SELECT count(*) FROM lineitem)")
 def create_like(t):
     path = scratch_path(t.spark, "like")

@@ -108,12 +108,20 @@ def net_changes(feed: DataFrame) -> DataFrame:
 
 
 def apply_net(target: DataFrame, netted: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
-    """Target after the netted changes: one full outer join; absent columns keep their value, null ones become null."""
+    """Target after the netted changes; absent columns keep their value, null ones become null.
+
+    The target is joined to the changes from its own side, and changes of keys it does not hold are added, so a small feed
+    is broadcast and a large target is neither shuffled nor sorted.
+    """
     kinds = {f.name: f.dataType for f in target.schema.fields}
     mine = netted.where(F.lower("table_name") == table.lower()).select(
         *[F.col("pk")[k].try_cast(kinds[k]).alias(f"_k_{k}") for k in key], "op", "values", "deleted_at"
     )
-    joined = target.join(mine, [F.col(k) == F.col(f"_k_{k}") for k in key], "full_outer")
+    same = [F.col(k) == F.col(f"_k_{k}") for k in key]
+    there = target.select(*key).join(mine.select(*[f"_k_{k}" for k in key]), same, "left_semi").select(*[F.col(k).alias(f"_k_{k}") for k in key])
+    new = mine.join(there, [f"_k_{k}" for k in key], "left_anti").where("op <> 'D'")
+    blank = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+    joined = target.join(mine, same, "left").unionByName(new.select(*blank, *[f"_k_{k}" for k in key], "op", "values", "deleted_at"))
     kept = joined.where(F.col("op").isNull() | (F.col("op") != "D"))
     out = []
     for name, kind in kinds.items():

@@ -6,10 +6,12 @@ sums of row-hash lanes; it does not depend on order, needs no sort, and is summe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ def bucket_of(key: Sequence[str], buckets: int) -> Column:
     return (hex_number(F.substring(F.sha2(cell_text(key).cast("binary"), 256), 1, 8)) % buckets).cast("int")
 
 
-def bucket_count(rows: int, per_bucket: int = 512, most: int = 1 << 20) -> int:
+def bucket_count(rows: int, per_bucket: int = 512) -> int:
     """Buckets for a table so that one holds about ``per_bucket`` rows; part of the manifest."""
-    return max(1, min(most, -(-rows // per_bucket)))
+    return max(1, -(-rows // per_bucket))
 
 
 def manifest(df: DataFrame, table: str, key: Sequence[str], buckets: int) -> DataFrame:
@@ -72,28 +74,31 @@ def row_diff(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFra
 def take(df: DataFrame, table: str, key: Sequence[str], buckets: int, store: str, snapshot: str) -> DataFrame:
     """Store a snapshot and return its manifest.
 
-    Only buckets with a digest not stored before are written, into a folder of this snapshot; the manifest says for
-    each bucket in which snapshot's folder its rows lie. Taking the same snapshot again replaces it.
+    Only buckets with a digest not stored before are written, into a folder of this attempt; the manifest says for each
+    bucket in which folder its rows lie. Folders are never written twice, so taking a snapshot again replaces its manifest
+    and leaves alone what other manifests point to. The rows are written before the manifest that names them.
     """
     spark = df.sparkSession
     home = f"{store}/{table}"
     found = manifest(df, table, key, buckets)
     earlier = stored_manifests(spark, store, table)
     if earlier is not None:
-        known = earlier.where(F.col("snapshot") != snapshot).groupBy("bucket", "digest").agg(F.min("stored_in").alias("_home"))
+        known = earlier.where(F.col("buckets") == buckets).groupBy("bucket", "digest").agg(F.min("stored_in").alias("_home"))
         found = found.join(known, ["bucket", "digest"], "left")
     else:
         found = found.withColumn("_home", F.lit(None).cast("string"))
-    rows = found.select(
-        "table_name", "bucket", "n_rows", "digest", F.coalesce("_home", F.lit(snapshot)).alias("stored_in"), F.lit(buckets).alias("buckets")
+    attempt = f"{snapshot}-{uuid.uuid4().hex[:12]}"
+    rows = cut(
+        found.select(
+            "table_name", "bucket", "n_rows", "digest", F.coalesce("_home", F.lit(attempt)).alias("stored_in"), F.lit(buckets).alias("buckets")
+        )
     )
-    path = f"{store}/manifest/{table}/snapshot={snapshot}"
-    cut(rows).write.mode("overwrite").parquet(path)
-    now = spark.read.parquet(path)
-    fresh = now.where(F.col("stored_in") == snapshot).select("bucket")
+    fresh = rows.where(F.col("stored_in") == attempt).select("bucket")
     data = df.withColumn("bucket", bucket_of(key, buckets)).join(fresh, "bucket", "left_semi")
-    data.write.mode("overwrite").parquet(f"{home}/stored_in={snapshot}")
-    return now
+    data.write.parquet(f"{home}/stored_in={attempt}")
+    path = f"{store}/manifest/{table}/snapshot={snapshot}"
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def stored_manifests(spark: SparkSession, store: str, table: str) -> DataFrame | None:
@@ -106,11 +111,9 @@ def stored_manifests(spark: SparkSession, store: str, table: str) -> DataFrame |
 
 
 def restore(spark: SparkSession, store: str, table: str, snapshot: str) -> DataFrame:
-    """Rows of a snapshot from the folders its manifest names; other folders are not read."""
+    """Rows of a snapshot from the folders its manifest names; the join prunes other folders (partitions) at run time."""
     listed = spark.read.parquet(f"{store}/manifest/{table}/snapshot={snapshot}")
-    folders = [r[0] for r in listed.select("stored_in").distinct().collect()]
     data = spark.read.parquet(f"{store}/{table}").withColumn("stored_in", F.col("stored_in").cast("string"))
-    data = data.where(F.col("stored_in").isin(*folders))
     return data.join(listed.select("stored_in", "bucket"), ["stored_in", "bucket"], "left_semi").drop("stored_in", "bucket")
 
 
@@ -125,17 +128,25 @@ def advance(spark: SparkSession, store: str, table: str, key: Sequence[str], bas
 
 
 def extract_together(sources: Mapping[str, tuple[DataFrame, str | None, Sequence[str]]], instant, buckets: int = 64) -> DataFrame:
-    """One instant for many sources ``name -> (frame, time column, key)``: rows, digest and status per source."""
-    parts = []
-    for name, (df, column, key) in sources.items():
-        rows = df.where(F.col(column) <= F.lit(instant)) if column else df
-        found = manifest(rows, name, key, buckets)
-        parts.append(
-            found.agg(
-                F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("buckets")
-            ).select(F.lit(name).alias("source"), "n_rows", "buckets", F.when(F.col("n_rows") > 0, "SUCCESS").otherwise("FAILED").alias("status"))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """One instant for many sources ``name -> (frame, time column, key)``: rows, digest and status per source.
+
+    Each source is read by an action of its own. One that fails becomes a FAILED row with its error, the others go on; an
+    empty source is a success with 0 rows. ``frame`` may be a function, so that opening a source may fail as well.
+    """
+    digest = F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda b: b["digest"])).cast("binary"), 256)
+    rows, spark = [], None
+    for name, (source, column, key) in sources.items():
+        try:
+            df = source() if callable(source) else source
+            spark = df.sparkSession
+            kept = df.where(F.col(column) <= F.lit(instant)) if column else df
+            found = manifest(kept, name, key, buckets)
+            seen = found.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count(F.lit(1)), digest).first()
+            rows.append((name, seen[0], seen[1], "SUCCESS", seen[2], None))
+        except (PySparkException, Py4JError) as error:
+            rows.append((name, 0, 0, "FAILED", None, str(error).splitlines()[0][:500]))
+    spark = spark or SparkSession.getActiveSession()
+    return spark.createDataFrame(rows, "source string, n_rows bigint, buckets bigint, status string, digest string, error string")
 
 
 def together_status(parts: DataFrame) -> DataFrame:

@@ -32,9 +32,9 @@ def test_sql_source_guard(spark):
     assert ops.sql_source(spark, "select 1 as a").first()["a"] == 1
 
 
-def test_unlinked_source_must_be_small(spark):
-    with pytest.raises(ValueError):
-        ops.join_unlinked(spark.range(5), spark.range(20).withColumnRenamed("id", "b"), rows=10)
+def test_unlinked_source_meets_every_row(spark):
+    big = spark.range(1500).withColumnRenamed("id", "b")
+    assert ops.join_unlinked(spark.range(5), big).count() == 7500
 
 
 def test_positions_with_one_hot_group(spark):
