@@ -22,6 +22,8 @@ SPARE = 2  # groups beyond the need, so that groups with empty partitions can be
 FEW = 4  # differences below which no spare groups are added: small sets would leave them empty
 SKETCH = 128  # counts of shingles by hash that bound the difference of two sets from below
 SIGNATURES = 500_000  # signatures that meet in one reducing task
+SLICE = 4 << 20  # bytes of text whose shingles a task holds at once
+MEMBERS = 20_000  # bucket members that one task compares with each other, bucket by bucket
 SMALL = 1_000_000  # rows of 16 bytes that a broadcast may hold, checked by count
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,7 +139,7 @@ def set_keys(docs: DataFrame, size: int, id_column: str, text_column: str) -> Da
     """``id, n_shingles, key``: the key is 128 bits of the set, null for an empty one."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.slices(parts, 1):
+        for part in B.slices(parts, 1, SLICE):
             sets = shingle_sets(part.column(1), size)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             counts = pa.array([len(s) for s in sets], pa.int64())
@@ -155,7 +157,7 @@ def shared_signatures(docs: DataFrame, size: int, bands: SizeBands, tasks: int,
     """
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.slices(parts, 0):
+        for part in B.slices(parts, 0, SLICE):
             sets = {xxhash.xxh3_128_digest(s.tobytes()): s for s in shingle_sets(part.column(0), size) if len(s)}
             keys = np.frombuffer(b"".join(sets), "V16")
             number, value = signatures(list(sets.values()), bands)
@@ -205,6 +207,41 @@ def sketch(shingles: np.ndarray) -> bytes:
     return len(shingles).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def apart_in_buckets(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one bucket and two components that sketches do not rule out.
+
+    A task takes many small buckets and compares the members of each in blocks, so ruled-out pairs never become rows.
+    """
+    tasks = max(16, math.ceil(mixed.count() / MEMBERS))
+    placed = mixed.join(sets.select("key", "sketch"), "key").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bucket", "ascending"), ("key", "ascending")])
+        keys = np.array(table.column("key").to_pylist(), object)
+        _, root = np.unique(np.frombuffer(b"".join(table.column("root").to_pylist()), "V16"), return_inverse=True)
+        drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 8 + SKETCH)
+        size = np.ascontiguousarray(drawn[:, :8]).view("<i8").reshape(-1)
+        counts = drawn[:, 8:].astype(np.int16)
+        _, first = np.unique(table.column("bucket").to_numpy(), return_index=True)
+        out: set[tuple[bytes, bytes]] = set()
+        for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+            for low in range(start, stop, 64):
+                high = min(stop, low + 64)
+                both = size[low:high, None] + size[start:stop]
+                apart = np.empty(both.shape, np.int64)
+                for block in range(start, stop, 1024):
+                    end = min(stop, block + 1024)
+                    apart[:, block - start : end - start] = np.abs(counts[low:high, None] - counts[block:end]).sum(axis=2, dtype=np.int64)
+                apart = np.maximum(apart, np.abs(size[low:high, None] - size[start:stop]))
+                open_ = (100 * (both - apart) >= percent * (both + apart)) & (root[low:high, None] != root[start:stop])
+                for x, y in zip(*np.nonzero(open_)):
+                    if low + x < start + y:
+                        out.add((keys[low + x], keys[start + y]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return placed.groupBy("task").applyInArrow(compare, "a binary, b binary")
+
+
 def not_ruled_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches allow the similarity.
 
@@ -281,8 +318,7 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
         if step == "rest":
             open_ = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
             mixed = kept(at.join(open_, "bucket").select("bucket", "key", "root"), "mixed")
-            other = mixed.select("bucket", F.col("key").alias("b"), F.col("root").alias("other"))
-            pairs = mixed.join(other, "bucket").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other"))).select(F.col("key").alias("a"), "b")
+            pairs = apart_in_buckets(mixed, sets, percent)
         else:
             head = roots.select(F.col("node").alias("least"), F.col("root").alias("other"))
             pairs = at.join(head, "least").where((F.col("key") != F.col("least")) & (F.col("root") != F.col("other")))
