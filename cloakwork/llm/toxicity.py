@@ -45,6 +45,8 @@ class Space:
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         distinct, codes, offsets = B.word_codes(texts)
+        if self.name not in _COLUMNS and len(_COLUMNS) > 1:
+            _COLUMNS.clear()  # of earlier jobs in this worker
         known = _COLUMNS.setdefault(self.name, {})
         if len(known) > B.CACHE_ENTRIES:
             known.clear()
