@@ -95,8 +95,9 @@ class Closure:
         """Keep the keys not selected before; None when there are none."""
         key = list(self.keys[table])
         rows = reduce(DataFrame.unionByName, candidates).distinct()
-        for known in self.found.get(table, []):
-            rows = rows.join(known, key, "left_anti")
+        if self.found.get(table):
+            known = reduce(DataFrame.unionByName, self.found[table])
+            rows = rows.join(known.select(*key), key, "left_anti")
         new = cut(rows.withColumn("found_in", F.lit(self.round)))
         count = new.count()
         if count == 0:
