@@ -69,6 +69,8 @@ class PieceIds:
     simply cut before each blank; the pieces behind the first are then known by what follows their blank.
     """
 
+    most = CACHE_ENTRIES
+
     def __init__(self) -> None:
         self.blank: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
@@ -79,7 +81,7 @@ class PieceIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offset of each text); null is empty."""
-        if len(self.blank) + len(self.plain) > CACHE_ENTRIES:
+        if len(self.blank) + len(self.plain) > self.most:
             self.blank.clear()
             self.plain.clear()
         texts = pc.fill_null(texts, "")

@@ -31,6 +31,8 @@ def byte_symbols() -> list[str]:
 class ByteBpe(B.PieceIds):
     """Vocabulary and merges of one file, and the ids of the pieces seen in this worker."""
 
+    most = 600_000  # a worker that decodes stands beside the one that encodes
+
     def __init__(self, definition: bytes):
         super().__init__()
         data = json.loads(definition)
