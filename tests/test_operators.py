@@ -353,3 +353,12 @@ def test_text_counts_against_brute_force(spark, tables, key):
     counts = done.select(F.explode(freetext.counts_by_kind(F.col("r.found"))).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n"))
     got = {r["k"]: r["n"] for r in counts.collect()}
     assert {k: got.get(k, 0) for k in want} == want
+
+
+def test_closure_follows_a_chain_to_its_end(spark):
+    """Deeper than any number of passes that the count of tables and keys suggests."""
+    from cloakwork.operators.subset import Edge, plan_subset
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(15)], "id int, boss int").coalesce(1)
+    found = plan_subset({"chain": chain}, {"chain": ["id"]}, [Edge("chain", "boss", "chain", "id")], "chain", where="id = 0", parents=False)
+    assert found.counts["chain"] == 15
