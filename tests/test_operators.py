@@ -357,8 +357,6 @@ def test_text_counts_against_brute_force(spark, tables, key):
 
 def test_closure_follows_a_chain_to_its_end(spark):
     """Deeper than any number of passes that the count of tables and keys suggests."""
-    from cloakwork.operators.subset import Edge, plan_subset
-
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(15)], "id int, boss int").coalesce(1)
-    found = plan_subset({"chain": chain}, {"chain": ["id"]}, [Edge("chain", "boss", "chain", "id")], "chain", where="id = 0", parents=False)
+    found = sub.plan_subset({"chain": chain}, {"chain": ["id"]}, [Edge("chain", "boss", "chain", "id")], "chain", where="id = 0", parents=False)
     assert found.counts["chain"] == 15
