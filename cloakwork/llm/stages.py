@@ -25,12 +25,12 @@ def keep_civil(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each component of near copies the document with the least id.
+    """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document with the least id.
 
     Of repeated rows (equal id and text) one stays. Rows without an id cannot be named by a component: they all stay.
     """
     ship(spark)
-    linked = jaccard_join.link(docs)
+    linked = jaccard_join.link(docs, size=5, percent=80)
     chosen = linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times"))
     joined = docs.join(chosen, F.col("doc_id") == F.col("_id"))
     once = joined.where("_times = 1").select(docs.columns)

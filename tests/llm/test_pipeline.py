@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cloakwork.llm.queries import ORACLES, QUERIES
-from test_near import by_hand
+from test_near import by_hand, shingles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,6 +56,35 @@ def test_one_document_of_each_group_stays(results):
     assert sorted(str(r["doc_id"]) for r in after.collect()) == sorted(i for i, _, c in by_hand(rows, 85) if i == c)
 
 
+def kept_by_hand(rows):
+    """Ids that stay: the least of each component of links with a 5-word Jaccard similarity of 0.8 or more."""
+    sets, group = [shingles(t, 5) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+
+
+def edited(text, at):
+    return " ".join(f"new{len(at)}x{i}" if i in at else w for i, w in enumerate(text.split()))
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, documents):
+    """Four spread edits in 200 words: 0.815 on five words, but 0.8498 on four."""
+    from cloakwork.llm import stages
+
+    base, other = (" ".join(f"{w}{i}" for i in range(200)) for w in "ab")
+    rows = [(1, base), (2, edited(base, (20, 70, 120, 170))), (3, edited(base, (15, 45, 75, 105, 135, 165))), (4, other), (5, edited(other, (90, 91, 92)))]
+    left = sorted(r["doc_id"] for r in stages.keep_one_of_near_copies(spark, documents(rows), FOLDER).collect())
+    assert left == kept_by_hand(rows) == [1, 3, 4]
+
+
+def test_near_copies_of_given_documents_by_five_words(results):
+    _, before, after = results[2]
+    assert sorted(r["doc_id"] for r in after.collect()) == kept_by_hand([(r["doc_id"], r["text"]) for r in before.collect()])
+
+
 def test_packing_holds_all_that_was_kept(results):
     _, before, after = results[3]
     assert {r["doc_id"] for r in after.select("doc_id").collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
