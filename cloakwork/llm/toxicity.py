@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,11 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 BLOCK = 64  # examples in a block of the index
 REMEMBERED = 20_000  # equal vectors that a task looks up once
 FIRST = 4  # blocks read before others are ruled out
+DENSE_BYTES = 24 << 20  # of a table of the columns that most examples hold
+LEAST_DENSE = 16  # examples that hold a column of that table
+TOGETHER = 64  # vectors looked up in the table at once
+SLICE = 2 << 20  # bytes of text whose terms are counted at once
+KNOWN = 300_000  # words whose terms a worker remembers
 _COLUMNS: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
@@ -30,7 +36,7 @@ def terms(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Space:
-    """Chosen terms with their IDF; ``name`` keys what workers remember of it."""
+    """Terms with their IDF; ``name`` keys what workers remember of it."""
 
     columns: dict[str, int]
     idf: np.ndarray
@@ -48,7 +54,7 @@ class Space:
         if self.name not in _COLUMNS and len(_COLUMNS) > 1:
             _COLUMNS.clear()  # of earlier jobs in this worker
         known = _COLUMNS.setdefault(self.name, {})
-        if len(known) > B.CACHE_ENTRIES:
+        if len(known) > KNOWN:
             known.clear()
         names = distinct.to_numpy(zero_copy_only=False).tolist()
         for name in names:
@@ -75,63 +81,98 @@ def forget(space: Space) -> None:
 class BlockMaxIndex:
     """Postings by column, cut into blocks of examples, with the largest weight of each column in each block.
 
-    ``limit`` and ``run`` are tables of columns by blocks: bounded like the examples and terms.
+    Runs (the postings of one column in one block) are kept by column, only where there are any. The columns that most examples
+    hold, as many as DENSE_BYTES take, stand in a table instead: their part of the cosine is a product for many vectors.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.size = len(vectors)
-        self.blocks = (self.size + BLOCK - 1) // BLOCK
-        row = np.repeat(np.arange(self.size), [len(c) for c, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        self.blocks = max(1, (self.size + BLOCK - 1) // BLOCK)
+        row = np.repeat(np.arange(self.size, dtype=np.int32), [len(c) for c, _ in vectors]) if vectors else np.zeros(0, np.int32)
         column = np.concatenate([c for c, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((row, column))
-        self.row, self.weight, column = row[order], weight[order], column[order]
-        place = column * max(1, self.blocks) + self.row // BLOCK
-        places, self.first, self.length = np.unique(place, return_index=True, return_counts=True)
-        self.run = np.full(width * max(1, self.blocks), -1, np.int32)
-        self.run[places] = np.arange(len(places))
-        self.limit = np.zeros(len(self.run))
-        self.limit[places] = np.maximum.reduceat(self.weight, self.first) if len(places) else 0
-        self.run, self.limit = (x.reshape(width, max(1, self.blocks)) for x in (self.run, self.limit))
-
-    def _read(self, column: np.ndarray, weight: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        held = np.bincount(column, minlength=width)
+        common = np.argsort(-held, kind="stable")[: DENSE_BYTES // (8 * self.blocks * BLOCK)]
+        common = common[held[common] >= LEAST_DENSE]
+        self.place = np.full(width, -1, np.int32)  # of a column in the table
+        self.place[common] = np.arange(len(common))
+        at = self.place[column]
+        self.table = np.zeros((len(common), self.blocks * BLOCK))
+        self.table[at[at >= 0], row[at >= 0]] = weight[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        del at
+        rest = rest[np.argsort(column[rest], kind="stable")]  # rows rise already
+        self.row, self.weight, column = row[rest], weight[rest], column[rest]
+        del row, weight, rest
+        runs = column.astype(np.int64) * self.blocks + self.row // BLOCK
+        first = np.flatnonzero(np.diff(runs, prepend=-1))
+        runs, length = runs[first], np.diff(first, append=len(runs))
+        self.first, self.length, self.block = first.astype(np.int32), length.astype(np.int32), (runs % self.blocks).astype(np.int32)
+        self.limit = np.maximum.reduceat(self.weight, first) if len(runs) else np.zeros(0)
+        self.start = np.searchsorted(runs // self.blocks, np.arange(width + 1)).astype(np.int32)  # runs of each column
+
+    def _read(self, base: np.ndarray, run: np.ndarray, weight: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of all examples in the blocks with a cosine above 0."""
-        runs = self.run[column[:, None], blocks]
-        term, at = np.nonzero(runs >= 0)
-        run = runs[term, at]
+        place = np.full(self.blocks, -1)
+        place[blocks] = np.arange(len(blocks))
+        at = place[self.block[run]]
+        run, weight, at = run[at >= 0], weight[at >= 0], at[at >= 0]
         each = self.length[run]
         ends = np.cumsum(each)
         posting = np.repeat(self.first[run] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
         local = np.repeat(at * BLOCK, each) + self.row[posting] % BLOCK
-        score = np.bincount(local, np.repeat(weight[term], each) * self.weight[posting], len(blocks) * BLOCK)
+        score = np.bincount(local, np.repeat(weight, each) * self.weight[posting], len(blocks) * BLOCK) + base[blocks].reshape(-1)
         hit = np.flatnonzero(score > 0)
         number = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
         kept = number != but
         return number[kept], score[hit[kept]]
 
-    def nearest(self, column: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties: the lower number), exactly; ``but`` is left out.
-
-        A block's bound is the sum of query weight times block maximum. The FIRST blocks of largest bound give the k-th best so
-        far; after these, only blocks whose bound reaches it are read, and none if there is none.
-        """
-        bound = weight @ self.limit[column]
+    def _nearest(self, base: np.ndarray, column: np.ndarray, weight: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """``base``: by block and example, what the columns of the table give."""
+        rest = self.place[column] < 0
+        start, each = self.start[column[rest]], (self.start[column[rest] + 1] - self.start[column[rest]])
+        ends = np.cumsum(each)
+        run = np.repeat(start - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        of_run = np.repeat(weight[rest], each)
+        bound = base.max(axis=1) + np.bincount(self.block[run], of_run * self.limit[run], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found, scores = self._read(column, weight, order[:FIRST], but)
+        found, scores = self._read(base, run, of_run, order[:FIRST], but)
         if len(order) > FIRST:
             floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
-            rest = order[FIRST:]
-            rest = rest[bound[rest] >= floor - 1e-12]
-            if len(rest):
-                more, theirs = self._read(column, weight, rest, but)
+            more_blocks = order[FIRST:]
+            more_blocks = more_blocks[bound[more_blocks] >= floor - 1e-12]
+            if len(more_blocks):
+                more, theirs = self._read(base, run, of_run, more_blocks, but)
                 found, scores = np.append(found, more), np.append(scores, theirs)
         if len(scores) > k:
             near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12
             found, scores = found[near], scores[near]
-        best = np.lexsort((found, -np.round(scores, 12)))[:k]
+        scores = np.round(scores, 12)
+        best = np.lexsort((found, -scores))[:k]
         return found[best], np.minimum(scores[best], 1.0)
 
+    def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k examples of largest cosine above 0 (ties: the lower number) of each vector, exactly; ``but`` is left out.
+
+        A block's bound is its largest product in the table and the sum of query weight times block maximum over the other
+        columns. The FIRST blocks of largest bound give the k-th best so far; after these, only blocks whose bound reaches it are
+        read, and none if there is none.
+        """
+        out = []
+        for first in range(0, len(vectors), TOGETHER):
+            part = vectors[first : first + TOGETHER]
+            asked = np.zeros((len(part), len(self.table)))
+            for i, (column, weight) in enumerate(part):
+                at = self.place[column]
+                asked[i, at[at >= 0]] = weight[at >= 0]
+            base = (asked @ self.table).reshape(len(part), self.blocks, BLOCK)
+            out += [self._nearest(base[i], c, w, k, but[first + i] if but else -1) for i, (c, w) in enumerate(part)]
+        return out
+
+    def nearest(self, column: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of_each([(column, weight)], k, [but])[0]
+
 
 @dataclass
 class Judge:
@@ -159,15 +200,17 @@ class Judge:
         row, column, weight = self.space.vectors(texts)
         bounds = np.searchsorted(row, np.arange(len(texts) + 1))
         scores, evidence = np.full(len(texts), self.silent), [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        if len(self._votes) > REMEMBERED:
+            self._votes.clear()
+        keys, new = {}, {}
         for i in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(bounds[i], bounds[i + 1])
-            key = column[part].tobytes() + weight[part].tobytes()
-            if key not in self._votes:
-                found, cosine = self.index.nearest(column[part], weight[part], self.k)
-                vote = self.calibrated(self.vote(found, cosine)) if len(found) else self.silent
-                if len(self._votes) > REMEMBERED:
-                    self._votes.clear()
-                self._votes[key] = vote, (found, cosine)
+            keys[i] = xxhash.xxh3_128_digest(column[part].tobytes() + weight[part].tobytes())
+            if keys[i] not in self._votes:
+                new[keys[i]] = column[part], weight[part]
+        for key, (found, cosine) in zip(new, self.index.nearest_of_each(list(new.values()), self.k)):
+            self._votes[key] = (self.calibrated(self.vote(found, cosine)) if len(found) else self.silent), (found, cosine)
+        for i, key in keys.items():
             scores[i], evidence[i] = self._votes[key]
         return scores, evidence
 
@@ -185,49 +228,46 @@ def rising_steps(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tu
     return steps, np.array([(x[1] / x[2] * x[3] + 0.5) / (x[3] + 1) for x in levels])
 
 
-def _term_counts(rows: DataFrame, kept: list[str] | None = None) -> DataFrame:
-    """(term, label, texts that hold it), partly summed in each slice. ``kept``: only these terms, labels ignored."""
-    space = None if kept is None else Space({t: i for i, t in enumerate(kept)}, np.ones(len(kept)))
+def _terms_of(texts: DataFrame) -> list[str]:
+    """All terms of a column of texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for part in B.slices(parts, 0):
-            texts = part.column(0)
-            if space is not None:
-                seen = np.bincount(space.counts(texts)[1], minlength=len(kept))
-                names, label, count = [*kept, ""], np.zeros(len(kept) + 1, bool), [*seen.tolist(), len(texts)]
-            else:
-                distinct, codes, offsets = B.word_codes(texts)
-                held = [terms(n) for n in distinct.to_numpy(zero_copy_only=False).tolist()]
-                number = {t: i for i, t in enumerate(dict.fromkeys(t for h in held for t in h))}
-                mine = Space(number, np.ones(len(number)))
-                row, column, _ = mine.counts(texts)
-                forget(mine)
-                toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                names, label, count = [], [], []
-                for value in (False, True):
-                    seen = np.bincount(column[toxic[row] == value], minlength=len(number))
-                    hit = np.flatnonzero(seen)
-                    all_names = list(number)
-                    names += [all_names[i] for i in hit.tolist()]
-                    label += [value] * len(hit)
-                    count += seen[hit].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(label, pa.bool_()), pa.array(count, pa.int64())], ["term", "label", "n"]
-            )
+            for word in B.word_codes(part.column(0))[0].to_pylist():
+                seen.update(terms(word))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["term"])
+
+    return sorted(texts.mapInArrow(run, "term string").distinct().toArrow().column(0).to_pylist())
+
+
+def _texts_that_hold(texts: DataFrame, sent: Broadcast[Space]) -> tuple[int, np.ndarray]:
+    """(texts, texts that hold each term), summed in each task."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = sent.value
+        seen, total = np.zeros(len(space.columns), np.int64), 0
+        for part in B.slices(parts, 0, SLICE):
+            seen += np.bincount(space.counts(part.column(0))[1], minlength=len(seen))
+            total += part.num_rows
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(seen[held], total))], ["term", "n"])
 
-    return rows.mapInArrow(run, "term string, label boolean, n long")
+    sums = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(sent.value.columns) + 1, np.int64)  # the last one is the number of texts
+    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    return int(counts[-1]), counts[:-1]
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, most_examples: int = 4096, most_bytes: int = 64 << 20, most_terms: int = 4096,
-    least_z: float = 4.0, k: int = 15, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
+    docs: DataFrame, labels: DataFrame, most_examples: int = 4096, k: int = 15, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
 ) -> Judge:
     """Examples, terms, index and calibration.
 
-    The fit is bounded: at most ``most_examples`` labelled documents of each class (those with the least hash of their id) and
-    ``most_terms`` terms, those whose share of texts differs between the classes by ``least_z`` standard errors or more. Each
-    example stands for as many labelled rows as its class has to one example. IDF counts every document. Texts longer than
-    ``most_bytes`` divided by the examples are examples too, only their vectors leave the tasks. Null ids and labels are left
+    The fit is bounded: at most ``most_examples`` labelled documents of each class (those with the least hash of their id). Their
+    vectors hold every term that any example has, however rare; IDF counts every document. Words that no example has add
+    nothing to a product and are not part of a text's length either: they would scale its cosines alike. Each example stands
+    for as many labelled rows as its class has to one example. Only vectors leave the tasks. Null ids and labels are left
     out; an id labelled twice is toxic if half its labels say so. Without examples of both classes the score is their share
     (0.5 if there are none).
     """
@@ -245,47 +285,41 @@ def learn(
     total = sum(given.values())
     if len(given) < 2:
         return prior((given.get(True, 0) + 0.5) / (total + 1))
-    counted = _term_counts(rows.select("_text", "_toxic")).groupBy("term").pivot("label", [False, True]).agg(F.sum("n"))
     n = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     if len(n) < 2:
         return prior((given.get(True, 0) + 0.5) / (total + 1))
-    a, b = F.coalesce(F.col("true"), F.lit(0)) + 0.5, F.coalesce(F.col("false"), F.lit(0)) + 0.5
-    c, d = F.lit(n[True] + 1.0) - a, F.lit(n[False] + 1.0) - b
-    z = F.abs(F.log(a * d / (b * c))) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    telling = counted.where(a + b >= 5).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most_terms)
-    kept = sorted(r["term"] for r in telling.select("term").collect())
-    sums = {r["term"]: r["n"] for r in _term_counts(texts.select("_text"), kept).groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    everything = sums.get("", 0)
-    space = Space({t: i for i, t in enumerate(kept)}, np.array([math.log((1 + everything) / (1 + sums.get(t, 0))) + 1 for t in kept]))
+    held = _terms_of(rows.select("_text"))
+    bare = Space({t: i for i, t in enumerate(held)}, np.ones(len(held)))
+    del held
+    context = docs.sparkSession.sparkContext
+    everything, seen = _texts_that_hold(texts.select("_text"), context.broadcast(bare))
+    space = Space(bare.columns, np.log((1 + everything) / (1 + seen)) + 1, bare.name)
+    sent = context.broadcast(space)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.slices(parts, 1):
-            row, column, weight = space.vectors(part.column(1))
-            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+        for part in B.slices(parts, 1, SLICE):
+            row, column, weight = sent.value.vectors(part.column(1))
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+            cols, weights = ([x[a:b].tobytes() for a, b in zip(ends, ends[1:])] for x in (column.astype("<i4"), weight.astype("<f8")))
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(column)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(weight)),
-                ],
-                ["id", "toxic", "cols", "weights"],
+                [part.column(0), part.column(2), pa.array(cols, pa.binary()), pa.array(weights, pa.binary())], ["id", "toxic", "cols", "weights"]
             )
 
     vectors = rows.select(F.col("_id").cast("string").alias("id"), "_text", "_toxic").mapInArrow(
-        run, "id string, toxic boolean, cols array<long>, weights array<double>"
+        run, "id string, toxic boolean, cols binary, weights binary"
     )
     # one row per example even where ids repeat, so the bound holds; like examples stand in one block
     found = vectors.groupBy("id").agg(F.min(F.struct("cols", "weights", "toxic")).alias("v")).select("id", "v.*").collect()
-    found.sort(key=lambda r: ([c for _, c in sorted(zip(r["weights"], r["cols"]), reverse=True)], r["id"]))
+    heaviest = lambda r: np.frombuffer(r["cols"], "<i4")[np.argsort(-np.frombuffer(r["weights"], "<f8"), kind="stable")[:BLOCK]].tolist()
+    found.sort(key=lambda r: (heaviest(r), r["id"]))
     toxic = np.array([r["toxic"] for r in found], float)
     stands_for = {v: given[v] / max(1, int((toxic == v).sum())) for v in (False, True)}
     weight = np.array([stands_for[bool(t)] for t in toxic])
-    pairs = [(np.array(r["cols"], np.int64), np.array(r["weights"], float)) for r in found]
-    judge = Judge(space, BlockMaxIndex(pairs, len(kept)), [r["id"] for r in found], toxic, weight, k)
+    pairs, ids = [(np.frombuffer(r["cols"], "<i4"), np.frombuffer(r["weights"], "<f8")) for r in found], [r["id"] for r in found]
+    del found
+    judge = Judge(space, BlockMaxIndex(pairs, len(space.columns)), ids, toxic, weight, k)
     # calibrate on what each example's neighbours say without it
-    own: list[float | None] = []
-    for i, (column, w) in enumerate(pairs):
-        near = judge.index.nearest(column, w, k, but=i) if len(column) else (np.zeros(0, np.int64), np.zeros(0))
-        own.append(judge.vote(*near) if len(near[0]) else None)
+    own = [judge.vote(*near) if len(near[0]) else None for near in judge.index.nearest_of_each(pairs, k, list(range(len(pairs))))]
     quiet = np.array([v is None for v in own], bool)
     judge.silent = float(((weight * toxic)[quiet].sum() + 0.5) / (weight[quiet].sum() + 1))
     if (~quiet).any():
@@ -296,7 +330,7 @@ def learn(
 def score(docs: DataFrame, judge: Judge, text_column: str = "text", into: str = "_toxicity") -> DataFrame:
     """The rows of ``docs`` with a struct of ``score`` (0 to 1) and ``evidence``, the nearest examples with cosine and label.
 
-    Only the text is looked at. Null, empty and other texts without a chosen term have no neighbours and get the share of toxic
+    Only the text is looked at. Null, empty and other texts without a term of the examples have no neighbours and get the share of toxic
     rows among such examples. Ties go to the example that stands first in the index; repeated rows score alike; an empty
     table stays empty. Evaluated once per row, in slices of bounded bytes.
     """
@@ -309,7 +343,7 @@ def score(docs: DataFrame, judge: Judge, text_column: str = "text", into: str =
         names = np.array(mine.ids, object)
         for whole in parts:
             done = []
-            for part in B.slices([pa.RecordBatch.from_arrays([whole], ["text"])], 0):
+            for part in B.slices([pa.RecordBatch.from_arrays([whole], ["text"])], 0, SLICE):
                 scores, evidence = mine.score(part.column(0))
                 ends = np.cumsum([0, *(len(f) for f, _ in evidence)]).astype(np.int32)
                 number = np.concatenate([f for f, _ in evidence])

@@ -124,6 +124,34 @@ def test_scores_follow_tf_idf_by_hand(spark, documents):
     assert toxicity.score(documents([]), judge).count() == 0
 
 
+def test_nearest_is_exact_over_rare_and_common_columns():
+    draw = np.random.default_rng(5)
+    width, vectors = 3000, []
+    for _ in range(700):
+        column = np.unique(np.concatenate([draw.choice(30, 6), draw.integers(30, width, 8)]))
+        weight = draw.random(len(column)) + 0.1
+        vectors.append((column, weight / np.linalg.norm(weight)))
+    dense = np.zeros((len(vectors), width))
+    for i, (c, w) in enumerate(vectors):
+        dense[i, c] = w
+    index = toxicity.BlockMaxIndex(vectors, width)
+    assert 0 < len(index.table) < width and len(index.row)
+    for i, (found, scores) in zip(range(0, 700, 3), index.nearest_of_each(vectors[::3], 9, list(range(0, 700, 3)))):
+        cosine = np.round(dense @ dense[i], 12)
+        want = [j for j in sorted(range(len(vectors)), key=lambda j: (-cosine[j], j)) if cosine[j] > 0 and j != i][:9]
+        assert found.tolist() == want and np.allclose(scores, np.minimum(cosine[want], 1))
+
+
+def test_rare_words_of_examples_count(spark, documents):
+    """Each toxic word stands in one example only: a near copy of that example is still found by it."""
+    rows = [(i, f"slur{i:02d}x common words here" if i % 4 == 0 else f"nice{i:02d}x common words here") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    judge = toxicity.learn(documents(rows), labels)
+    got = {r["doc_id"]: r["_toxicity"]["evidence"] for r in toxicity.score(documents([(1, "such a SLUR08X"), (2, "nice05x")]), judge).collect()}
+    assert got[1][0]["example"] == "8" and got[1][0]["toxic"] and got[1][0]["cosine"] > 0.5
+    assert got[2][0]["example"] == "5" and not got[2][0]["toxic"]
+
+
 def test_isotonic_levels_rise():
     votes, toxic = np.array([0.0, 0.1, 0.1, 0.4, 0.5, 0.9]), np.array([0, 1, 0, 0, 1, 1.0])
     steps, levels = toxicity.rising_steps(votes, toxic, np.ones(6))
