@@ -17,7 +17,10 @@ from cloakwork.session import scratch_path
 SHARD_BYTES = 32 << 20  # of single-precision vectors in one graph
 LEAST_SHARDS = 8  # so that small inputs also use several tasks
 QUERIES = 2048  # vectors that one task looks up in one shard
-AUDITED = 64  # queries of a task that are also answered by brute force
+AUDITED = 64  # queries of a task that are answered by brute force at once
+LINKED = 32  # audited queries with links to other vectors that a task must have seen to trust its beam
+WIDEST = 512  # beam beyond which brute force is no dearer
+EXACT_BYTES = 64 << 20  # of products held at once by brute force
 MARGIN = 1e-4  # single-precision candidates this far below the threshold are verified too
 
 
@@ -57,6 +60,16 @@ def _roots(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         root = new
 
 
+def _exact(unit: np.ndarray, vectors: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query number, row) pairs with a dot product >= ``floor``."""
+    step, q, r = max(1, EXACT_BYTES // (4 * max(1, len(vectors)))), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(unit), step):
+        a, b = np.nonzero(unit[start : start + step] @ vectors.T >= floor)
+        q.append(a + start)
+        r.append(b)
+    return np.concatenate(q), np.concatenate(r)
+
+
 def _looker(least: float, recall: float, beam: int):
     def look(queries: pa.Table, shards: pa.Table) -> pa.Table:
         """(class, root, links): copies in this shard that a queried class links to, and links as a spanning forest."""
@@ -71,19 +84,11 @@ def _looker(least: float, recall: float, beam: int):
         asked = np.array(queries.column("embedding").combine_chunks().flatten(), np.float64).reshape(queries.num_rows, -1)
         own, unit = queries.column("class").to_numpy(), _unit(asked)
         floor = least - MARGIN
-        sample = np.argsort(own * 2654435761 % (1 << 32), kind="stable")[:AUDITED]
-        q, r = np.nonzero(unit[sample] @ graph.vectors.T >= floor)
-        truth, wide = q * len(raw) + r, beam
-        while True:  # widen the beam until the audit passes; a beam as wide as the shard reads all that can be reached
-            q, r = graph.within(unit[sample], floor, min(wide, len(raw)))
-            if np.isin(truth, q * len(raw) + r).sum() >= recall * len(truth) or wide >= len(raw):
-                break
-            wide *= 2
         links, a, b = np.zeros(len(own), np.int64), [], []
         norm, norms = np.linalg.norm(asked, axis=1), np.linalg.norm(raw, axis=1)
-        for start in range(0, len(own), FULL_BATCH):
-            q, r = graph.within(unit[start : start + FULL_BATCH], floor, min(wide, len(raw)))
-            q = q + start
+
+        def verify(q: np.ndarray, r: np.ndarray) -> None:
+            nonlocal links
             cosine = np.concatenate(
                 [np.einsum("nd,nd->n", asked[q[i : i + 65536]], raw[r[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)]
             ) / (norm[q] * norms[r])
@@ -92,6 +97,30 @@ def _looker(least: float, recall: float, beam: int):
             links += np.bincount(q, copies[r], len(own)).astype(np.int64)
             a.append(own[q])
             b.append(classes[r])
+
+        # the audit: exact answers, which also stand, until enough queries have links to other vectors
+        order = np.argsort(own * 2654435761 % (1 << 32), kind="stable")
+        audited, seen, truth = 0, 0, [np.zeros(0, np.int64)]
+        while audited < len(own) and seen < LINKED:
+            part = order[audited : audited + AUDITED]
+            q, r = _exact(unit[part], graph.vectors, floor)
+            verify(part[q], r)
+            other = own[part[q]] != classes[r]
+            truth.append((q[other] + audited) * len(raw) + r[other])
+            seen += len(np.unique(q[other]))
+            audited += len(part)
+        truth, rest, wide = np.concatenate(truth), order[audited:], beam
+        of_each = np.bincount(truth // len(raw), minlength=audited)
+        by_graph = False
+        while len(rest) and not by_graph and wide <= WIDEST:  # widen the beam until the audit passes
+            q, r = graph.within(unit[order[:audited]], floor, min(wide, len(raw)))
+            found = np.bincount(truth // len(raw), np.isin(truth, q * len(raw) + r), audited)
+            by_graph = (found[of_each > 0] / of_each[of_each > 0]).mean() >= recall  # each query counts alike, however many links it has
+            wide *= 1 if by_graph else 2
+        for start in range(0, len(rest), FULL_BATCH):
+            part = rest[start : start + FULL_BATCH]
+            q, r = graph.within(unit[part], floor, min(wide, len(raw))) if by_graph else _exact(unit[part], graph.vectors, floor)
+            verify(part[q], r)
         a, b = np.concatenate(a), np.concatenate(b)
         nodes, at = np.unique(np.concatenate([a, b, own]), return_inverse=True)
         root = nodes[_roots(at[: len(a)], at[len(a) : 2 * len(a)], len(nodes))]
@@ -111,8 +140,9 @@ def link_embeddings(
 
     Equal vectors are one class with a number of copies. Classes are dealt to shards of bounded bytes, each with its own
     hierarchical small-world graph; every class is looked up in every shard of its dimension by tasks of QUERIES vectors. A
-    task answers AUDITED queries by brute force too and doubles its beam until ``recall`` of these links is found; where links
-    are found, the search goes on over graph neighbours until none is new. Links are verified on the given values in double
+    task answers queries by brute force until LINKED of them have links to other vectors (these answers stand), and doubles its
+    beam until the mean share found of such a query's links is ``recall``; if WIDEST fails too, or links are too few to tell,
+    brute force answers the whole task. Where links are found, the search goes on over graph neighbours until none is new. Links are verified on the given values in double
     precision. A task returns sums and a spanning forest, so a group of near copies costs no pairs outside its tasks.
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do vectors of different
     length. Null ids join components but never name one unless all are null; repeated ids are rows of their own; an empty

@@ -173,3 +173,26 @@ def test_graph_recall():
     for size in (1, 2, 3):
         small = SmallWorld(v[:size])
         assert len(small.within(v[:size], 0.999, 4)[0]) >= size
+
+
+@pytest.mark.parametrize("hot, pairs", [(400, 40), (0, 300)])
+def test_audit_sees_lost_links_of_small_groups(hot, pairs):
+    """Half of each pair cannot be reached in the graph: neither a hot group nor sparse links may hide that."""
+    draw = np.random.default_rng(6)
+    centre, twins = draw.normal(size=32), draw.normal(size=(pairs, 32))
+    given = np.concatenate([centre + 0.02 * draw.normal(size=(hot, 32)), twins, twins + 0.01 * draw.normal(size=(pairs, 32))])
+    n = len(given)
+    columns = {"dim": [32] * n, "shard": [0] * n, "class": list(range(n)), "copies": [1] * n, "embedding": given.tolist()}
+    shard = embedding_dedup._build(pa.table(columns))
+    at = np.frombuffer(shard.column("classes")[0].as_py(), "<i8")
+    lost = np.flatnonzero(at >= hot + pairs)
+    lost, near = lost[lost > 0], []  # row 0 is the entry
+    for raw, width in zip(shard.column("near")[0].as_py(), shard.column("width")[0].as_py()):
+        links = np.frombuffer(raw, np.int32).reshape(-1, width).copy()
+        links[lost[lost < len(links)]] = -1
+        links[np.isin(links, lost)] = -1
+        near.append(links.tobytes())
+    shard = shard.set_column(shard.column_names.index("near"), "near", pa.array([near]))
+    got = embedding_dedup._looker(0.95, 0.99, 32)(pa.table(columns).select(["class", "embedding"]), shard)
+    links = dict(zip(got.column("class").to_pylist(), got.column("links").to_pylist()))
+    assert [links.get(i, 0) for i in range(n)] == [hot - 1] * hot + [1] * (2 * pairs)
