@@ -146,7 +146,7 @@ def shuffle_letters(value: Column, stream: Column, keep_digits: Column | int = 0
 
     def walk(keys: Column) -> Column:
         def at_place(c: Column, i: Column) -> Column:
-            return moved_letter(c, lambda bound: stream_draw(keys, i, bound))
+            return moved_letter(c, lambda bound: stream_draw(F.get(keys, i), F.lit(0), bound))
 
         if isinstance(keep_digits, int) and keep_digits == 0:
             return F.array_join(F.transform(characters(value), at_place), "")
@@ -164,7 +164,8 @@ def shuffle_letters(value: Column, stream: Column, keep_digits: Column | int = 0
 
         return let(characters(value), with_kept)
 
-    return let(stream, walk)
+    # cut into draws once: a look into the whole stream at each place would cost the square of a long text
+    return let(F.regexp_extract_all(stream, F.lit(".{4}"), F.lit(0)), walk)
 
 
 def random_digits(stream: Column, count: Column) -> Column:

@@ -250,7 +250,7 @@ def text_markup(t):
     from cloakwork.functions.masks import mask
 
     change = lambda x: mask("FORMAT_PRESERVE", x, KEY, "w")
-    text = F.concat(F.substring("text", 1, 60), F.lit(' "q" \\ & <b> \'é\n'), F.col("doc_id").cast("string"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(' "q" \\ & <b> \'é\n'), F.col("doc_id").cast("string"))
     rows = spread(t.documents.select("doc_id", text.alias("x"))).withColumn("want", change(F.col("x")))
     json = F.get_json_object(structured.change_json_text(F.to_json(F.struct("x")), change), "$.x")
     written = structured.encoded(F.col("x"))

@@ -360,3 +360,16 @@ def test_closure_follows_a_chain_to_its_end(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(15)], "id int, boss int").coalesce(1)
     found = sub.plan_subset({"chain": chain}, {"chain": ["id"]}, [Edge("chain", "boss", "chain", "id")], "chain", where="id = 0", parents=False)
     assert found.counts["chain"] == 15
+
+
+def test_markup_masks_reach_the_end_of_long_texts(spark, key):
+    """Eight thousand characters in one JSON string: read back, they are the mask of the plain text to its end."""
+    from cloakwork.functions import structured
+    from cloakwork.functions.masks import mask
+
+    change = lambda x: mask("FORMAT_PRESERVE", x, key, "w")
+    text = "Word 17 \"q\" \\ & <b> 'é\n" * 320
+    row = spark.createDataFrame([(text,)], "x string").repartition(1).withColumn("want", change(F.col("x")))
+    back = F.get_json_object(structured.change_json_text(F.to_json(F.struct("x")), change), "$.x")
+    got = row.select("want", back.alias("back")).first()
+    assert got["back"] == got["want"] and len(got["want"]) == len(text) and got["want"][-30:] != text[-30:]
