@@ -86,11 +86,22 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.size = len(vectors)
-        self.blocks = max(1, (self.size + BLOCK - 1) // BLOCK)
-        row = np.repeat(np.arange(self.size, dtype=np.int32), [len(c) for c, _ in vectors]) if vectors else np.zeros(0, np.int32)
-        column = np.concatenate([c for c, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        lengths = np.array([len(c) for c, _ in vectors], np.int32)
+        column = np.concatenate([c for c, _ in vectors]) if vectors else np.zeros(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        self._lay_out(lengths, column.astype(np.int32), weight, width)
+        self.given = lengths, column.astype(np.int32), weight, width
+
+    def __getstate__(self):
+        return self.given  # half as large as the index, which each worker lays out anew
+
+    def __setstate__(self, given):
+        self._lay_out(*given)
+
+    def _lay_out(self, lengths: np.ndarray, column: np.ndarray, weight: np.ndarray, width: int) -> None:
+        self.size = len(lengths)
+        self.blocks = max(1, (self.size + BLOCK - 1) // BLOCK)
+        row = np.repeat(np.arange(self.size, dtype=np.int32), lengths)
         held = np.bincount(column, minlength=width)
         common = np.argsort(-held, kind="stable")[: DENSE_BYTES // (8 * self.blocks * BLOCK)]
         common = common[held[common] >= LEAST_DENSE]
@@ -292,7 +303,9 @@ def learn(
     bare = Space({t: i for i, t in enumerate(held)}, np.ones(len(held)))
     del held
     context = docs.sparkSession.sparkContext
-    everything, seen = _texts_that_hold(texts.select("_text"), context.broadcast(bare))
+    sent = context.broadcast(bare)
+    everything, seen = _texts_that_hold(texts.select("_text"), sent)
+    sent.destroy()
     space = Space(bare.columns, np.log((1 + everything) / (1 + seen)) + 1, bare.name)
     sent = context.broadcast(space)
 
@@ -310,6 +323,7 @@ def learn(
     )
     # one row per example even where ids repeat, so the bound holds; like examples stand in one block
     found = vectors.groupBy("id").agg(F.min(F.struct("cols", "weights", "toxic")).alias("v")).select("id", "v.*").collect()
+    sent.destroy()
     heaviest = lambda r: np.frombuffer(r["cols"], "<i4")[np.argsort(-np.frombuffer(r["weights"], "<f8"), kind="stable")[:BLOCK]].tolist()
     found.sort(key=lambda r: (heaviest(r), r["id"]))
     toxic = np.array([r["toxic"] for r in found], float)
