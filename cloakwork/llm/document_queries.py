@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import license_scan, quality_rules, toxicity
+from cloakwork.llm import license_scan, line_dedup, quality_rules, spelling, toxicity
 from cloakwork.llm.registry import query, table
 
 
@@ -49,3 +49,16 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (fold(5) == 0).alias("held_out"), F.col("_toxicity.score").alias("score"),
         (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.evidence").alias("evidence"),
     )
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all texts, some damaged by rule, with their more frequent forms one edit away."""
+    return spelling.spelling_variants(table(spark, folder, "documents"), least_chars=5, least_count=3, damage=97)
+
+
+@query("op13_line_dedup", line_dedup.brute_force_sql())
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text without the lines that five documents or more share, as a digest."""
+    left = line_dedup.drop_shared_lines(table(spark, folder, "documents"), least_chars=40, least_docs=5)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
