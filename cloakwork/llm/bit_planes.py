@@ -173,8 +173,8 @@ def brute_force_sql(clusters: int = 16, rounds: int = 3, scale: int = 64, seed:
     """The query's rows in DuckDB, component by component."""
     steps = [f"""
     good AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {COMPONENTS}
-        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {COMPONENTS}),
-    q AS (SELECT vec_id, unnest(range({COMPONENTS})) AS i, unnest(list_transform(embedding, x -> floor({scale} * x::DOUBLE)::BIGINT)) AS v FROM good),
+        AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {COMPONENTS}),
+    q AS (SELECT vec_id, unnest(range({COMPONENTS})) AS i, unnest([floor({scale} * x::DOUBLE)::BIGINT FOR x IN embedding]) AS v FROM good),
     seeds AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS k FROM good),
     c0 AS (SELECT k, i, v FROM seeds JOIN q USING (vec_id) WHERE k < {clusters})"""]
     for r in range(rounds + 1):
