@@ -77,6 +77,7 @@ def _read(batch: pa.RecordBatch) -> np.ndarray:
     """Planes of a batch; rows of fewer planes are widened by their sign."""
     lists = batch.column("planes")
     words, offsets = lists.flatten().to_numpy(zero_copy_only=False).view("<u8"), lists.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]  # a slice keeps the offsets of its whole
     wide = int(np.diff(offsets).max(initial=1))
     return words[np.minimum(offsets[:-1, None] + np.arange(wide), offsets[1:, None] - 1)]
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import HARD
 
@@ -128,6 +129,16 @@ def test_products_by_planes(low, high):
     assert (bit_planes.component_sums(bit_planes.to_planes(a), cluster, 6) == [a[cluster == k].sum(0) for k in range(6)]).all()
 
 
+def test_planes_of_a_slice():
+    draw = np.random.default_rng(6)
+    narrow, wide = bit_planes.to_planes(draw.integers(-2, 2, (30, 64))), bit_planes.to_planes(draw.integers(-99, 99, (20, 64)))
+    batch = pa.RecordBatch.from_pydict({"planes": pa.array([*narrow.view(np.int64).tolist(), *wide.view(np.int64).tolist()])})
+    assert (bit_planes._read(batch.slice(30, 20)) == wide).all()
+    assert (bit_planes._read(batch.slice(7, 9)) == narrow[7:16]).all()
+    mixed = bit_planes._read(batch.slice(25, 10))
+    assert (bit_planes.squared_lengths(mixed)[:5] == bit_planes.squared_lengths(narrow[25:])).all()
+
+
 def clusters_by_hand(rows, clusters=16, rounds=3, seed="1"):
     kept = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if v and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
     hashed = sorted((hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in kept)
