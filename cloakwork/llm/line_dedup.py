@@ -48,9 +48,11 @@ def drop_shared_lines(
     lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).withColumn("key", line_key(F.col("line")))
     keys = ["h1", "h2"]
     hashed = lines.where(F.char_length("key") >= least_chars).select("id", "mark", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    folder = scratch_path(spark, "lines")
+    hashed.write.parquet(os.path.join(folder, "hashed"))  # read three times below
+    hashed = spark.read.parquet(os.path.join(folder, "hashed"))
     holders = hashed.select(*keys, "id", "mark").distinct()  # spread by document too: no hot line here
     counted = holders.groupBy(*keys).agg(F.count("*").alias("n"), F.max("id").alias("last"))
-    folder = scratch_path(spark, "lines")
     counted.where(F.col("n") >= least_docs).write.parquet(os.path.join(folder, "shared"))
     shared = spark.read.parquet(os.path.join(folder, "shared"))
     hot = shared.orderBy(F.desc("n"), *keys).limit(HOT_LINES)
