@@ -11,6 +11,7 @@ from cloakwork.plans.registry import query
 from cloakwork.session import scratch_path
 from cloakwork.streaming import changes as chg
 from cloakwork.streaming import snapshots as snap
+from cloakwork.streaming.live import LiveTable
 
 K = "regexp_extract(props, '[0-9]+', 0)"
 
@@ -114,6 +115,18 @@ def streamed(t):
     return chg.current(base(t), store, "users", ["user_id"])
 
 
+@query("change_continuous_apply", FEED.format(where="").rstrip() + ", " + BASE + APPLIED)
+def continuous(t):
+    """A live target takes the feed in micro-batches, out of order; then all changes of odd ids come once more."""
+    source, root, mark = (scratch_path(t.spark, x) for x in ("feed", "live", "position"))
+    feed(t).repartition(4, F.sha2(F.col("id").cast("string"), 256)).write.json(source)
+    table = LiveTable(t.spark, root, "users", ["user_id"], buckets=8, deltas=2)
+    table.create(base(t))
+    chg.run_available(chg.feed_stream(t.spark, source, files=1), table.sink(), mark)
+    table.apply(feed(t).where("id % 2 = 1"))
+    return table.read()
+
+
 @query(
     "change_stream_mask",
     f"SELECT event_id, 'TKN_' || substr({sql.digest(KEY, 'user|token', 'user_id::VARCHAR')}, 1, 32) AS user_token, event_type FROM events",

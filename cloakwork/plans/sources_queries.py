@@ -12,6 +12,7 @@ from cloakwork.plans.registry import query
 from cloakwork.session import scratch_path
 from cloakwork.sources import files
 from cloakwork.sources import fixed_records as rec
+from cloakwork.sources import versions
 from cloakwork.sources.fixed_records import FieldAt
 
 
@@ -212,6 +213,15 @@ def load_in_place(t):
     return t.spark.read.parquet(path)
 
 
+@query("load_in_place_by_pointer", f"SELECT c_custkey, {sql.first_name(KEY, 'name.first', 'c_name')} AS c_name, c_acctbal FROM customer")
+def load_by_pointer(t):
+    """The table is rewritten beside itself, and one small file makes readers follow the new folder."""
+    root = scratch_path(t.spark, "versions")
+    versions.store(t.spark, root, t.customer.select("c_custkey", "c_name", "c_acctbal"))
+    versions.rewrite(t.spark, root, lambda rows: rows.withColumn("c_name", mask("FIRST_NAME", F.col("c_name"), KEY)))
+    return versions.read(t.spark, root)
+
+
 @query(
     "load_replace_partition",
     f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN {sql.pick(KEY, 'prio|secure-lookup', sql.normal('o_orderpriority'), ['low', 'high'])} ELSE o_orderpriority END AS o_orderpriority, o_orderstatus FROM orders",

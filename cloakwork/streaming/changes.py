@@ -137,8 +137,9 @@ def apply_net(target: DataFrame, netted: DataFrame, table: str, key: Sequence[st
 
 
 def replay(target: DataFrame, feed: DataFrame, table: str, key: Sequence[str], last_id: int | None = None, until=None) -> DataFrame:
-    """Target as it was after a prefix of the feed."""
-    return apply_net(target, net_changes(as_of(in_scope(feed, [table]), last_id, until)), table, key)
+    """Target as it was after a prefix of the feed; its name may be written in any case."""
+    mine = in_scope(feed, [table]).withColumn("table_name", F.lit(table))
+    return apply_net(target, net_changes(as_of(mine, last_id, until)), table, key)
 
 
 # ---------------------------------------------------------------- streams
