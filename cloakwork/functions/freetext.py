@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cloakwork.functions.keyed import MaskKey, let, luhn_valid
 from cloakwork.functions.masks import Row, mask
+from cloakwork.functions.scanner import change_leaves, selects
 
 
 @dataclass(frozen=True)
@@ -93,9 +95,11 @@ def apply_rule(rule: TextRule, text: Column, key: MaskKey) -> tuple[Column, Colu
     return out, F.size(counted)
 
 
-def mask_text(text: Column, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_RULES) -> Column:
+def mask_text(text: Column, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_RULES, path: Column | None = None) -> Column:
     """Struct of the masked ``text`` and ``found``, the number of changed values per rule, in rule order.
 
+    With the ``path`` of a leaf, rules run only where their selector names it.
+
     The rules run one after the other over the whole text as one fold, so the text is an ordinary lambda variable
     in each step and is never recomputed.
     """
@@ -107,7 +111,10 @@ def mask_text(text: Column, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_RU
             new, count = apply_rule(rule, state["text"], key)
             result = F.struct(new.alias("text"), F.concat(state["found"], F.array(count)).alias("found"))
             skipped = F.struct(state["text"].alias("text"), F.concat(state["found"], F.array(F.lit(0))).alias("found"))
-            result = F.when(state["text"].rlike(f"(?iu){rule.needs}"), result).otherwise(skipped)
+            wanted = state["text"].rlike(f"(?iu){rule.needs}")
+            if path is not None and rule.selector:
+                wanted = selects(rule.selector, path) & wanted
+            result = F.when(wanted, result).otherwise(skipped)
             out = F.when(place == i, result) if out is None else out.when(place == i, result)
         return out.otherwise(state)
 
@@ -121,6 +128,22 @@ def masked_text(text: Column, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_
     return mask_text(text, key, rules)["text"]
 
 
+def mask_leaves(value: Column, form: str, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_RULES) -> Column:
+    """A JSON, XML or HTML text whose leaves went through the rules that select them."""
+    return change_leaves(value, form, lambda text, path: mask_text(text, key, rules, path)["text"])
+
+
+def mask_cells(cells: DataFrame, key: MaskKey, rules: Sequence[TextRule] = DEFAULT_RULES) -> DataFrame:
+    """Every text cell of a delimited file through the rules whose selector is part of its column's name."""
+    out = []
+    for f in cells.schema.fields:
+        mine = [r for r in rules if (r.selector or "").strip().lower() in f.name.lower()]
+        text = isinstance(f.dataType, StringType) and mine
+        quoted = F.col("`" + f.name.replace("`", "``") + "`")
+        out.append(masked_text(quoted, key, mine).alias(f.name) if text else quoted)
+    return cells.select(*out)
+
+
 def counts_by_kind(found: Column, rules: Sequence[TextRule] = DEFAULT_RULES) -> Column:
     """Map of personal-data type to the number of changed values."""
     kinds = list(dict.fromkeys(r.kind for r in rules))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cloakwork.functions.keyed import iban_valid, luhn_valid
 from cloakwork.functions.masks import MARKS
-from cloakwork.functions.structured import MARKUP
+from cloakwork.functions.scanner import leaves
 from cloakwork.operators.positions import top_in_group
 
 # IBAN countries, column-name patterns, value patterns and suggested masks, in order of precedence.
@@ -305,22 +305,9 @@ def marked_leaves(value: Column) -> Column:
 
 
 def xml_leaves(value: Column) -> Column:
-    """Array of (path, text) for the text of each element."""
-    def step(state: Column, piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^<([^\s/>!?]+)", 1)
-        stack = state["stack"]
-        after = (
-            F.when(piece.startswith("</"), F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
-            .when((name != "") & ~piece.endswith("/>"), F.concat(stack, F.array(name))).otherwise(stack)
-        )
-        leaf = F.struct(F.array_join(stack, "/").alias("path"), piece.alias("text"))
-        out = F.when(piece.startswith("<"), state["out"]).otherwise(F.concat(state["out"], F.array(leaf)))
-        return F.struct(after.alias("stack"), out.alias("out"))
-
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<path:string,text:string>>").alias("out")
-    )
-    return F.aggregate(F.regexp_extract_all(value, F.lit(MARKUP), F.lit(0)), start, step, lambda s: s["out"])
+    """Array of (path, text) for the text of each element (``a/b``) and each attribute (``a/b@name``)."""
+    path = lambda p: F.replace(F.substr(p, F.lit(3)), F.lit("."), F.lit("/"))
+    return F.transform(leaves(value, "xml"), lambda x: F.struct(path(x["path"]).alias("path"), x["text"].alias("text")))
 
 
 def rescan(old: DataFrame, new: DataFrame) -> DataFrame:

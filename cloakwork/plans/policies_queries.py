@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cloakwork.functions import freetext, structured
+from cloakwork.functions import freetext, scanner, structured
 from cloakwork.functions.masks import PRIORITY  # noqa: F401
 from cloakwork.operators import loads
 from cloakwork.operators import policy as pol
@@ -244,6 +244,67 @@ def text_json(t):
     return t.events.select("event_id", structured.change_json_text(doc, change).alias("doc"))
 
 
+ORDER_DOC = (
+    "'{{\"who\": \"' || o_orderstatus || '\", \"lines\": [{{\"note\": \"' || {note} || '\", \"tag\": \"' || o_orderpriority || '\"}}, "
+    "{{\"note\": \"' || {note} || '\"}}], \"note\": \"' || o_orderpriority || '\"}}'"
+)
+
+
+@query(
+    "text_mask_json_by_path",
+    "SELECT o_orderkey, " + ORDER_DOC.format(note=sql.keep_format(KEY, "w", "o_orderpriority")) + " AS doc FROM orders",
+)
+def text_json_path(t):
+    """Only ``$.lines[].note`` changes: not the note beside the lines, nor the tag with the same text."""
+    from cloakwork.functions.masks import mask
+
+    doc = F.expr(ORDER_DOC.format(note="o_orderpriority"))
+    changes = [("$.LINES[].note", lambda x: mask("FORMAT_PRESERVE", x, KEY, "w"))]
+    return t.orders.select("o_orderkey", scanner.change_selected(doc, "json", changes).alias("doc"))
+
+
+CUSTOMER_DOC = "'<c><x seg=\"' || {seg} || '\" id=\"' || c_mktsegment || '\"><![CDATA[' || {name} || ']]></x><n>' || {n} || ' &amp; co</n></c>'"
+
+
+@query(
+    "text_mask_xml_by_path",
+    "SELECT c_custkey, "
+    + CUSTOMER_DOC.format(seg=sql.keep_format(KEY, "x", "c_mktsegment"), name="c_name", n="upper(c_name)").replace(" &amp; co", " &amp; CO") + " AS doc FROM customer",
+)
+def text_xml_path(t):
+    """An attribute by ``$.c.x@seg`` and an element's text by ``$.c.n``; entities are read and written."""
+    from cloakwork.functions.masks import mask
+
+    doc = F.expr(CUSTOMER_DOC.format(seg="c_mktsegment", name="c_name", n="c_name"))
+    changes = [("$.c.x@seg", lambda x: mask("FORMAT_PRESERVE", x, KEY, "x")), ("$.c.n", F.upper)]
+    return t.customer.select("c_custkey", scanner.change_selected(doc, "xml", changes).alias("doc"))
+
+
+@query(
+    "text_mask_html_by_element",
+    "SELECT c_custkey, '<p>Caf&eacute; <b>' || upper(c_name) || ' É©</b><br>' || c_name || '<script>b</script></p>' AS doc, "
+    "'<p>CAFÉ <b>' || upper(c_name) || ' É©</b><br>' || upper(c_name) || '<script>b</script></p>' AS whole FROM customer",
+)
+def text_html_element(t):
+    """Text inside one kind of element, and all text: named entities are read; what doesn't change keeps its writing."""
+    doc = F.concat(F.lit("<p>Caf&eacute; <b>"), "c_name", F.lit(" &eacute;&copy;</b><br>"), "c_name", F.lit("<script>b</script></p>"))
+    return t.customer.select(
+        "c_custkey", scanner.change_selected(doc, "html", [("b", F.upper)]).alias("doc"), structured.change_html_text(doc, F.upper).alias("whole")
+    )
+
+
+@query(
+    "text_mask_cells_by_header",
+    f"SELECT c_custkey::VARCHAR AS c_custkey, {sql.keep_format(KEY, 'unstructured.segment', 'c_mktsegment')} AS segment, c_mktsegment AS note FROM customer",
+)
+def text_cells_by_header(t):
+    """Delimited cells: the rule runs in the column that its selector names, and leaves the other alone."""
+    path = scratch_path(t.spark, "cells")
+    loads.write_csv(t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_mktsegment").alias("note")), path)
+    cells = t.spark.read.options(header=True, multiLine=True, escape='"', quote='"').csv(path)
+    return freetext.mask_cells(cells, KEY, [freetext.TextRule("Segment", "SEGMENT", "[A-Z]+", "FORMAT_PRESERVE", "[A-Z]", selector="SEG")])
+
+
 @query("text_mask_keeps_markup", "SELECT doc_id, true AS json_same, true AS html_same, true AS xml_same FROM documents")
 def text_markup(t):
     """Texts inside JSON, HTML and XML, with escapes and entities: what is read back is the mask of the plain text."""
