@@ -391,7 +391,7 @@ def percent_true(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # Words in a column name that make its source values sensitive, with a safe generator.
 SENSITIVE_WORDS = [
-    ("ssn|social security|tax id|tin|national id|govt id|government id", "PII_TAX_ID", "SSN"),
+    ("ssn|social security|tax id|tin|national id|govt id|government id", "PII_TAX_ID", "ALPHANUMERIC"),
     ("email|mail|emailaddress|email address", "PII_EMAIL", "EMAIL"),
     ("phone|mobile|cell|telephone|tel", "PII_PHONE", "PHONE_US"),
     ("iban", "FINANCIAL_ACCOUNT", "IBAN_LIKE"),
@@ -416,7 +416,8 @@ SENSITIVE_WORDS = [
     ("kyc|aml|sanction|risk|fraud", "BANKING_CONTROL", None),
 ]
 # Words of a technical identifier, words whose values may be kept, and generators by name.
-TECHNICAL_WORDS = "id|key"
+TECHNICAL_WORDS = "id|key|pk"
+GENDER_WORDS = {"FEMALE_FIRST_NAME": "female|mother|wife|daughter|girl", "MALE_FIRST_NAME": "male|father|husband|son|boy"}
 SAFE_WORDS = "status|state|type|code|flag|indicator|category|channel|currency|method|frequency|reason|source system"
 NAME_GENERATORS = [
     ("email|mail", "EMAIL"), ("phone|mobile|tel", "PHONE_US"), ("first", "FIRST_NAME"), ("last|surname", "LAST_NAME"),
@@ -428,19 +429,27 @@ NAME_GENERATORS = [
 ]
 
 
-def sensitivity(column: str) -> tuple[str, str | None] | None:
-    """Category and safe generator of a sensitive column name; None when its values may be kept.
+def sensitivity(column: str, number: bool = False) -> tuple[str, str | None] | None:
+    """Category and safe generator of a column whose source values must not be kept; None when they may.
 
-    Tax numbers come first: no other word in a name makes their values safe. Then technical identifiers and safe words.
+    Tax numbers come first: no other word in a name makes their values safe. Then technical identifiers, which are no personal
+    data but point at the source's rows, so a sequence takes their place; then safe words.
     """
     words = " " + re.sub(r"[^a-z0-9]+", " ", column.lower()) + " "
     holds = lambda pattern: re.search(rf" ({pattern}) ", words) is not None
     tax, *others = SENSITIVE_WORDS
     if holds(tax[0]):
-        return tax[1:]
-    if holds(TECHNICAL_WORDS) or holds(SAFE_WORDS):
+        return tax[1], "SSN" if "ssn" in words else tax[2]
+    if holds(TECHNICAL_WORDS):
+        return "TECHNICAL_IDENTIFIER", "SEQUENCE" if number else "PADDED_SEQUENCE"
+    if holds(SAFE_WORDS):
         return None
-    return next(((kind, gen) for pattern, kind, gen in others if holds(pattern)), None)
+    found = next(((kind, gen) for pattern, kind, gen in others if holds(pattern)), None)
+    if found and found[0] in ("PII_NAME", "TRANSACTION_DESCRIPTOR") or found is None:
+        gendered = next((gen for gen, pattern in GENDER_WORDS.items() if holds(pattern)), None)
+        if gendered and holds("first|name"):
+            return "PII_NAME", gendered
+    return found
 
 
 def generator_for_name(column: str) -> str:
@@ -462,7 +471,7 @@ def recommend(df: DataFrame, keys: Sequence[str] = (), keep_safe: bool = True) -
     )
     facts = []
     for f in df.schema.fields:
-        risk = sensitivity(f.name) if keep_safe else None
+        risk = sensitivity(f.name, category(f.dataType) == "NUMERIC") if keep_safe else None
         whole = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
         facts.append(
             F.struct(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakwork.functions import masks
+from cloakwork.functions import masks, numbers
 from cloakwork.functions.keyed import MaskKey
 from cloakwork.functions.masks import PRIORITY, SALTS, Row
 from cloakwork.operators.discovery import category
@@ -60,6 +60,15 @@ class Policy:
     rules: Sequence[Rule]
     overrides: Sequence[Override] = field(default_factory=list)
     shared_salts: Mapping[tuple[str, str], str] = field(default_factory=dict)
+    shared_limits: Mapping[tuple[str, str], tuple[int, int] | None] = field(default_factory=dict)
+
+    def number_limit(self, rule: Rule, kind: T.DataType) -> tuple[int, int] | None:
+        """Largest magnitudes of a number that keeps its digits; None where the rule works on text."""
+        plain = rule.function.upper() in ("FORMAT_PRESERVE", "CHARACTER_MAP") and not (rule.p1 or rule.p2 or rule.multi_value)
+        own = numbers.highest(kind) if plain else None
+        if own is None or max(own) > 10 ** (2 * numbers.WIDE):
+            return None
+        return self.shared_limits.get((rule.table.lower(), rule.column.lower()), own)
 
     def salt(self, rule: Rule) -> str:
         shared = self.shared_salts.get((rule.table.lower(), rule.column.lower()))
@@ -79,6 +88,22 @@ def key_salts(edges: Sequence[Edge]) -> dict[tuple[str, str], str]:
     return {m: "ri:" + min(".".join(x) for x in members) for m, members in groups.items()}
 
 
+def key_limits(edges: Sequence[Edge], tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple[int, int] | None]:
+    """The narrowest range of the number columns that share a salt; None where one of them is text or has another scale."""
+    kinds = {(t.lower(), f.name.lower()): f.dataType for t, df in tables.items() for f in df.schema.fields}
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for member, salt in key_salts(edges).items():
+        if member in kinds:
+            groups.setdefault(salt, []).append(member)
+    out = {}
+    for members in groups.values():
+        limits = [numbers.highest(kinds[m]) for m in members]
+        scales = {getattr(kinds[m], "scale", 0) for m in members}
+        common = None if None in limits or len(scales) > 1 else (min(x for x, _ in limits), min(x for _, x in limits))
+        out.update(dict.fromkeys(members, common))
+    return out
+
+
 # ---------------------------------------------------------------- conditions
 
 def compare(value: Column, operator: str, expected: str | None) -> Column:
@@ -213,7 +238,10 @@ def apply_policy(
             source = r.column.lower()
             row = Row(text, siblings, shift, index)
             original = text[source]
-            if r.function.upper() == "DATE_SHIFT" and not (r.p2 or r.multi_value) and category(kinds[source]) == "DATE":
+            limit = policy.number_limit(r, kinds[source])
+            if limit is not None:
+                masked, original = numbers.keep_digits(policy.key, policy.salt(r), F.col(r.column), kinds[source], limit), F.col(r.column)
+            elif r.function.upper() == "DATE_SHIFT" and not (r.p2 or r.multi_value) and category(kinds[source]) == "DATE":
                 masked, original = masks.shifted(policy.key, F.col(r.column), text[source], policy.salt(r), r.p1, row), F.col(r.column)
             else:
                 masked = masks.mask(r.function, text[source], policy.key, policy.salt(r), r.p1, r.p2, row, r.multi_value)
@@ -248,7 +276,8 @@ def mask_tables(
     tables: Mapping[str, DataFrame], policy: Policy, edges: Sequence[Edge]
 ) -> dict[str, DataFrame]:
     """Many tables in load order; columns linked by foreign keys share one salt, so masked keys still join."""
-    linked = Policy(policy.key, policy.rules, policy.overrides, {**key_salts(edges), **policy.shared_salts})
+    limits = {**key_limits(edges, tables), **policy.shared_limits}
+    linked = Policy(policy.key, policy.rules, policy.overrides, {**key_salts(edges), **policy.shared_salts}, limits)
     return {t: apply_policy(tables[t], t, linked, tables) for t in referenced_first(list(tables), edges)}
 
 
@@ -256,13 +285,13 @@ def mask_sources(
     readers: Mapping[str, tuple], default: Policy, edges: Sequence[Edge] = ()
 ) -> dict[str, DataFrame]:
     """Each table from its own reader ``(read, policy or None)``; the own policy wins over the default."""
-    salts = key_salts(edges)
+    frames = {table: read() for table, (read, _) in readers.items()}
+    salts, limits = key_salts(edges), key_limits(edges, frames)
     out = {}
-    for table, (read, own) in readers.items():
+    for table, (_, own) in readers.items():
         chosen = own or default
-        out[table] = apply_policy(
-            read(), table, Policy(chosen.key, chosen.rules, chosen.overrides, {**salts, **chosen.shared_salts})
-        )
+        shared = Policy(chosen.key, chosen.rules, chosen.overrides, {**salts, **chosen.shared_salts}, {**limits, **chosen.shared_limits})
+        out[table] = apply_policy(frames[table], table, shared)
     return out
 
 

@@ -185,13 +185,16 @@ def suppression(t):
 
 @query(
     "profile_name_sensitivity",
-    "SELECT * FROM (VALUES ('ssn_code', 'SSN', 'PII_TAX_ID', 'suppressed'), ('card_type', 'WEIGHTED', NULL, 'used'), ('account_id', 'WEIGHTED', NULL, 'used'), "
+    "SELECT * FROM (VALUES ('ssn_code', 'SSN', 'PII_TAX_ID', 'suppressed'), ('card_type', 'WEIGHTED', NULL, 'used'), ('account_id', 'PADDED_SEQUENCE', 'TECHNICAL_IDENTIFIER', 'suppressed'), "
+    "('row_pk', 'SEQUENCE', 'TECHNICAL_IDENTIFIER', 'suppressed'), ('customer_tax_id', 'ALPHANUMERIC', 'PII_TAX_ID', 'suppressed'), "
+    "('father_name', 'MALE_FIRST_NAME', 'PII_NAME', 'suppressed'), ('female_first_name', 'FEMALE_FIRST_NAME', 'PII_NAME', 'suppressed'), "
     "('account', 'ACCOUNT_NUMBER', 'FINANCIAL_ACCOUNT', 'suppressed')) f(column_name, generator, sensitivity, source_values) WHERE (SELECT count(*) FROM customer) > 0",
 )
 def name_sensitivity(t):
-    """Tax numbers are sensitive whatever else their name says; types and technical identifiers are not."""
+    """Tax numbers are sensitive whatever else their name says; identifiers of the source never stay; types may."""
     few = F.col("c_mktsegment")
-    rows = t.customer.select(few.alias("ssn_code"), few.alias("card_type"), few.alias("account_id"), few.alias("account"))
+    texts = ("ssn_code", "card_type", "account_id", "account", "customer_tax_id", "father_name", "female_first_name")
+    rows = t.customer.select(*[few.alias(c) for c in texts], (F.col("c_custkey") % 7).alias("row_pk"))
     return dis.recommend(rows).select("column_name", "generator", "sensitivity", "source_values")
 
 

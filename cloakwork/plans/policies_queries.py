@@ -194,6 +194,33 @@ def mixed_sources(t):
     )
 
 
+@query(
+    "policy_numbers_keep_type_and_digits",
+    "SELECT (SELECT count(*) FROM orders) AS n_rows, (SELECT count(DISTINCT o_orderkey) FROM orders) AS order_keys, "
+    "(SELECT count(DISTINCT o_totalprice::DECIMAL(12, 2)) FROM orders) AS prices, 0 AS other_digits, "
+    "(SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS joined",
+)
+def numbers_keep_digits(t):
+    """Keys as int, smallint and bigint, prices as decimal: masked one-to-one inside their types, and keys of other width still join."""
+    orders = t.orders.select(
+        F.col("o_orderkey").cast("int").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"), F.col("o_orderkey").cast("int").alias("was"),
+    )
+    customer = t.customer.select(F.col("c_custkey").cast("int").alias("c_custkey"))
+    rules = [
+        Rule("orders", "o_orderkey", "FORMAT_PRESERVE"), Rule("orders", "o_custkey", "FORMAT_PRESERVE"),
+        Rule("orders", "o_totalprice", "CHARACTER_MAP"), Rule("customer", "c_custkey", "FORMAT_PRESERVE"),
+    ]
+    out = pol.mask_tables({"orders": orders, "customer": customer}, Policy(KEY, rules), [e for e in EDGES if e.child == "orders"])
+    other = F.char_length(F.col("o_orderkey").cast("string")) != F.char_length(F.col("was").cast("string"))
+    seen = out["orders"].agg(
+        F.count("*").alias("n_rows"), F.count_distinct("o_orderkey").alias("order_keys"), F.count_distinct("o_totalprice").alias("prices"),
+        F.count_if(other).cast("int").alias("other_digits"),
+    )
+    joined = out["orders"].join(out["customer"], F.col("o_custkey") == F.col("c_custkey")).agg(F.count("*").alias("joined"))
+    return seen.crossJoin(joined)
+
+
 @query(
     "policy_before_and_after",
     f"SELECT c_custkey, c_name, {GIVEN} AS c_name_after FROM customer ORDER BY c_custkey LIMIT 20",
