@@ -10,7 +10,8 @@ from cloakwork.functions.keyed import MaskKey, let, non_negative_long
 
 ROUNDS = 6
 STEPS = 64  # of a walk: one leaves the range with at most 4 / sqrt(size), and small ranges are left for fewer steps than this
-WIDE = 18  # digits that a half of a longer number holds
+WIDE = 18  # digits that the tail of a longer number holds
+DIGITS = 34  # of the longest number; Spark rounds longer ones when it negates them
 
 LIMITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
@@ -61,7 +62,7 @@ def keep_digits(key: MaskKey, salt: str, value: Column, kind: T.DataType, limit:
     """
     scale = kind.scale if isinstance(kind, T.DecimalType) else 0
     most = limit or highest(kind)
-    if most is None or max(most) > 10 ** (2 * WIDE):
+    if most is None or max(most) >= 10**DIGITS:
         raise ValueError(f"no keyed permutation of {kind.simpleString()}")
     exact = "decimal(38,0)"
     if scale:  # shift the point by text: a product would round the widest decimals
@@ -94,7 +95,7 @@ def keep_digits(key: MaskKey, salt: str, value: Column, kind: T.DataType, limit:
 
 
 def _wide(key: MaskKey, salt: str, size: Column, digits: Column) -> Column:
-    """Numbers of 19 to 36 digits: head and tail change each other in turn, each step one-to-one while the other stands."""
+    """Numbers of 19 to 34 digits: head and tail change each other in turn, each step one-to-one while the other stands."""
     text = size.cast("string")
     head_digits = digits - WIDE
     low = F.rpad(F.lit("1"), head_digits, "0").cast("bigint")

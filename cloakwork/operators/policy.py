@@ -66,7 +66,7 @@ class Policy:
         """Largest magnitudes of a number that keeps its digits; None where the rule works on text."""
         plain = rule.function.upper() in ("FORMAT_PRESERVE", "CHARACTER_MAP") and not (rule.p1 or rule.p2 or rule.multi_value)
         own = numbers.highest(kind) if plain else None
-        if own is None or max(own) > 10 ** (2 * numbers.WIDE):
+        if own is None or max(own) >= 10**numbers.DIGITS:
             return None
         return self.shared_limits.get((rule.table.lower(), rule.column.lower()), own)
 
