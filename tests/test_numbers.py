@@ -31,7 +31,7 @@ def test_same_sign_and_digits_and_one_to_one(spark, key, kind, values):
     pairs = {(r["v"], r["m"]) for r in got if r["v"] is not None}
     assert len({m for _, m in pairs}) == len(pairs) and all(r["m"] is None for r in got if r["v"] is None)
     for v, m in pairs:
-        digits = [len(str(abs(int(Decimal(x).scaleb(4) if "," in kind else x))).lstrip("0")) for x in (v, m)]
+        digits = [len(str(x).lstrip("-").replace(".", "").lstrip("0")) for x in (v, m)]
         assert "," in kind and v == 0 or digits[0] == digits[1] or abs(v) < 10, (v, m)
         assert (m >= 0 or v < 0) and isinstance(m, type(v))
     again = frame.select(keep_digits(key, "s", F.col("v"), frame.schema["v"].dataType).alias("m")).collect()
