@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import hex_number
 from cloakwork.operators.positions import group_positions
+from cloakwork.session import cut
 from cloakwork.streaming.snapshots import LANES, cell_text
 
 FRAGMENT_ROWS = 1_000
@@ -38,22 +39,30 @@ def with_root(member: Member) -> DataFrame:
 def fragments(members: Sequence[Member], per_fragment: int = FRAGMENT_ROWS) -> DataFrame:
     """``(entity, member, part, rows, n_rows, lane_0 .. lane_3)`` for every key at once.
 
-    A member with many rows for one key is cut into parts by position, equal rows included, so no part holds more than
-    ``per_fragment`` rows and no row is left out. Rows are kept as JSON text. The lanes are sums of row-hash slices: they do not
-    depend on the order of rows, and together make the digest of a capsule.
+    A member with many rows for one key is cut into parts by row hash, which needs no sort; where a part still is too large, as
+    with many equal rows, its rows are cut by position. So no part holds more than ``per_fragment`` rows and no row is left out.
+    Rows are kept as JSON text. The lanes are sums of row-hash slices: they do not depend on the order of rows, and together make
+    the digest of a capsule.
     """
     out = []
     for m in members:
         columns = m.frame.columns
         rows = with_root(m)
-        sizes = rows.groupBy(F.col("entity").alias("_e")).agg(F.ceil(F.count(F.lit(1)) / per_fragment).alias("_parts")).where("_parts > 1")
+        count = F.count(F.lit(1))
+        sizes = rows.groupBy(F.col("entity").alias("_e")).agg(F.ceil(2 * count / per_fragment).alias("_parts")).where("_parts > 2")
         row_hash = F.sha2(cell_text(columns).cast("binary"), 256)
-        told = rows.join(sizes, F.col("entity") == F.col("_e"), "left").select(
-            "entity", F.to_json(F.struct(*columns)).alias("row"), row_hash.alias("hash"), F.col("_parts").isNotNull().alias("_large")
-        )
-        large = group_positions(told.where("_large"), ["entity"], ["hash"], "_place").drop("group_rows")
-        large = large.withColumn("part", F.floor((F.col("_place") - 1) / per_fragment).cast("int")).drop("_place")
-        parts = told.where("NOT _large").withColumn("part", F.lit(0)).unionByName(large)
+        part = F.coalesce(F.pmod(F.xxhash64("hash"), "_parts"), F.lit(0))
+        parts = rows.join(sizes, F.col("entity") == F.col("_e"), "left").select(
+            "entity", F.to_json(F.struct(*columns)).alias("row"), row_hash.alias("hash"), "_parts"
+        ).withColumn("part", part)
+        over = parts.where("_parts IS NOT NULL").groupBy(F.col("entity").alias("_e"), F.col("part").alias("_p")).agg(count.alias("_n"))
+        over = cut(over.where(F.col("_n") > per_fragment))
+        if not over.isEmpty():
+            marked = parts.join(over, (F.col("entity") == F.col("_e")) & (F.col("part") == F.col("_p")), "left").drop("_e", "_p")
+            placed = group_positions(marked.where("_n IS NOT NULL"), ["entity", "part"], ["hash"], "_place").drop("group_rows")
+            split = placed.withColumn("part", F.col("part") + F.col("_parts") * F.floor((F.col("_place") - 1) / per_fragment)).drop("_place")
+            parts = marked.where("_n IS NULL").unionByName(split)
+        parts = parts.select("entity", "row", "hash", F.col("part").cast("int").alias("part"))
         lanes = [F.sum(hex_number(F.substring("hash", 1 + 8 * i, 8))).alias(f"lane_{i}") for i in range(LANES)]
         out.append(
             parts.groupBy("entity", "part").agg(F.collect_list("row").alias("rows"), F.count(F.lit(1)).alias("n_rows"), *lanes)

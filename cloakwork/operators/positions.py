@@ -74,19 +74,27 @@ def ranks(df: DataFrame, group: Sequence[str], value: str, ascending: bool = Tru
     return df.join(table, match).drop("_value", *[f"_g_{g}" for g in group])
 
 
-STRIDE = 4096  # rows of one group that share a block when running totals are made
+STRIDE = 4096  # neighbouring rows that share a block when running totals or neighbours are made
 
 
 def running_total(df: DataFrame, group: Sequence[str], place: str, amount: str, name: str) -> DataFrame:
-    """Running sum of ``amount`` by a gap-free ``place`` in each group, in blocks of bounded size."""
-    block = F.floor((F.col(place) - 1) / STRIDE)
-    blocked = df.withColumn("_block", block)
+    """Running sum of ``amount`` by a gap-free ``place`` (from 1) in each group, in blocks of bounded size.
+
+    What the blocks before a block sum to is a running total again, over their sums, so a group of any size is in no one task.
+    """
+    blocked = df.withColumn("_block", F.floor((F.col(place) - 1) / STRIDE))
     inner = Window.partitionBy(*group, "_block").orderBy(place)
     sums = blocked.groupBy(*group, "_block").agg(F.sum(amount).alias("_sum"))
-    outer = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(
+    most = df.agg(F.max(place)).first()[0] or 0
+    if most <= STRIDE * STRIDE:
+        outer = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        totals = sums.withColumn("_total", F.sum("_sum").over(outer))
+    else:
+        numbered = sums.withColumn("_number", F.col("_block") + 1).withColumnRenamed("_block", "_own")
+        totals = running_total(numbered, group, "_number", "_sum", "_total").withColumnRenamed("_own", "_block")
+    before = totals.select(
         *[F.col(g).alias(f"_b_{g}") for g in group], F.col("_block").alias("_b_block"),
-        F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_base"),
+        (F.coalesce(F.col("_total"), F.lit(0)) - F.coalesce(F.col("_sum"), F.lit(0))).alias("_base"),
     )
     match = [_same(g, f"_b_{g}") for g in group] + [F.col("_block") == F.col("_b_block")]
     return (
@@ -111,19 +119,29 @@ def ntile(df: DataFrame, group: Sequence[str], order: Sequence[Order], tiles: in
 def neighbours(
     df: DataFrame, group: Sequence[str], order: Sequence[Order], column: str, back: int = 1, ahead: int = 1
 ) -> DataFrame:
-    """``lag_<column>`` and ``lead_<column>``: equi-joins on the running number, so no group sits in one task."""
-    placed = cut(group_positions(df, group, order, "_rn").drop("group_rows"))
-    keys = [*group, "_rn"]
-
-    def shifted(step: int, name: str) -> DataFrame:
-        return placed.select(
-            *[F.col(g).alias(f"_s_{g}") for g in group], (F.col("_rn") + step).alias("_s__rn"), F.col(column).alias(name)
-        )
-
-    out = placed
-    for step, name in ((back, f"lag_{column}"), (-ahead, f"lead_{column}")):
-        out = out.join(shifted(step, name), [_same(k, f"_s_{k}") for k in keys], "left").drop(*[f"_s_{k}" for k in keys])
-    return out.drop("_rn")
+    """``lag_<column>`` and ``lead_<column>`` by one range sort, with no self-join and no group in one task.
+
+    The sorted rows are numbered through and dealt to blocks of STRIDE; the first and last rows of a block go to the block beside
+    it too, so every row finds its neighbours in its own block, and a neighbour of another group counts as none.
+    """
+    stride = max(STRIDE, back, ahead)
+    placed = with_sequence(df, [*group, *order], "_at", 0)
+    block, place = F.floor(F.col("_at") / stride), F.col("_at") % stride
+    wanted = F.array_compact(
+        F.array(block, F.when(place >= stride - back, block + 1), F.when((place < ahead) & (block > 0), block - 1))
+    )
+    dealt = placed.withColumn("_own", block).withColumn("_block", F.explode(wanted))
+    window = Window.partitionBy("_block").orderBy("_at")
+    entry = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(column).alias("value"))
+
+    def beside(found: str) -> Column:
+        same = F.col(found).isNotNull()
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(found)[f"g{i}"])
+        return F.when(same, F.col(found)["value"])
+
+    seen = dealt.select("*", F.lag(entry, back).over(window).alias("_lag"), F.lead(entry, ahead).over(window).alias("_lead")).where("_own = _block")
+    return seen.select(*df.columns, beside("_lag").alias(f"lag_{column}"), beside("_lead").alias(f"lead_{column}"))
 
 
 def top_in_group(
