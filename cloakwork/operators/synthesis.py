@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from cloakwork.functions import generators as gen
 from cloakwork.functions.generators import Source, Spec
 from cloakwork.functions.keyed import MaskKey
+from cloakwork.functions.numbers import permuted
 from cloakwork.operators.discovery import recommend
 from cloakwork.operators.subset import Edge, referenced_first
+from cloakwork.session import cut
 
 DERIVED = {"TEMPLATE", "COPY", "CASE", "DATE_AFTER", "LOOKUP"}
 
@@ -224,13 +226,54 @@ class Generator:
         return {n: df.drop("_row") for n, df in self.done.items()}
 
 
-def made_unique(df: DataFrame, column: str, kind: str = "string") -> DataFrame:
+WHOLE_BITS = {"tinyint": 8, "byte": 8, "smallint": 16, "short": 16, "int": 32, "integer": 32, "bigint": 64, "long": 64}
+FIRST_DAY, LAST_DAY = -719162, 2932896  # 0001-01-01 and 9999-12-31 as days since 1970
+
+
+def value_range(kind: str) -> tuple[int, int, int] | None:
+    """(least, greatest, decimal places) of a type's values as whole numbers; None where numbers may go on without end."""
+    if kind.startswith(("date", "timestamp")):
+        return FIRST_DAY, LAST_DAY, 0
+    if kind in WHOLE_BITS:
+        return -(2 ** (WHOLE_BITS[kind] - 1)), 2 ** (WHOLE_BITS[kind] - 1) - 1, 0
+    found = re.fullmatch(r"(?:decimal|numeric)\((\d+)(?:,\s*(\d+))?\)", kind)
+    if found and int(found[1]) <= 18:
+        return 1 - 10 ** int(found[1]), 10 ** int(found[1]) - 1, int(found[2] or 0)
+    return None
+
+
+def free_numbers(taken: DataFrame, wanted: DataFrame, low: int, high: int, key: MaskKey | None = None) -> DataFrame:
+    """``_row, _free`` for every ``_row`` of ``wanted``: a number of low .. high that is not in ``taken`` (``_n``, distinct), each once.
+
+    The j-th free number is low + j + the number of taken ones t with t - low - (taken before t) <= j. Both sides are put in
+    one order and numbered through, so a place says how many taken numbers stand before it; no gap is looked up by a join. With
+    a ``key`` rows take the free numbers in the order of a keyed permutation.
+    """
+    from cloakwork.operators.positions import with_sequence
+
+    rows = cut(with_sequence(wanted.select("_row"), ["_row"], "_j", 0))
+    count, used = rows.count(), taken.count()
+    if count > high - low + 1 - used:
+        raise ValueError(f"{count} more unique values are wanted, {high - low + 1 - used} are free")
+    if key is not None and count:
+        rows = rows.withColumn("_j", permuted(key, "gen|unique", F.col("_j").cast("bigint"), F.lit(count).cast("bigint")))
+    exact = "decimal(20,0)"
+    placed = with_sequence(taken.select("_n"), ["_n"], "_i", 0)
+    before = placed.select((F.col("_n").cast(exact) - F.lit(low).cast(exact) - F.col("_i")).cast(exact).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_row"))
+    after = rows.select(F.col("_j").cast(exact).alias("_at"), F.lit(1).alias("_kind"), F.col("_row").cast("bigint").alias("_row"))
+    merged = with_sequence(before.unionByName(after), ["_at", "_kind"], "_place", 0).where("_kind = 1")
+    # of the entries before a free number, _at are free ones themselves, and the rest are taken
+    return merged.select("_row", (F.col("_place").cast(exact) + F.lit(low).cast(exact)).cast("decimal(38,0)").alias("_free"))
+
+
+def made_unique(df: DataFrame, column: str, kind: str = "string", key: MaskKey | None = None) -> DataFrame:
     """First row of each value keeps it; a later row gets a value of the column's type that no row has.
 
-    Numbers and dates go on behind the largest value by the row number. Text gets its row number behind a mark ("-", or "+"
-    inside an e-mail); where that is some row's own value, the mark is made longer than any in the column. Nulls stay null.
-    Values are counted before the shuffle and only the repeated ones are joined back, so a value that fills a third
-    of the table costs one row on the small side.
+    Numbers and dates go on behind the largest value by the row number; where that would leave the type (or the year 9999) they
+    take values that are free in its whole range, in the order of a keyed permutation if a ``key`` is given, and a range with
+    too few of them raises ValueError. Text gets its row number behind a mark ("-", or "+" inside an e-mail); where that is some
+    row's own value, the mark is made longer than any in the column. Nulls stay null. Values are counted before the shuffle and
+    only the repeated ones are joined back, so a value that fills a third of the table costs one row on the small side.
     """
     own = F.col(column)
     repeated = df.where(own.isNotNull()).groupBy(own.alias("_value")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -239,13 +282,27 @@ def made_unique(df: DataFrame, column: str, kind: str = "string") -> DataFrame:
     kind = kind.lower()
     if kind == "boolean":
         raise ValueError(f"{column}: a boolean column holds two values, it cannot be unique")
-    if kind.startswith(("date", "timestamp")):
+    dated = kind.startswith(("date", "timestamp"))
+    limits = value_range(kind)
+    if limits is not None:
+        low, high, places = limits
+        days = F.unix_date(own.try_cast("timestamp_ntz").cast("date")).cast("decimal(38,0)")
+        units = days if dated else F.floor(own.try_cast("decimal(38,8)") * F.lit(10**places)).cast("decimal(38,0)")
+        top, last = df.agg(F.max(units), F.max("_row")).first()
+        if top is not None and int(top) + int(last) * 10**places > high:
+            taken = df.select(units.alias("_n")).where(F.col("_n").between(low, high)).distinct()
+            free = free_numbers(taken, joined.where(later).select("_row"), low, high, key)
+            date = F.date_from_unix_date(F.col("_free").cast("int"))
+            text = (date if kind == "date" else date.cast("timestamp_ntz")) if dated else (F.col("_free") / F.lit(10**places)).cast(f"decimal(20,{places})") if places else F.col("_free")
+            out = joined.join(free.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
+            return out.withColumn(column, F.when(later, text.cast("string")).otherwise(own)).drop("_value", "_first", "_free", "_r")
+    if dated:
         top = df.agg(F.max(own.try_cast("timestamp_ntz")).alias("_top"))
         moved = F.timestamp_add("DAY", F.col("_row").cast("int"), F.col("_top")).cast("string" if kind != "date" else "date").cast("string")
         return joined.crossJoin(F.broadcast(top)).withColumn(column, F.when(later, moved).otherwise(own)).drop("_value", "_first", "_top")
     if not kind.startswith(("string", "varchar", "char")):
         top = df.agg(F.coalesce(F.max(own.try_cast("decimal(38,8)")), F.lit(0).cast("decimal(38,8)")).alias("_top"))
-        whole = kind.startswith(("tinyint", "smallint", "int", "bigint", "byte", "short", "long"))
+        whole = kind in WHOLE_BITS
         moved = (F.ceil("_top") if whole else F.col("_top")) + F.col("_row")
         return joined.crossJoin(F.broadcast(top)).withColumn(column, F.when(later, moved.cast("string")).otherwise(own)).drop("_value", "_first", "_top")
     spot = F.locate("@", own)

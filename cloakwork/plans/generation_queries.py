@@ -13,6 +13,7 @@ from cloakwork.operators.subset import Edge
 from cloakwork.operators.synthesis import Check, Col, Table
 from cloakwork.plans import sqltext as sql
 from cloakwork.functions import wordlists as words
+from cloakwork.plans.keys import KEY
 from cloakwork.plans.registry import query
 from cloakwork.session import scratch_path, spread
 
@@ -292,6 +293,24 @@ def unique_planted(t):
     )
 
 
+@query(
+    "generate_unique_at_the_end_of_a_type",
+    "SELECT count(*) AS n_rows, count(*) AS numbers, count(*) AS days, 0 AS outside FROM part",
+)
+def unique_at_the_end(t):
+    """The greatest int and the last day are planted among repeated values: repairs take what is free inside the type."""
+    row = (F.col("p_partkey") + 1).alias("_row")
+    number = F.when(F.col("p_partkey") % 3 == 0, "2147483647").when(F.col("p_partkey") % 3 == 1, "-2147483648").otherwise("-2147483646")
+    day = F.when(F.col("p_partkey") % 2 == 0, "9999-12-31").otherwise("0001-01-02")
+    rows = t.part.select(row, number.alias("number"), day.alias("day"))
+    out = syn.made_unique(syn.made_unique(rows, "number", "int", KEY), "day", "date", KEY)
+    kinds = out.select(F.col("number").try_cast("int").alias("number"), F.col("day").try_cast("date").alias("day"))
+    outside = F.col("number").isNull() | F.col("day").isNull() | (F.year("day") > 9999)
+    return kinds.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("number").alias("numbers"), F.count_distinct("day").alias("days"), F.count_if(outside).alias("outside"),
+    )
+
+
 @query(
     "generate_wide_ranges",
     f"SELECT count(*) AS n_rows, true AS inside, true AS past_32_bits, true AS rarely_repeats FROM {R}",
