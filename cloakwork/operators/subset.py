@@ -74,8 +74,56 @@ def parents_of(
     return parent.join(wanted, parent_column, "left_semi").select(*parent_key).distinct()
 
 
+def _doubled(pairs: DataFrame, of: Column) -> DataFrame:
+    """Pointers (``id, ptr``) of each row's pointer."""
+    return pairs.select(F.col("id").alias("_i"), F.col("ptr").alias("_p")).join(pairs.select(F.col("id").alias("_p"), of.alias("ptr")), "_p").select(
+        F.col("_i").alias("id"), "ptr"
+    )
+
+
+def descendants(rows: DataFrame, key: str, reference: str, start: DataFrame) -> DataFrame:
+    """``key, _steps``: all rows below the start along a self reference, at their distance, by pointer doubling.
+
+    Each round every row that has no start above it yet looks twice as far up, so a chain of n rows takes log n joins of the
+    table with itself, not n rounds. Rows in cycles without a start end with the number of rows.
+    """
+    begun = start.select(F.col(key).alias("id"), F.lit(0).cast("bigint").alias("steps")).distinct()
+    own = rows.select(F.col(key).alias("id"), F.col(reference).alias("ptr"))
+    state = cut(own.join(begun, "id", "left").select("id", F.when(F.col("steps").isNull(), F.col("ptr")).alias("ptr"), "steps"))
+    count, far = state.count(), 1
+    while far <= count and not state.where("ptr IS NOT NULL").isEmpty():
+        above = state.select(F.col("id").alias("_p"), F.col("ptr").alias("_next"), F.col("steps").alias("_more"))
+        steps = F.coalesce("steps", F.col("_more") + far)
+        state = cut(
+            state.join(above, F.col("ptr") == F.col("_p"), "left").select("id", F.when(steps.isNull(), F.col("_next")).alias("ptr"), steps.alias("steps"))
+        )
+        far *= 2
+    return state.where("steps > 0").select(F.col("id").alias(key), F.col("steps").alias("_steps"))
+
+
+def ancestors(rows: DataFrame, key: str, reference: str, start: DataFrame) -> DataFrame:
+    """``key, _steps``: all rows above the start along a self reference, at their distance, by pointer doubling."""
+    present = rows.select(F.col(key).alias("id")).distinct()
+    pointers = rows.select(F.col(key).alias("id"), F.col(reference).alias("ptr")).where("ptr IS NOT NULL AND ptr <> id")
+    pointers = cut(pointers.join(present.select(F.col("id").alias("ptr")), "ptr", "left_semi").select("id", "ptr"))
+    reached = cut(start.select(F.col(key).alias("id"), F.lit(0).cast("bigint").alias("steps")).distinct())
+    count, far = pointers.count(), 1
+    while far <= count and not pointers.isEmpty():
+        higher = reached.join(pointers, "id").select(F.col("ptr").alias("id"), (F.col("steps") + far).alias("steps"))
+        reached = cut(reached.unionByName(higher).groupBy("id").agg(F.min("steps").alias("steps")))
+        pointers, far = cut(_doubled(pointers, F.col("ptr"))), far * 2
+    return reached.where("steps > 0").select(F.col("id").alias(key), F.col("steps").alias("_steps"))
+
+
+DEEP = 4  # rounds after which a self reference is followed to its end by pointer doubling
+
+
 class Closure:
-    """Follows foreign keys from the seeds until a round adds nothing."""
+    """Follows foreign keys from the seeds until a round adds nothing.
+
+    A self reference onto the table's key that still finds rows after DEEP rounds is followed to its end in one round, by
+    pointer doubling; its rows count as found as many rounds later as they are steps away.
+    """
 
     def __init__(
         self, tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], edges: Sequence[Edge],
@@ -94,11 +142,13 @@ class Closure:
     def _merge(self, table: str, candidates: Sequence[DataFrame]) -> DataFrame | None:
         """Keep the keys not selected before; None when there are none."""
         key = list(self.keys[table])
-        rows = reduce(DataFrame.unionByName, candidates).distinct()
+        steps = [c if "_steps" in c.columns else c.withColumn("_steps", F.lit(0).cast("bigint")) for c in candidates]
+        rows = reduce(DataFrame.unionByName, steps).groupBy(*key).agg(F.min("_steps").alias("_steps"))
         if self.found.get(table):
             known = reduce(DataFrame.unionByName, self.found[table])
             rows = rows.join(known.select(*key), key, "left_anti")
-        new = cut(rows.withColumn("found_in", F.lit(self.round)))
+        found_in = F.greatest(F.col("_steps").cast("int") - 1, F.lit(0)) + self.round
+        new = cut(rows.select(*key, found_in.alias("found_in")))
         count = new.count()
         if count == 0:
             return None
@@ -125,6 +175,9 @@ class Closure:
     def _step(self, fresh: Mapping[str, DataFrame], deferred: bool) -> dict[str, DataFrame]:
         candidates: dict[str, list[DataFrame]] = {}
         for e in self.edges:
+            if e.parent == e.child and self.round > DEEP and e.child in fresh and list(self.keys.get(e.child, ())) == [e.parent_column]:
+                self._follow_deep(e, fresh[e.child], deferred, candidates)
+                continue
             if e.parent in fresh and self._follow(e.parent, "children", deferred) and self._open(e.child):
                 independent = self.directives.get(e.child, Directive()).mode.upper() == "INDEPENDENT"
                 if e.child not in self.keys:
@@ -153,6 +206,16 @@ class Closure:
                 added[table] = new
         return added
 
+    def _follow_deep(self, e: Edge, fresh: DataFrame, deferred: bool, candidates: dict[str, list[DataFrame]]) -> None:
+        """All rows below and above the fresh ones along a self reference."""
+        rows, independent = self.tables[e.child], self.directives.get(e.child, Directive()).mode.upper() == "INDEPENDENT"
+        if not self._open(e.child):
+            return
+        if self._follow(e.parent, "children", deferred) and not independent:
+            candidates.setdefault(e.child, []).append(descendants(rows, e.parent_column, e.child_column, fresh))
+        if self._follow(e.child, "parents", deferred):
+            candidates.setdefault(e.child, []).append(ancestors(rows, e.parent_column, e.child_column, fresh))
+
     def run(self, seeds: Mapping[str, DataFrame]) -> Selection:
         fresh: dict[str, DataFrame] = {}
         for table, rows in seeds.items():

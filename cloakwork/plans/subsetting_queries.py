@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cloakwork.operators import subset as sub
+from cloakwork.operators.subset import Edge
 from cloakwork.operators.policy import Policy, Rule, mask_tables
 from cloakwork.plans.keys import EDGES, KEY, PRIMARY_KEYS
 from cloakwork.plans import sqltext as sql
@@ -126,6 +127,18 @@ def both_directions(t):
     return sub.row_counts(chosen(t, names, "region", where="r_regionkey = 1"), t.spark)
 
 
+@query(
+    "subset_self_reference_chain",
+    "WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 40 <> 0 THEN c_custkey - 1 END AS boss FROM customer), "
+    "r AS (SELECT id FROM c WHERE id % 40 = 0 UNION SELECT c.id FROM c JOIN r ON c.boss = r.id) SELECT id FROM r",
+)
+def deep_chain(t):
+    """Forty levels of one self reference, followed to their end by pointer doubling."""
+    chain = t.customer.select(F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 40 <> 0 THEN c_custkey - 1 END").alias("boss"))
+    found = sub.plan_subset({"chain": chain}, {"chain": ["id"]}, [Edge("chain", "boss", "chain", "id")], "chain", where="id % 40 = 0", parents=False)
+    return found.keys["chain"].select("id")
+
+
 @query("subset_cap_leaves_no_orphans", "SELECT true AS capped, 0 AS lost_orders, 0 AS lost_lines FROM (SELECT count(*) FROM orders)")
 def cap_orphans(t):
     """A cap on customers also drops the orders of customers that it cuts off, and their lines."""
