@@ -85,7 +85,8 @@ def scan(
     The index maps the rarest mandatory words of each wording (by IDF over all documents) to (wording, place). A text's
     words are looked up in it; each hit says where the wording would start, and a start counts only if every anchor of the
     wording says the same. Then the mandatory phrases are verified word by word at that start, and the share of fitting words
-    is the score. As all anchors are mandatory words, no wording that verifies is missed, whatever the IDF is.
+    is the score. A wording may begin before the text, as "The MIT License" at its very start: words in front of the text don't
+    fit, and the start counts as 0. As all anchors are mandatory words, no wording that verifies is missed, whatever the IDF is.
     Null and empty texts have no words and no matches; repeated rows and null ids are scanned like others; an empty table
     gives no rows; other columns are ignored, whatever their names. One whole text is in memory at a time; nothing is shuffled.
     """
@@ -119,7 +120,7 @@ def scan(
             ),
         )
     )
-    rows = rows.withColumn("_proposed", F.array_sort(F.filter(proposals, lambda p: p["start"] >= 0)))
+    rows = rows.withColumn("_proposed", F.array_sort(proposals))
     rows = rows.withColumn("_catalogue", F.when(F.size("_proposed") > 0, catalogue))
     # equal proposals stand together: the anchors of a wording agree where the first of a run has as many behind it
     agreed = F.filter(
@@ -140,7 +141,7 @@ def scan(
         verified,
         lambda p: F.struct(
             F.get("_catalogue", p["n"])["label"].alias("label"), F.get("_catalogue", p["n"])["base"].alias("base"),
-            p["start"].cast("long").alias("start"),
+            F.greatest(p["start"], F.lit(0)).cast("long").alias("start"),
             (
                 F.size(F.filter(F.sequence(F.lit(0), F.size(F.get("_catalogue", p["n"])["words"]) - 1), lambda j: at(p, j)))
                 / F.size(F.get("_catalogue", p["n"])["words"])
@@ -167,9 +168,9 @@ WITH texts AS (
 wording(n, i, word, needed) AS (VALUES {words}), head(n, label, base, size, needed, share) AS (VALUES {heads}),
 laid AS (
   SELECT doc_id, n, place - i AS start, count(*) AS fits, count(*) FILTER (wording.needed) AS good
-  FROM words JOIN wording USING (word) WHERE place >= i GROUP BY ALL
+  FROM words JOIN wording USING (word) GROUP BY ALL
 ), matches AS (
-  SELECT doc_id, label, base, start, fits / size AS score FROM laid JOIN head USING (n) WHERE good = head.needed AND fits / size >= share
+  SELECT doc_id, label, base, greatest(start, 0) AS start, fits / size AS score FROM laid JOIN head USING (n) WHERE good = head.needed AND fits / size >= share
 ), summed AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score

@@ -185,3 +185,9 @@ def test_counts_of_one_slice_equal_those_of_many():
     alone = [quality_rules.count_features(texts.slice(i, 1)) for i in range(len(texts))]
     for name, values in together.items():
         assert values.tolist() == [int(a[name][0]) for a in alone]
+
+
+def test_licence_wordings_that_begin_before_the_text(documents):
+    rows = [(1, "The MIT License applies here"), (2, "mit license"), (3, "so: The MIT License applies"), (4, "license applies"), (5, "")]
+    got = {r["doc_id"]: [(m["label"], m["start"]) for m in r["matches"]] for r in license_scan.scan(documents(rows)).collect()}
+    assert got[1] == [("mit", 0)] and got[3] == [("mit", 0)] and got[4] == got[5] == []
