@@ -115,6 +115,22 @@ def test_stages_on_nulls_repeats_and_nothing(spark):
         assert stage(spark, nothing, FOLDER).count() == 0
 
 
+def test_stages_leave_columns_alone_whatever_their_names(spark):
+    from cloakwork.llm import stages
+
+    text = " ".join(f"word{i}" for i in range(60))
+    other = text.replace("word", "term")
+    names = ["_kept", "_counts", "_base_failed", "_toxicity", "_id", "_times", "key", "row", "_whole_row", "id", "n.m"]
+    fields = ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, t, *[f"{n} of {i}" for n in names]) for i, t in ((0, text), (1, text), (1, other), (1, other), (5, None), (None, text))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {fields}")
+    for stage in (stages.keep_good, stages.keep_civil, stages.keep_one_of_near_copies):
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns and after.count() > 0 and after.exceptAll(docs).count() == 0
+    left = stages.keep_one_of_near_copies(spark, docs, FOLDER).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])[:4]) for r in left) == [("0", "word"), ("1", "term"), ("5", "None"), ("None", "word")]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_query(spark, name):
     frame = QUERIES[name](spark, FOLDER)
