@@ -138,6 +138,19 @@ def record_files(t):
     return written.agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
 
 
+@query(
+    "generate_fixed_length_records_again",
+    "SELECT c_custkey AS id, c_name AS name, c_nationkey::BIGINT AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer",
+)
+def record_files_again(t):
+    """Written twice, the second time in fewer partitions: the files that are read are those of the second run alone."""
+    root = scratch_path(t.spark, "record-versions")
+    records = rec.encode(customers_for_records(t), LAYOUT, LENGTH)
+    rec.store_records(t.spark, records.repartition(5), root)
+    rec.store_records(t.spark, records.coalesce(1), root)
+    return rec.decode(rec.stored_records(t.spark, root, LENGTH), LAYOUT).withColumn("balance", F.col("balance").cast("double"))
+
+
 @query("sink_file_digest", "SELECT 'csv' AS form, count(*) AS n_rows, true AS same FROM part UNION ALL SELECT 'json', count(*), true FROM part")
 def digests(t):
     """Row count and digest seen while writing agree with the files read back."""

@@ -10,6 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.session import cut
+from cloakwork.sources.versions import Versions
+
 PAGE = "cp037"  # code page of the text fields
 _DECODED = bytes(range(256)).decode(PAGE)
 # Latin-1 stands for the raw byte; pairs that map to themselves are left out.
@@ -140,3 +143,22 @@ def write_records(records: DataFrame, path: str) -> DataFrame:
         yield pa.RecordBatch.from_pylist([{"file": os.path.basename(name), "records": count, "bytes": size}])
 
     return records.mapInArrow(write, "file string, records bigint, bytes bigint").where("records > 0")
+
+
+def store_records(spark: SparkSession, records: DataFrame, root: str, keep: int = 2) -> DataFrame:
+    """Record files as the next version below ``root``; returns file, records and bytes of that version.
+
+    Each run writes a folder of its own and then points at it, so a run with fewer partitions leaves no file of an older one
+    behind, and readers see the old files until the new ones are complete.
+    """
+    versions = Versions(spark, root)
+    attempt = versions.attempt()
+    written = cut(write_records(records, versions.folder(attempt)))
+    versions.commit(attempt, {"records": attempt})
+    versions.clean(keep)
+    return written
+
+
+def stored_records(spark: SparkSession, root: str, length: int) -> DataFrame:
+    """Records of the newest version below ``root``."""
+    return read_records(spark, Versions(spark, root).parts()["records"], length)
