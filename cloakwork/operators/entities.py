@@ -39,8 +39,9 @@ def with_root(member: Member) -> DataFrame:
 def fragments(members: Sequence[Member], per_fragment: int = FRAGMENT_ROWS) -> DataFrame:
     """``(entity, member, part, rows, n_rows, lane_0 .. lane_3)`` for every key at once.
 
-    A member with many rows for one key is cut into parts by row hash, which needs no sort; where a part still is too large, as
-    with many equal rows, its rows are cut by position. So no part holds more than ``per_fragment`` rows and no row is left out.
+    A member with many rows for one key is cut by row hash, without a sort, into parts of a quarter of ``per_fragment``, so that
+    hardly any exceeds it by chance; one that does, as with many equal rows, is cut by position. So no part holds more than
+    ``per_fragment`` rows and no row is left out.
     Rows are kept as JSON text. The lanes are sums of row-hash slices: they do not depend on the order of rows, and together make
     the digest of a capsule.
     """
@@ -49,7 +50,7 @@ def fragments(members: Sequence[Member], per_fragment: int = FRAGMENT_ROWS) -> D
         columns = m.frame.columns
         rows = with_root(m)
         count = F.count(F.lit(1))
-        sizes = rows.groupBy(F.col("entity").alias("_e")).agg(F.ceil(2 * count / per_fragment).alias("_parts")).where("_parts > 2")
+        sizes = rows.groupBy(F.col("entity").alias("_e")).agg(F.ceil(4 * count / per_fragment).alias("_parts")).where("_parts > 4")
         row_hash = F.sha2(cell_text(columns).cast("binary"), 256)
         part = F.coalesce(F.pmod(F.xxhash64("hash"), "_parts"), F.lit(0))
         parts = rows.join(sizes, F.col("entity") == F.col("_e"), "left").select(

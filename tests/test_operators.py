@@ -329,6 +329,9 @@ def test_fragments_hold_every_row_of_a_hot_entity(spark):
     hot = parts.where("entity = 1")
     assert hot.count() > 4 and hot.agg(F.sum("n_rows")).first()[0] == 400
     assert ent.capsule(parts).agg(F.sum("n_rows")).first()[0] == 500
+    same = spark.range(130).select(F.lit(1).alias("owner"), F.lit("equal").alias("item"))  # one hash, so cut by position
+    cut = ent.fragments([ent.Member("items", same, "owner")], 50).collect()
+    assert sorted(r["n_rows"] for r in cut) == [30, 50, 50] and len({r["part"] for r in cut}) == 3
 
 
 def test_reservation_needs_enough_free_keys(spark, tables):
