@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from cloakwork.llm import batches as B
 
 NONE = np.iinfo(np.int64).max
+IDS_TOGETHER = 1 << 20  # ids decoded at once, or one list
 LONGEST_TOGETHER = 64  # bytes; longer pieces are merged one at a time
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -50,8 +52,10 @@ class ByteBpe(B.PieceIds):
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.split_pattern = regex.compile(SPLIT)
         byte_of = {s: b for b, s in enumerate(symbols)}
-        self.token_bytes = {i: bytes(byte_of[c] for c in t) for t, i in vocabulary.items()}
-        self.token_bytes |= {i: t.encode("utf-8") for t, i in self.special.items()}
+        token_bytes = {i: bytes(byte_of[c] for c in t) for t, i in vocabulary.items()}
+        token_bytes |= {i: t.encode("utf-8") for t, i in self.special.items()}
+        self.unknown = max(token_bytes) + 1  # stands for ids that add nothing
+        self.token_bytes = pa.array([token_bytes.get(i, b"") for i in range(self.unknown + 1)], pa.binary())
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair, NONE where the pair has no merge or a side is missing (negative)."""
@@ -186,9 +190,31 @@ class ByteBpe(B.PieceIds):
             start = hit.end()
         return found + [t.encode("utf-8") for t in self.split_pattern.findall(text[start:] if start else text)]
 
-    def decode(self, ids: list[int]) -> str:
-        """Bytes of all tokens together, read as UTF-8; unknown ids add nothing, broken sequences become U+FFFD."""
-        return b"".join([self.token_bytes.get(i, b"") for i in ids]).decode("utf-8", "replace")
+    def decode(self, lists: pa.ListArray) -> pa.StringArray:
+        """The text of each list: bytes of all its tokens, read as UTF-8; unknown and null ids add nothing.
+
+        All bytes are gathered at once, and the texts are views of them. Only where a text has a broken sequence is each read by
+        itself, with U+FFFD in its place.
+        """
+        ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        ids = np.where((ids >= 0) & (ids < self.unknown), ids, self.unknown)
+        gathered = self.token_bytes.take(pa.array(ids))
+        _, at, data = gathered.buffers()
+        data = data or pa.py_buffer(b"")
+        bounds = np.concatenate([[0], np.cumsum(lengths_of(lists))])
+        at = np.frombuffer(at, np.int32)[bounds] if len(ids) else np.zeros(len(bounds), np.int32)
+        texts = pa.StringArray.from_buffers(len(lists), pa.py_buffer(np.ascontiguousarray(at)), data)
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            raw = memoryview(data)
+            return pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist())], pa.string())
+        return texts
+
+
+def lengths_of(lists: pa.ListArray) -> np.ndarray:
+    """Entries of each list, 0 of a null one."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def model_in_worker(definition: Broadcast) -> ByteBpe:
@@ -231,10 +257,12 @@ def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_c
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_in_worker(definition)
         for part in parts:
-            for i in range(0, part.num_rows, 512):
-                rows = part.slice(i, 512)
-                texts = pa.array([model.decode(ids or []) for ids in rows.column(1).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), texts], [id_column, "token_ids", "text"])
+            ends, start = np.cumsum(lengths_of(part.column(1))), 0
+            while start < part.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + IDS_TOGETHER, "right")))
+                rows, start = part.slice(start, stop - start), stop
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), model.decode(rows.column(1))], [id_column, "token_ids", "text"])
 
     schema = B.result_schema(encoded, id_column, "token_ids array<int>, text string")
     frame = encoded.select(F.col(id_column).alias("id"), F.col(ids_column).cast("array<int>").alias("token_ids"))
