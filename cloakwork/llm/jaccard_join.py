@@ -24,6 +24,7 @@ SKETCH = 128  # counts of shingles by hash that bound the difference of two sets
 SIGNATURES = 500_000  # signatures that meet in one reducing task
 SLICE = 4 << 20  # bytes of text whose shingles a task holds at once
 MEMBERS = 20_000  # bucket members that one task compares with each other, bucket by bucket
+SALTS = 32  # tasks that may share the rows of one least member
 SMALL = 1_000_000  # rows of 16 bytes that a broadcast may hold, checked by count
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,36 +208,79 @@ def sketch(shingles: np.ndarray) -> bytes:
     return len(shingles).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def apart_in_buckets(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of one bucket and two components that sketches do not rule out.
+class Forests:
+    """Spanning forests without a common edge over the same nodes, filled one edge at a time.
 
-    A task takes many small buckets and compares the members of each in blocks, so ruled-out pairs never become rows.
+    An edge goes to the first forest whose trees it joins, so what one forest has joined all earlier ones have, too.
+    """
+
+    def __init__(self, nodes: int, count: int):
+        self.parent = [list(range(nodes)) for _ in range(count)]
+
+    def top(self, forest: int, node: int) -> int:
+        parent = self.parent[forest]
+        while parent[node] != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    def tops(self) -> np.ndarray:
+        """The tree of each node in the last forest."""
+        return np.array([self.top(len(self.parent) - 1, n) for n in range(len(self.parent[-1]))], np.int64)
+
+    def add(self, x: int, y: int) -> bool:
+        for forest, parent in enumerate(self.parent):
+            a, b = self.top(forest, x), self.top(forest, y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                return True
+        return False
+
+
+def untested_forests(mixed: DataFrame, sets: DataFrame, failed: DataFrame, percent: int, forests: int) -> DataFrame:
+    """Pairs ``a, b`` of one bucket and two components that sketches do not rule out and that have not failed before: as many
+    forests of them as asked for, over the components that a task sees.
+
+    A task takes many small buckets and compares the members of each in blocks, so ruled-out pairs never become rows, and of the
+    others at most ``forests`` for each component. There is no row only if no pair is left. ``failed`` pairs have a < b.
     """
     tasks = max(16, math.ceil(mixed.count() / MEMBERS))
-    placed = mixed.join(sets.select("key", "sketch"), "key").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
+    not_with = failed.groupBy(F.col("b").alias("key")).agg(F.collect_list("a").alias("not_with"))
+    told = sets.select("key", "sketch").join(not_with, "key", "left")
+    placed = mixed.join(told, "key").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bucket", "ascending"), ("key", "ascending")])
-        keys = np.array(table.column("key").to_pylist(), object)
-        _, root = np.unique(np.frombuffer(b"".join(table.column("root").to_pylist()), "V16"), return_inverse=True)
+        keys = table.column("key").to_pylist()
+        refused = {(a, k) for k, others in zip(keys, table.column("not_with").to_pylist()) for a in others or ()}
+        names, root = np.unique(np.frombuffer(b"".join(table.column("root").to_pylist()), "V16"), return_inverse=True)
         drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 8 + SKETCH)
         size = np.ascontiguousarray(drawn[:, :8]).view("<i8").reshape(-1)
-        counts = drawn[:, 8:].astype(np.int16)
+        counts = drawn[:, 8:]
         _, first = np.unique(table.column("bucket").to_numpy(), return_index=True)
-        out: set[tuple[bytes, bytes]] = set()
+        trees, out = Forests(len(names), forests), []
+        tree = trees.tops()
         for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
             for low in range(start, stop, 64):
                 high = min(stop, low + 64)
-                both = size[low:high, None] + size[start:stop]
-                apart = np.empty(both.shape, np.int64)
-                for block in range(start, stop, 1024):
+                if (tree[root[low:stop]] == tree[root[low]]).all():
+                    break  # the rest of the bucket is one tree
+                for block in range(low, stop, 1024):
                     end = min(stop, block + 1024)
-                    apart[:, block - start : end - start] = np.abs(counts[low:high, None] - counts[block:end]).sum(axis=2, dtype=np.int64)
-                apart = np.maximum(apart, np.abs(size[low:high, None] - size[start:stop]))
-                open_ = (100 * (both - apart) >= percent * (both + apart)) & (root[low:high, None] != root[start:stop])
-                for x, y in zip(*np.nonzero(open_)):
-                    if low + x < start + y:
-                        out.add((keys[low + x], keys[start + y]))
+                    joined = tree[root[low:high]][:, None] == tree[root[block:end]]
+                    if joined.all():
+                        continue
+                    apart = np.abs(counts[low:high, None].astype(np.int16) - counts[block:end]).sum(axis=2, dtype=np.int64)
+                    apart = np.maximum(apart, np.abs(size[low:high, None] - size[block:end]))
+                    both = size[low:high, None] + size[block:end]
+                    open_ = (100 * (both - apart) >= percent * (both + apart)) & ~joined
+                    xs, ys = np.nonzero(open_)
+                    nearest = np.argsort(apart[xs, ys] / both[xs, ys], kind="stable")
+                    added = False
+                    for x, y in zip((low + xs[nearest]).tolist(), (block + ys[nearest]).tolist()):
+                        if x < y and root[x] != root[y] and (keys[x], keys[y]) not in refused and trees.add(int(root[x]), int(root[y])):
+                            out.append((keys[x], keys[y]))
+                            added = True
+                    tree = trees.tops() if added else tree
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return placed.groupBy("task").applyInArrow(compare, "a binary, b binary")
@@ -284,8 +328,9 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     """``id_column, n_shingles, component_id``: the smallest id that links reach from each row, itself included.
 
     Rows with equal sets are one set from the start (their links are certain), so copies are never expanded into pairs. Sets
-    that share a signature form buckets. In each bucket first every set meets the least one, then, as long as a bucket holds
-    sets of different components, all of these meet; a pair inside a component needs no test, as its outcome changes nothing.
+    that share a signature form buckets. First every set meets the least one of each of its buckets. Then, as long as a bucket
+    holds untested pairs of different components, each round tests a spanning forest of these, the next one twice as many: rows
+    grow with members, not with their pairs. A pair inside a component needs no test, as its outcome changes nothing.
     Every tested pair is verified on whole sets, so components are those of all links, none lost, none false.
     Null and empty texts have no shingles and stand alone. Null ids join components but never name one unless all are null;
     repeated rows share a component; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -311,28 +356,31 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     members = kept(found.join(marks, "bucket").select("bucket", "key", "least"), "members")
     sets = kept(_sets_of(docs, members.select("key").distinct(), rows, size, id_column, text_column), "sets")
 
-    links, tested = None, None
     roots = members.select(F.col("key").alias("node"), F.col("key").alias("root")).distinct()
-    for step in ("nearest_least", "every_least", "rest"):
-        at = members.join(roots.withColumnRenamed("node", "key"), "key")
-        if step == "rest":
-            open_ = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
-            mixed = kept(at.join(open_, "bucket").select("bucket", "key", "root"), "mixed")
-            pairs = apart_in_buckets(mixed, sets, percent)
+    failed, step = None, 0
+    while True:
+        if step == 0:
+            pairs = members.where("key != least").groupBy(F.col("key").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
+        elif step == 1:
+            pairs = _with_least(members, roots).join(failed, ["a", "b"], "left_anti")
         else:
-            head = roots.select(F.col("node").alias("least"), F.col("root").alias("other"))
-            pairs = at.join(head, "least").where((F.col("key") != F.col("least")) & (F.col("root") != F.col("other")))
-            pairs = pairs.select(F.col("least").alias("a"), F.col("key").alias("b"))
-            if step == "nearest_least":
-                pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+            at = members.join(roots.withColumnRenamed("node", "key"), "key")
+            open_ = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
+            mixed = kept(at.join(open_, "bucket").select("bucket", "key", "root"), f"mixed_{step}")
+            pairs = untested_forests(mixed, sets, failed, percent, 1 << step - 2).distinct()
         pairs = kept(pairs, f"pairs_{step}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = kept(not_ruled_out(pairs, sets, percent), f"likely_{step}")
+        if step > 1 and pairs.isEmpty():
+            break
+        likely = kept(not_ruled_out(pairs, sets, percent), f"likely_{step}") if step < 2 else pairs
         good = kept(similar(likely, sets, percent), f"links_{step}")
-        links = good if links is None else links.unionByName(good)
-        linked = connected_components(links)
-        roots = kept(members.select(F.col("key").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"roots_{step}")
+        # later rounds link components of the round before
+        ends = good if step == 0 else _renamed(_renamed(good, roots, "a"), roots, "b").where("a != b").distinct()
+        merged = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+        roots = kept(roots.join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")), f"roots_{step}")
+        missed = pairs.join(good, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        missed = kept(missed, f"failed_{step}")
+        failed = missed if failed is None else failed.unionByName(missed)
+        step += 1
 
     named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = kept(named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id")), "least")
@@ -342,6 +390,24 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     )
 
 
+def _renamed(pairs: DataFrame, roots: DataFrame, end: str) -> DataFrame:
+    """The pairs with the root of one end in its place."""
+    other = "b" if end == "a" else "a"
+    return pairs.join(roots.withColumnRenamed("node", end), end).select(F.col("root").alias(end), other)
+
+
+def _with_least(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the least member of a bucket and another one of a different component.
+
+    A least member may stand for a large share of all rows: its root is laid out SALTS times, and they choose one by hash.
+    """
+    both = members.where("key != least").select("least", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key")
+    heads = members.select("least").distinct().join(roots.select(F.col("node").alias("least"), F.col("root").alias("other")), "least")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = both.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(heads, ["least", "salt"]).where("root != other").select(F.col("least").alias("a"), F.col("key").alias("b"))
+
+
 def _sets_of(docs: DataFrame, keys: DataFrame, rows: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
     """``key, sketch, shingles`` of the given keys, from the text of one row of each class (the one with the least id)."""
     wanted = cut(rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))

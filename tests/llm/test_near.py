@@ -98,6 +98,25 @@ def test_join_of_nothing(spark, documents):
         jaccard_join.link(documents([]), percent=0)
 
 
+def test_forests_reach_every_open_pair_and_stay_small(spark):
+    keys = [i.to_bytes(16, "big") for i in range(23)]
+    same = (50).to_bytes(8, "little") + bytes(jaccard_join.SKETCH)  # nothing is ruled out
+    sets = spark.createDataFrame([(k, same) for k in keys], "key binary, sketch binary")
+    root = {k: keys[0] if i < 5 else k for i, k in enumerate(keys)}
+    buckets = {1: keys[:16], 2: keys[10:], 3: keys[20:22]}
+    mixed = spark.createDataFrame([(b, k, root[k]) for b, ks in buckets.items() for k in ks], "bucket long, key binary, root binary")
+    wanted = {(a, b) for ks in buckets.values() for a in ks for b in ks if a < b and root[a] != root[b]}
+    seen, forests = set(), 1
+    while True:
+        failed = spark.createDataFrame(sorted(seen), "a binary, b binary")
+        new = {(bytes(r["a"]), bytes(r["b"])) for r in jaccard_join.untested_forests(mixed, sets, failed, 85, forests).collect()}
+        if not new:
+            break
+        assert not new & seen and len(new) <= forests * sum(len(ks) for ks in buckets.values())
+        seen, forests = seen | new, forests * 2
+    assert seen == wanted
+
+
 def test_every_similar_pair_shares_a_signature():
     draw = np.random.default_rng(2)
     for percent in (85, 70):
