@@ -24,6 +24,7 @@ SKETCH = 128  # counts of shingles by hash that bound the difference of two sets
 SIGNATURES = 500_000  # signatures that meet in one reducing task
 SLICE = 4 << 20  # bytes of text whose shingles a task holds at once
 MEMBERS = 20_000  # bucket members that one task compares with each other, bucket by bucket
+MORE = 16  # times as many forests in each further round
 SALTS = 32  # tasks that may share the rows of one least member
 SMALL = 1_000_000  # rows of 16 bytes that a broadcast may hold, checked by count
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -238,10 +239,10 @@ class Forests:
 
 def untested_forests(mixed: DataFrame, sets: DataFrame, failed: DataFrame, percent: int, forests: int) -> DataFrame:
     """Pairs ``a, b`` of one bucket and two components that sketches do not rule out and that have not failed before: as many
-    forests of them as asked for, over the components that a task sees.
+    forests of them as asked for, over the components that a task sees. Then, with null ends, each ``bucket`` that may have more.
 
     A task takes many small buckets and compares the members of each in blocks, so ruled-out pairs never become rows, and of the
-    others at most ``forests`` for each component. There is no row only if no pair is left. ``failed`` pairs have a < b.
+    others at most ``forests`` for each component. A bucket without a row of its own has no pair left. ``failed`` pairs have a < b.
     """
     tasks = max(16, math.ceil(mixed.count() / MEMBERS))
     not_with = failed.groupBy(F.col("b").alias("key")).agg(F.collect_list("a").alias("not_with"))
@@ -256,17 +257,20 @@ def untested_forests(mixed: DataFrame, sets: DataFrame, failed: DataFrame, perce
         drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 8 + SKETCH)
         size = np.ascontiguousarray(drawn[:, :8]).view("<i8").reshape(-1)
         counts = drawn[:, 8:]
-        _, first = np.unique(table.column("bucket").to_numpy(), return_index=True)
-        trees, out = Forests(len(names), forests), []
+        buckets, first = np.unique(table.column("bucket").to_numpy(), return_index=True)
+        trees, out, more = Forests(len(names), forests), [], []
         tree = trees.tops()
-        for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+        for bucket, start, stop in zip(buckets.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
+            passed_over = False
             for low in range(start, stop, 64):
                 high = min(stop, low + 64)
                 if (tree[root[low:stop]] == tree[root[low]]).all():
+                    passed_over |= bool((root[low:stop] != root[low]).any())
                     break  # the rest of the bucket is one tree
                 for block in range(low, stop, 1024):
                     end = min(stop, block + 1024)
                     joined = tree[root[low:high]][:, None] == tree[root[block:end]]
+                    passed_over = passed_over or bool((joined & (root[low:high][:, None] != root[block:end])).any())
                     if joined.all():
                         continue
                     apart = np.abs(counts[low:high, None].astype(np.int16) - counts[block:end]).sum(axis=2, dtype=np.int64)
@@ -277,13 +281,19 @@ def untested_forests(mixed: DataFrame, sets: DataFrame, failed: DataFrame, perce
                     nearest = np.argsort(apart[xs, ys] / both[xs, ys], kind="stable")
                     added = False
                     for x, y in zip((low + xs[nearest]).tolist(), (block + ys[nearest]).tolist()):
-                        if x < y and root[x] != root[y] and (keys[x], keys[y]) not in refused and trees.add(int(root[x]), int(root[y])):
-                            out.append((keys[x], keys[y]))
-                            added = True
+                        if x < y and (keys[x], keys[y]) not in refused:
+                            if trees.add(int(root[x]), int(root[y])):
+                                out.append((None, keys[x], keys[y]))
+                                added = True
+                            else:
+                                passed_over = True
                     tree = trees.tops() if added else tree
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+            if passed_over:
+                more.append((bucket, None, None))
+        columns = zip(*(out + more)) if out or more else ((), (), ())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "a", "b"])
 
-    return placed.groupBy("task").applyInArrow(compare, "a binary, b binary")
+    return placed.groupBy("task").applyInArrow(compare, "bucket long, a binary, b binary")
 
 
 def not_ruled_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -329,8 +339,9 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
 
     Rows with equal sets are one set from the start (their links are certain), so copies are never expanded into pairs. Sets
     that share a signature form buckets. First every set meets the least one of each of its buckets. Then, as long as a bucket
-    holds untested pairs of different components, each round tests a spanning forest of these, the next one twice as many: rows
-    grow with members, not with their pairs. A pair inside a component needs no test, as its outcome changes nothing.
+    holds untested pairs of different components, each round tests spanning forests of these, MORE times as many as the one before,
+    and goes on with the buckets that may have more: rows grow with members, not with their pairs. A pair inside a component needs no
+    test, as its outcome changes nothing.
     Every tested pair is verified on whole sets, so components are those of all links, none lost, none false.
     Null and empty texts have no shingles and stand alone. Null ids join components but never name one unless all are null;
     repeated rows share a component; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -364,10 +375,13 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
         elif step == 1:
             pairs = _with_least(members, roots).join(failed, ["a", "b"], "left_anti")
         else:
+            if step > 2:  # only buckets that may have more
+                members = kept(forest.where("bucket IS NOT NULL").select("bucket").join(members, "bucket"), f"members_{step}")
             at = members.join(roots.withColumnRenamed("node", "key"), "key")
             open_ = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
             mixed = kept(at.join(open_, "bucket").select("bucket", "key", "root"), f"mixed_{step}")
-            pairs = untested_forests(mixed, sets, failed, percent, 1 << step - 2).distinct()
+            forest = kept(untested_forests(mixed, sets, failed, percent, MORE ** (step - 2)), f"forest_{step}")
+            pairs = forest.where("a IS NOT NULL").select("a", "b").distinct()
         pairs = kept(pairs, f"pairs_{step}")
         if step > 1 and pairs.isEmpty():
             break
