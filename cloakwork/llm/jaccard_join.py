@@ -21,10 +21,12 @@ PARTS = 3  # second-level partitions of a group; a signature takes all but one o
 SPARE = 2  # groups beyond the need, so that groups with empty partitions can be passed over; none where few differ
 FEW = 4  # differences below which no spare groups are added: small sets would leave them empty
 SKETCH = 128  # counts of shingles by hash that bound the difference of two sets from below
-SIGNATURES = 500_000  # signatures that meet in one reducing task
+SIGNATURES = 2_000_000  # signatures that meet in one reducing task
+SENT = 5  # bytes of a signature that are sent; sets that only share these meet, and are verified like all others
 SLICE = 4 << 20  # bytes of text whose shingles a task holds at once
-MEMBERS = 20_000  # bucket members that one task compares with each other, bucket by bucket
-MORE = 16  # times as many forests in each further round
+TASK_BYTES = 32 << 20  # bytes of sets whose pairs one task verifies; larger buckets are cut into blocks
+TESTED = 2_000_000  # failed pairs that a task remembers
+AT_ONCE = 1_000_000  # shingles of other sets that one set is compared with in one step
 SALTS = 32  # tasks that may share the rows of one least member
 SMALL = 1_000_000  # rows of 16 bytes that a broadcast may hold, checked by count
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -154,7 +156,8 @@ def set_keys(docs: DataFrame, size: int, id_column: str, text_column: str) -> Da
 def shared_signatures(docs: DataFrame, size: int, bands: SizeBands, tasks: int, text_column: str) -> DataFrame:
     """``bucket, key``: sets that share a signature with a different set.
 
-    A slice of texts sends one row per reducing task: its distinct sets' keys, how many signatures each has there, and these.
+    A slice of texts sends one row per reducing task: its distinct sets' keys, how many signatures each has there, and SENT bytes
+    of each signature.
     Equal sets of a slice are sent once, so a group of copies costs one entry per slice, however large it is.
     """
 
@@ -171,14 +174,17 @@ def shared_signatures(docs: DataFrame, size: int, bands: SizeBands, tasks: int,
                 own = slice(ends[task], ends[task + 1])
                 if ends[task + 1] > ends[task]:
                     held, counts = np.unique(number[own], return_counts=True)
-                    rows.append((task, keys[held].tobytes(), counts.astype("<u4").tobytes(), value[own].tobytes()))
+                    short = (value[own] >> np.uint64(64 - 8 * SENT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
+                    rows.append((task, keys[held].tobytes(), counts.astype("<u4").tobytes(), short.tobytes()))
             if rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["task", "keys", "counts", "signatures"])
 
     def meet(table: pa.Table) -> pa.Table:
         keys, counts, values = (b"".join(table.column(c).to_pylist()) for c in ("keys", "counts", "signatures"))
-        value = np.frombuffer(values, np.uint64)
+        value = np.zeros((len(values) // SENT, 8), np.uint8)
+        value[:, :SENT] = np.frombuffer(values, np.uint8).reshape(-1, SENT)
+        value = value.view("<u8").reshape(-1)
         distinct, code = np.unique(np.frombuffer(keys, "V16"), return_inverse=True)
         owner = np.repeat(code, np.frombuffer(counts, "<u4"))
         order = np.lexsort((owner, value))
@@ -196,141 +202,127 @@ def shared_signatures(docs: DataFrame, size: int, bands: SizeBands, tasks: int,
         ends = np.cumsum(each)
         at = np.repeat(first[pick] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
         members = [k.tobytes() for k in distinct[owner[at]]]
-        return pa.table({"bucket": pa.array(value[at].view(np.int64)), "key": pa.array(members, pa.binary())})
+        bucket = value[at].astype(np.int64) * tasks + table.column("task")[0].as_py()
+        return pa.table({"bucket": pa.array(bucket), "key": pa.array(members, pa.binary())})
 
     texts = docs.select(F.col(text_column).cast("string").alias("text"))
     sent = texts.mapInArrow(send, "task int, keys binary, counts binary, signatures binary")
     return sent.groupBy("task").applyInArrow(meet, "bucket long, key binary")
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Size and counts by hash, up to 255 each."""
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Counts of shingles by hash, up to 255 each."""
     counts = np.bincount((shingles >> np.uint64(33)).astype(np.int64) % SKETCH, minlength=SKETCH)
-    return len(shingles).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.minimum(counts, 255).astype(np.int16)
 
 
-class Forests:
-    """Spanning forests without a common edge over the same nodes, filled one edge at a time.
+def alike(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets have 100 * intersection >= percent * union with the one; all are sorted and not empty."""
+    sizes = np.array([len(o) for o in others], np.int64)
+    both = np.zeros(len(others), np.int64)
+    starts = np.unique(np.cumsum(sizes) // AT_ONCE, return_index=True)[1].tolist()
+    for start, stop in zip(starts, [*starts[1:], len(others)]):
+        held = np.concatenate(others[start:stop])
+        hit = one[np.minimum(np.searchsorted(one, held), len(one) - 1)] == held
+        both[start:stop] = np.add.reduceat(hit, np.cumsum(sizes[start:stop]) - sizes[start:stop], dtype=np.int64)
+    return 100 * both >= percent * (len(one) + sizes - both)
 
-    An edge goes to the first forest whose trees it joins, so what one forest has joined all earlier ones have, too.
-    """
-
-    def __init__(self, nodes: int, count: int):
-        self.parent = [list(range(nodes)) for _ in range(count)]
-
-    def top(self, forest: int, node: int) -> int:
-        parent = self.parent[forest]
-        while parent[node] != node:
-            parent[node] = node = parent[parent[node]]
-        return node
-
-    def tops(self) -> np.ndarray:
-        """The tree of each node in the last forest."""
-        return np.array([self.top(len(self.parent) - 1, n) for n in range(len(self.parent[-1]))], np.int64)
-
-    def add(self, x: int, y: int) -> bool:
-        for forest, parent in enumerate(self.parent):
-            a, b = self.top(forest, x), self.top(forest, y)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                return True
-        return False
 
+def cross_links(members: DataFrame, sets: DataFrame, percent: int, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Links ``a, b`` between components (``root``) of ``bucket, key, root, n`` that join what any similar pair of a bucket joins.
 
-def untested_forests(mixed: DataFrame, sets: DataFrame, failed: DataFrame, percent: int, forests: int) -> DataFrame:
-    """Pairs ``a, b`` of one bucket and two components that sketches do not rule out and that have not failed before: as many
-    forests of them as asked for, over the components that a task sees. Then, with null ends, each ``bucket`` that may have more.
-
-    A task takes many small buckets and compares the members of each in blocks, so ruled-out pairs never become rows, and of the
-    others at most ``forests`` for each component. A bucket without a row of its own has no pair left. ``failed`` pairs have a < b.
-    """
-    tasks = max(16, math.ceil(mixed.count() / MEMBERS))
-    not_with = failed.groupBy(F.col("b").alias("key")).agg(F.collect_list("a").alias("not_with"))
-    told = sets.select("key", "sketch").join(not_with, "key", "left")
-    placed = mixed.join(told, "key").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bucket", "ascending"), ("key", "ascending")])
-        keys = table.column("key").to_pylist()
-        refused = {(a, k) for k, others in zip(keys, table.column("not_with").to_pylist()) for a in others or ()}
-        names, root = np.unique(np.frombuffer(b"".join(table.column("root").to_pylist()), "V16"), return_inverse=True)
-        drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 8 + SKETCH)
-        size = np.ascontiguousarray(drawn[:, :8]).view("<i8").reshape(-1)
-        counts = drawn[:, 8:]
-        buckets, first = np.unique(table.column("bucket").to_numpy(), return_index=True)
-        trees, out, more = Forests(len(names), forests), [], []
-        tree = trees.tops()
-        for bucket, start, stop in zip(buckets.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
-            passed_over = False
-            for low in range(start, stop, 64):
-                high = min(stop, low + 64)
-                if (tree[root[low:stop]] == tree[root[low]]).all():
-                    passed_over |= bool((root[low:stop] != root[low]).any())
-                    break  # the rest of the bucket is one tree
-                for block in range(low, stop, 1024):
-                    end = min(stop, block + 1024)
-                    joined = tree[root[low:high]][:, None] == tree[root[block:end]]
-                    passed_over = passed_over or bool((joined & (root[low:high][:, None] != root[block:end])).any())
-                    if joined.all():
-                        continue
-                    apart = np.abs(counts[low:high, None].astype(np.int16) - counts[block:end]).sum(axis=2, dtype=np.int64)
-                    apart = np.maximum(apart, np.abs(size[low:high, None] - size[block:end]))
-                    both = size[low:high, None] + size[block:end]
-                    open_ = (100 * (both - apart) >= percent * (both + apart)) & ~joined
-                    xs, ys = np.nonzero(open_)
-                    nearest = np.argsort(apart[xs, ys] / both[xs, ys], kind="stable")
-                    added = False
-                    for x, y in zip((low + xs[nearest]).tolist(), (block + ys[nearest]).tolist()):
-                        if x < y and (keys[x], keys[y]) not in refused:
-                            if trees.add(int(root[x]), int(root[y])):
-                                out.append((None, keys[x], keys[y]))
-                                added = True
-                            else:
-                                passed_over = True
-                    tree = trees.tops() if added else tree
-            if passed_over:
-                more.append((bucket, None, None))
-        columns = zip(*(out + more)) if out or more else ((), (), ())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "a", "b"])
-
-    return placed.groupBy("task").applyInArrow(compare, "bucket long, a binary, b binary")
-
-
-def not_ruled_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches allow the similarity.
-
-    Sets of sizes m and n that differ in d shingles have an intersection of (m + n - d) / 2, and d is at least the sum of the
-    differences of their counts. So no similar pair is ruled out.
+    A task holds whole sets, each once, for buckets of some ``task_bytes``. A larger bucket is dealt to parts by hash, and each two
+    parts of it are a block of their own, so every pair of the bucket meets somewhere and no task holds more than two parts.
     """
-    left = sets.select(F.col("key").alias("a"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
-
-    def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, 8 + SKETCH) for c in (2, 3))
-            m, n = (np.ascontiguousarray(v[:, :8]).view("<i8").reshape(-1) for v in (x, y))
-            apart = np.maximum(np.abs(x[:, 8:].astype(np.int16) - y[:, 8:]).sum(axis=1), np.abs(m - n))
-            yield part.select([0, 1]).filter(pa.array(100 * (m + n - apart) >= percent * (m + n + apart)))
-
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(check, "a binary, b binary")
+    spans = members.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum(F.col("n") * 8 + 200).alias("bytes"))
+    spans = cut(spans.where("r1 < r2").select("bucket", "bytes"))
+    total = spans.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(16, math.ceil(total / task_bytes))
+    parts = F.ceil(F.col("bytes") / task_bytes).cast("int")
+    laid = members.join(spans.select("bucket", parts.alias("parts")), "bucket")
+    laid = laid.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    laid = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("block")
+    inside = (F.col("part") == F.col("other")) | (F.col("parts") == 1)
+    laid = laid.select(F.pmod(block, F.lit(tasks)).alias("task"), block, "key", "root", "part", inside.alias("inside"))
+    laid = cut(laid)
+    wanted = laid.select(F.col("task").alias("at"), F.col("key").alias("name")).distinct()
+    held = wanted.join(sets.select(F.col("key").alias("name"), "shingles"), "name")
+
+    def verify(rows: pa.Table, held: pa.Table) -> pa.Table:
+        at = {key: i for i, key in enumerate(held.column("name").to_pylist())}
+        own = [np.frombuffer(s.as_buffer(), np.uint64) for s in held.column("shingles")]
+        size = np.array([len(s) for s in own], np.int64)
+        counts = np.array([sketch(s) for s in own], np.int16).reshape(-1, SKETCH)
+        member = np.array([at[key] for key in rows.column("key").to_pylist()], np.int64)
+        names, root = np.unique(np.frombuffer(b"".join(rows.column("root").to_pylist()), "V16"), return_inverse=True)
+        root_of = np.zeros(len(own), np.int64)
+        root_of[member] = root
+        tree, tested, out = np.arange(len(names)), set(), []
+
+        def meet(x: int, among: np.ndarray) -> None:
+            """Verify one set with those of others that sketches allow, the nearest of each tree first, until all have failed or
+            are one tree with it. Sets of m and n shingles that differ in d share (m + n - d) / 2, and d is at least the sum of
+            the differences of their counts, so no similar pair is ruled out."""
+            apart = np.maximum(np.abs(counts[among] - counts[x]).sum(axis=1, dtype=np.int64), np.abs(size[among] - size[x]))
+            total = size[among] + size[x]
+            open_ = np.flatnonzero(100 * (total - apart) >= percent * (total + apart))
+            among = among[open_[np.argsort(apart[open_] / total[open_], kind="stable")]]
+            among = np.array([y for y in among.tolist() if (min(x, y), max(x, y)) not in tested], np.int64)
+            while len(among):
+                nearest = np.unique(tree[root_of[among]], return_index=True)[1]
+                good = alike(own[x], [own[y] for y in among[nearest].tolist()], percent)
+                for y, linked in zip(among[nearest].tolist(), good.tolist()):
+                    if linked:
+                        out.append((names[root_of[x]].tobytes(), names[root_of[y]].tobytes()))
+                        tree[tree == tree[root_of[y]]] = tree[root_of[x]]
+                    else:
+                        tested.add((min(x, y), max(x, y)))
+                among = np.delete(among, nearest)
+                among = among[tree[root_of[among]] != tree[root_of[x]]]
+            if len(tested) > TESTED:
+                tested.clear()
+
+        number = rows.column("block").to_numpy()
+        part, inside = rows.column("part").to_numpy(), rows.column("inside").to_numpy()
+        order = np.lexsort((member, number))
+        for held_by in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            of, p, whole = member[held_by], part[held_by], inside[held_by]
+            now = tree[root_of[of]]
+            names_now, sizes_now = np.unique(now, return_counts=True)
+            # a pair of two trees has an end outside the largest one
+            waiting = now != names_now[sizes_now.argmax()] if len(names_now) > 1 else np.zeros(len(of), bool)
+            done = np.zeros(len(of), bool)
+            for x in np.flatnonzero(waiting).tolist():
+                done[x] = True
+                meets = ~done & (tree[root_of[of]] != tree[root_of[of[x]]]) & ((whole & whole[x]) | (p != p[x]))
+                if meets.any():
+                    meet(int(of[x]), of[meets])
+        columns = zip(*out) if out else ((), ())
+        return pa.table([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+    return laid.groupBy("task").cogroup(held.groupBy("at")).applyInArrow(verify, "a binary, b binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of keys with 100 * intersection >= percent * union, counted on the whole sets."""
+    """The pairs ``a, b`` of keys with 100 * intersection >= percent * union, counted on the whole sets.
+
+    An ``a`` may stand for a large share of all pairs: they choose one of SALTS copies of its set by the hash of ``b``.
+    """
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    heads = salted.select("a", "salt").distinct().join(left, "a")
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keep = []
             for x, y in zip(part.column(2), part.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select([0, 1]).filter(pa.array(keep))
+                keep.append(100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and bool(alike(x, [y], percent)[0]))
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+    joined = salted.join(right, "b").join(heads, ["a", "salt"]).select("a", "b", "sa", "sb")
     return joined.mapInArrow(check, "a binary, b binary")
 
 
@@ -338,10 +330,10 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     """``id_column, n_shingles, component_id``: the smallest id that links reach from each row, itself included.
 
     Rows with equal sets are one set from the start (their links are certain), so copies are never expanded into pairs. Sets
-    that share a signature form buckets. First every set meets the least one of each of its buckets. Then, as long as a bucket
-    holds untested pairs of different components, each round tests spanning forests of these, MORE times as many as the one before,
-    and goes on with the buckets that may have more: rows grow with members, not with their pairs. A pair inside a component needs no
-    test, as its outcome changes nothing.
+    that share a signature form buckets. First every set meets the least one of one of its buckets. Buckets that then hold more
+    than one component go to tasks with their sets, which verify pairs of different components and send on one link for each two
+    components they join: rows grow with members, not with their pairs. A pair inside a component needs no test, as its outcome
+    changes nothing.
     Every tested pair is verified on whole sets, so components are those of all links, none lost, none false.
     Null and empty texts have no shingles and stand alone. Null ids join components but never name one unless all are null;
     repeated rows share a component; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -367,34 +359,12 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     members = kept(found.join(marks, "bucket").select("bucket", "key", "least"), "members")
     sets = kept(_sets_of(docs, members.select("key").distinct(), rows, size, id_column, text_column), "sets")
 
-    roots = members.select(F.col("key").alias("node"), F.col("key").alias("root")).distinct()
-    failed, step = None, 0
-    while True:
-        if step == 0:
-            pairs = members.where("key != least").groupBy(F.col("key").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
-        elif step == 1:
-            pairs = _with_least(members, roots).join(failed, ["a", "b"], "left_anti")
-        else:
-            if step > 2:  # only buckets that may have more
-                members = kept(forest.where("bucket IS NOT NULL").select("bucket").join(members, "bucket"), f"members_{step}")
-            at = members.join(roots.withColumnRenamed("node", "key"), "key")
-            open_ = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
-            mixed = kept(at.join(open_, "bucket").select("bucket", "key", "root"), f"mixed_{step}")
-            forest = kept(untested_forests(mixed, sets, failed, percent, MORE ** (step - 2)), f"forest_{step}")
-            pairs = forest.where("a IS NOT NULL").select("a", "b").distinct()
-        pairs = kept(pairs, f"pairs_{step}")
-        if step > 1 and pairs.isEmpty():
-            break
-        likely = kept(not_ruled_out(pairs, sets, percent), f"likely_{step}") if step < 2 else pairs
-        good = kept(similar(likely, sets, percent), f"links_{step}")
-        # later rounds link components of the round before
-        ends = good if step == 0 else _renamed(_renamed(good, roots, "a"), roots, "b").where("a != b").distinct()
-        merged = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-        roots = kept(roots.join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")), f"roots_{step}")
-        missed = pairs.join(good, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        missed = kept(missed, f"failed_{step}")
-        failed = missed if failed is None else failed.unionByName(missed)
-        step += 1
+    pairs = members.where("key != least").groupBy(F.col("key").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
+    roots = sets.select(F.col("key").alias("node"), F.col("key").alias("root"), "n")
+    roots = kept(_merged(roots, kept(similar(pairs, sets, percent), "first_links")), "first_roots")
+    at = members.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key")
+    links = kept(cross_links(kept(at, "at"), sets, percent), "links")
+    roots = kept(_merged(roots, links), "roots").select("node", "root")
 
     named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = kept(named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id")), "least")
@@ -404,26 +374,14 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     )
 
 
-def _renamed(pairs: DataFrame, roots: DataFrame, end: str) -> DataFrame:
-    """The pairs with the root of one end in its place."""
-    other = "b" if end == "a" else "a"
-    return pairs.join(roots.withColumnRenamed("node", end), end).select(F.col("root").alias(end), other)
-
-
-def _with_least(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of the least member of a bucket and another one of a different component.
-
-    A least member may stand for a large share of all rows: its root is laid out SALTS times, and they choose one by hash.
-    """
-    both = members.where("key != least").select("least", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key")
-    heads = members.select("least").distinct().join(roots.select(F.col("node").alias("least"), F.col("root").alias("other")), "least")
-    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = both.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    return salted.join(heads, ["least", "salt"]).where("root != other").select(F.col("least").alias("a"), F.col("key").alias("b"))
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root, n`` with the roots that links between them reach."""
+    new = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return roots.join(new, "root", "left").select("node", F.coalesce("new_root", "root").alias("root"), "n")
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame, rows: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """``key, sketch, shingles`` of the given keys, from the text of one row of each class (the one with the least id)."""
+    """``key, n, shingles`` of the given keys, from the text of one row of each class (the one with the least id)."""
     wanted = cut(rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
     frame = B.keyed_texts(docs, id_column, text_column)
     chosen = wanted.select("id", F.col("key").alias("wanted"))
@@ -432,13 +390,13 @@ def _sets_of(docs: DataFrame, keys: DataFrame, rows: DataFrame, size: int, id_co
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(parts, 1):
-            keys_, drawn, out = [], [], []
+            keys_, sizes, out = [], [], []
             for key, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size)):
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key:  # rows with one id may differ in text
                     keys_.append(key)
-                    drawn.append(sketch(s))
+                    sizes.append(len(s))
                     out.append(s.tobytes())
-            columns = [pa.array(c, pa.binary()) for c in (keys_, drawn, out)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "sketch", "shingles"])
+            columns = [pa.array(keys_, pa.binary()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "shingles"])
 
-    return joined.mapInArrow(run, "key binary, sketch binary, shingles binary").dropDuplicates(["key"])
+    return joined.mapInArrow(run, "key binary, n long, shingles binary").dropDuplicates(["key"])

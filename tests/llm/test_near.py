@@ -98,26 +98,41 @@ def test_join_of_nothing(spark, documents):
         jaccard_join.link(documents([]), percent=0)
 
 
-def test_forests_reach_every_open_pair_and_stay_small(spark):
-    keys = [i.to_bytes(16, "big") for i in range(23)]
-    same = (50).to_bytes(8, "little") + bytes(jaccard_join.SKETCH)  # nothing is ruled out
-    sets = spark.createDataFrame([(k, same) for k in keys], "key binary, sketch binary")
+@pytest.mark.parametrize("task_bytes", [1 << 20, 4000])  # whole buckets, and buckets in blocks
+def test_cross_links_join_all_similar_pairs_and_stay_few(spark, task_bytes):
+    draw = np.random.default_rng(4)
+    base, given = np.unique(draw.integers(0, 2**63, 120)).astype(np.uint64), []
+    for i in range(40):  # four families: alike inside, mostly below the threshold between them, chains in between
+        held = np.delete(base, draw.choice(len(base), 3 + 6 * (i % 4), replace=False))
+        given.append(np.unique(np.concatenate([held, draw.integers(0, 2**63, 3).astype(np.uint64)])))
+    keys = [i.to_bytes(16, "big") for i in range(len(given))]
     root = {k: keys[0] if i < 5 else k for i, k in enumerate(keys)}
-    buckets = {1: keys[:16], 2: keys[10:], 3: keys[20:22]}
-    mixed = spark.createDataFrame([(b, k, root[k]) for b, ks in buckets.items() for k in ks], "bucket long, key binary, root binary")
-    wanted = {(a, b) for ks in buckets.values() for a in ks for b in ks if a < b and root[a] != root[b]}
-    seen, forests = set(), 1
-    while True:
-        failed = spark.createDataFrame(sorted(seen), "a binary, b binary")
-        got = jaccard_join.untested_forests(mixed, sets, failed, 85, forests).collect()
-        new = {(bytes(r["a"]), bytes(r["b"])) for r in got if r["a"] is not None}
-        more = {r["bucket"] for r in got if r["a"] is None}
-        assert not new & seen and len(new) <= forests * sum(len(ks) for ks in buckets.values())
-        seen, forests = seen | new, forests * 2
-        if not more:
-            break
-        mixed = mixed.where(mixed["bucket"].isin(more))
-    assert seen == wanted
+    buckets = {1: keys[:30], 2: keys[20:], 3: keys[38:], 4: keys[:5]}
+    rows = [(b, k, root[k], len(given[i])) for b, ks in buckets.items() for i, k in enumerate(keys) if k in ks]
+    members = spark.createDataFrame(rows, "bucket long, key binary, root binary, n long")
+    sets = spark.createDataFrame([(k, s.tobytes()) for k, s in zip(keys, given)], "key binary, shingles binary")
+    got = [(bytes(r["a"]), bytes(r["b"])) for r in jaccard_join.cross_links(members, sets, 85, task_bytes).collect()]
+    similar = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+    wanted = {(a, b) for ks in buckets.values() for a in ks for b in ks if a < b and similar(given[keys.index(a)], given[keys.index(b)])}
+
+    def trees(pairs):
+        groups = Groups()
+        for k in keys:
+            groups.join(k, root[k])
+        for a, b in pairs:
+            groups.join(a, b)
+        return {frozenset(k for k in keys if groups.of(k) == groups.of(o)) for o in keys}
+
+    assert trees(got) == trees(wanted) and len(trees(wanted)) > 1
+    assert task_bytes < 1 << 20 or len(got) <= 2 * len(keys)
+    assert jaccard_join.cross_links(members.limit(0), sets, 85).count() == 0
+
+
+def test_alike_in_steps(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", 7)
+    one = np.arange(20, dtype=np.uint64)
+    others = [np.arange(n, m, dtype=np.uint64) for n, m in ((0, 20), (3, 20), (4, 20), (19, 25), (50, 90), (0, 23), (0, 24))]
+    assert jaccard_join.alike(one, others, 85).tolist() == [True, True, False, False, False, True, False]
 
 
 def test_every_similar_pair_shares_a_signature():
