@@ -231,21 +231,28 @@ def alike(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
 def cross_links(members: DataFrame, sets: DataFrame, percent: int, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Links ``a, b`` between components (``root``) of ``bucket, key, root, n`` that join what any similar pair of a bucket joins.
 
-    A task holds whole sets, each once, for buckets of some ``task_bytes``. A larger bucket is dealt to parts by hash, and each two
+    A task holds whole sets, each once, for units of some ``task_bytes``. A unit is all buckets with the same least component, as
+    they share most members, or one bucket where these are too many. A larger bucket is dealt to parts by hash, and each two
     parts of it are a block of their own, so every pair of the bucket meets somewhere and no task holds more than two parts.
     """
-    spans = members.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum(F.col("n") * 8 + 200).alias("bytes"))
-    spans = cut(spans.where("r1 < r2").select("bucket", "bytes"))
-    total = spans.agg(F.sum("bytes")).first()[0] or 0
+    spans = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum(F.col("n") * 8 + 200).alias("bytes"))
+    spans = cut(spans.where("least < most").select("bucket", "least", "bytes"))
+    mixed = cut(members.join(spans, "bucket"))
+    units = mixed.select("least", "key", "n").distinct().groupBy("least").agg(F.sum(F.col("n") * 8 + 200).alias("unit_bytes"))
+    units = cut(units)
+    total = units.agg(F.sum("unit_bytes")).first()[0] or 0
     tasks = max(16, math.ceil(total / task_bytes))
-    parts = F.ceil(F.col("bytes") / task_bytes).cast("int")
-    laid = members.join(spans.select("bucket", parts.alias("parts")), "bucket")
+    small = units.where(F.col("unit_bytes") <= task_bytes).select("least", F.lit(True).alias("whole"))
+    laid = mixed.join(small, "least", "left")
+    laid = laid.withColumn("parts", F.when(F.col("whole"), 1).otherwise(F.ceil(F.col("bytes") / task_bytes)).cast("int"))
+    laid = laid.withColumn("unit", F.when(F.col("whole"), F.xxhash64("least")).otherwise(F.xxhash64("bucket")))
     laid = laid.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     laid = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("block")
-    inside = (F.col("part") == F.col("other")) | (F.col("parts") == 1)
-    laid = laid.select(F.pmod(block, F.lit(tasks)).alias("task"), block, "key", "root", "part", inside.alias("inside"))
-    laid = cut(laid)
+    ends = [F.least("part", "other"), F.greatest("part", "other")]
+    laid = cut(laid.select(
+        F.pmod(F.xxhash64("unit", *ends), F.lit(tasks)).alias("task"), F.xxhash64("bucket", *ends).alias("block"), "key", "root",
+        "part", (F.col("part") == F.col("other")).alias("inside"),
+    ))
     wanted = laid.select(F.col("task").alias("at"), F.col("key").alias("name")).distinct()
     held = wanted.join(sets.select(F.col("key").alias("name"), "shingles"), "name")
 
