@@ -60,7 +60,7 @@ def people(t):
 def contacts(t):
     out = generated(t, "p", {"phone": Spec("PHONE_US"), "ssn": Spec("SSN"), "email": Spec("EMAIL"), "dob": Spec("DOB_ADULT")})
     return out.agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("phone").rlike(r"^\([2-9]\d{2}\) 555-01\d{2}$")).alias("phones"),
+        F.count("*").alias("n_rows"), F.count_if(F.col("phone").rlike(r"^\([2-9]\d{2}\) 555-01\d{2}( x[1-9]\d*)?$")).alias("phones"),
         F.count_distinct("phone").alias("distinct_phones"), F.count_if(chk.looks_real("SSN", F.col("ssn"))).alias("ssns"),
         F.count_if(F.col("email").rlike(r"^[a-z]+\.[a-z]+\d+@[a-z-]+\.test$")).alias("emails"),
         F.count_if(F.col("dob").cast("date") <= F.lit(dt.date(2006, 1, 1))).alias("adults"),
