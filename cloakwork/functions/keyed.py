@@ -18,8 +18,12 @@ LONG_VALUE = 1024  # characters of a value that is hashed whole in every block o
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body`` (also inside lambdas)."""
-    return F.transform(F.array(value), body)[0]
+    """Evaluate ``value`` once and use it many times in ``body`` (also inside lambdas).
+
+    The fold over no elements only carries the value to its end. An item of a transformed array would do the same, but
+    Spark asks such an array for its type at each row, which walks the whole expression below ``body``.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def normalise(value: Column) -> Column:
@@ -37,9 +41,9 @@ def hex_number(text: Column) -> Column:
 
 
 def non_negative_long(digest: Column) -> Column:
-    """First eight bytes of a digest with the top bit cleared."""
-    high = hex_number(F.substring(digest, 1, 8)).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))
-    return F.shiftleft(high, 32).bitwiseOR(hex_number(F.substring(digest, 9, 8)))
+    """First eight bytes of a digest with the top bit cleared; the digest stands once, so it is computed once."""
+    signed = F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
+    return signed.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF).cast("bigint"))
 
 
 class Draws:
