@@ -922,44 +922,47 @@ SAFE_BIC_COUNTRIES = ["US", "GB", "DE", "FR", "CA", "AU"]
 
 
 def iban(key, value, salt, p1=None, p2=None, row=None):
-    compact = only_alnum(value)
-    shaped = F.length(compact).between(15, 34) & compact.rlike("^[A-Z]{2}")
-    country = F.substring(compact, 1, 2)
-    if mode_of(p1, "") == "RANDOM_COUNTRY":
-        country = key.pick(tag(salt, "|iban-country"), compact, SAFE_IBAN_COUNTRIES)
-    bban = let(
-        key.stream(tag(salt, "|iban"), compact, F.length(compact)),
-        lambda s: random_shape(s, F.substr(compact, F.lit(5))),
-    )
+    def masked(compact: Column) -> Column:
+        shaped = F.length(compact).between(15, 34) & compact.rlike("^[A-Z]{2}")
+        country = F.substring(compact, 1, 2)
+        if mode_of(p1, "") == "RANDOM_COUNTRY":
+            country = key.pick(tag(salt, "|iban-country"), compact, SAFE_IBAN_COUNTRIES)
+        bban = let(
+            key.stream(tag(salt, "|iban"), compact, F.length(compact)),
+            lambda s: random_shape(s, F.substr(compact, F.lit(5))),
+        )
 
-    def build(body: Column) -> Column:
-        check = F.lpad((98 - mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
-        made = F.concat(country, check, body)
-        return made if mode_of(p2, "") == "COMPACT" else put_alnum(value, made)
+        def build(body: Column) -> Column:
+            check = F.lpad((98 - mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+            made = F.concat(country, check, body)
+            return made if mode_of(p2, "") == "COMPACT" else put_alnum(value, made)
 
-    return or_else(shaped, let(bban, build), lambda: character_map(key, value, tag(salt, "|iban-fallback")), row)
+        return or_else(shaped, let(bban, build), lambda: character_map(key, value, tag(salt, "|iban-fallback")), row)
+
+    return let(only_alnum(value), masked)
 
 
 def swift_bic(key, value, salt, p1=None, p2=None, row=None):
-    compact = F.upper(F.regexp_replace(value, r"\s", ""))
-    shaped = compact.rlike("^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$")
+    def masked(compact: Column) -> Column:
+        shaped = compact.rlike("^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$")
 
-    def build(stream: Column) -> Column:
-        letters = F.concat(*[F.char(65 + stream_draw(stream, F.lit(i), 26)) for i in range(4)])
-        if mode_of(p1, "") == "RANDOM_COUNTRY":
-            country = at(SAFE_BIC_COUNTRIES, stream_draw(stream, F.lit(4), 6))
-        else:
-            country = F.substring(compact, 5, 2)
+        def build(stream: Column) -> Column:
+            letters = F.concat(*[F.char(65 + stream_draw(stream, F.lit(i), 26)) for i in range(4)])
+            if mode_of(p1, "") == "RANDOM_COUNTRY":
+                country = at(SAFE_BIC_COUNTRIES, stream_draw(stream, F.lit(4), 6))
+            else:
+                country = F.substring(compact, 5, 2)
+
+            def mixed(i: Column) -> Column:
+                return let(stream_draw(stream, i + 5, 36), lambda n: F.when(n < 26, F.char(65 + n)).otherwise(F.char(22 + n)))
 
-        def mixed(i: Column) -> Column:
-            n = stream_draw(stream, i + 5, 36)
-            return F.when(n < 26, F.char(65 + n)).otherwise(F.char(22 + n))
+            tail = F.array_join(F.transform(count_to(F.length(compact) - 6), mixed), "")
+            return F.concat(letters, country, tail)
 
-        tail = F.array_join(F.transform(count_to(F.length(compact) - 6), mixed), "")
-        return F.concat(letters, country, tail)
+        made = let(key.stream(tag(salt, "|bic"), compact, F.lit(16)), build)
+        return or_else(shaped, made, lambda: character_map(key, value, tag(salt, "|bic-fallback")), row)
 
-    made = let(key.stream(tag(salt, "|bic"), compact, F.lit(16)), build)
-    return or_else(shaped, made, lambda: character_map(key, value, tag(salt, "|bic-fallback")), row)
+    return let(F.upper(F.regexp_replace(value, r"\s", "")), masked)
 
 
 ABA_PREFIXES = [f"{n:02d}" for n in (*range(1, 13), *range(21, 33))]
@@ -1205,40 +1208,59 @@ def swift_mt(key, value, salt, p1=None, p2=None, row=None):
     def field_value(name: Column, text: Column) -> Column:
         own = F.concat(salt if isinstance(salt, Column) else F.lit(salt), F.lit(":"), name)
         known = Row(shaped=True)
-        lines = F.split(text, "\n", -1)
-        bare = F.transform(lines, lambda x: F.regexp_replace(x, "\r$", ""))
-        plain = F.transform(
-            bare, lambda x: ~(x.startswith("/") & (F.length(x) > 1)) & ~x.rlike(BIC_LINE) & (F.trim(x) != "")
-        )
-        party = F.when(name.isin(*PARTY_TAGS), F.array_position(plain, F.lit(True))).otherwise(F.lit(0))
-
-        def line(x: Column, i: Column) -> Column:
-            body = F.regexp_replace(x, "\r$", "")
-            end = F.when(x.endswith("\r"), F.lit("\r")).otherwise(F.lit(""))
-            account = F.substr(body, F.lit(2))
-            masked_account = F.when(
-                account.rlike("^[A-Z]{2}[0-9]{2}[A-Za-z0-9]{11,30}$"), iban(key, account, own, row=known)
-            ).otherwise(bank_account(key, account, own, "FORMAT_PRESERVE"))
-            new = (
-                F.when(name.isin(*REFERENCE_TAGS), keep_format(key, body, own))
-                .when(body.startswith("/") & (F.length(body) > 1), F.concat(F.lit("/"), masked_account))
-                .when(body.rlike(BIC_LINE), swift_bic(key, body, own, row=known))
-                .when((i + 1) == party, full_name(key, body, own))
-                .otherwise(body)
+
+        def account_line(account: Column, own: Column) -> Column:
+            return F.concat(
+                F.lit("/"),
+                F.when(account.rlike("^[A-Z]{2}[0-9]{2}[A-Za-z0-9]{11,30}$"), iban(key, account, own, row=known)).otherwise(
+                    bank_account(key, account, own, "FORMAT_PRESERVE")
+                ),
+            )
+
+        def masked_lines(field: Column) -> Column:
+            """Lines without their carriage returns, and the place of the first that is a party's name."""
+
+            def line(x: Column, i: Column) -> Column:
+                def without_end(body: Column) -> Column:
+                    new = (
+                        F.when(field["reference"], keep_format(key, body, field["salt"]))
+                        .when(
+                            body.startswith("/") & (F.length(body) > 1),
+                            let(F.substr(body, F.lit(2)), lambda account: account_line(account, field["salt"])),
+                        )
+                        .when(body.rlike(BIC_LINE), swift_bic(key, body, field["salt"], row=known))
+                        .when((i + 1) == field["party"], full_name(key, body, field["salt"]))
+                        .otherwise(body)
+                    )
+                    return F.when(x.endswith("\r"), F.concat(new, F.lit("\r"))).otherwise(new)
+
+                return let(F.regexp_replace(x, "\r$", ""), without_end)
+
+            return F.array_join(F.transform(field["lines"], line), "\n")
+
+        def fields(lines: Column) -> Column:
+            bare = F.transform(lines, lambda x: F.regexp_replace(x, "\r$", ""))
+            plain = F.transform(
+                bare, lambda x: ~(x.startswith("/") & (F.length(x) > 1)) & ~x.rlike(BIC_LINE) & (F.trim(x) != "")
+            )
+            party = F.when(name.isin(*PARTY_TAGS), F.array_position(plain, F.lit(True))).otherwise(F.lit(0))
+            return F.struct(
+                lines.alias("lines"), party.alias("party"), name.isin(*REFERENCE_TAGS).alias("reference"), own.alias("salt")
             )
-            return F.concat(new, end)
 
-        return F.array_join(F.transform(lines, line), "\n")
+        return let(let(F.split(text, "\n", -1), fields), masked_lines)
 
     def text_block(body: Column) -> Column:
         pieces = F.split(body, r"(?m)(?=^:[0-9]{2}[A-Z]?:)", -1)
 
         def piece(x: Column) -> Column:
-            name = F.regexp_extract(x, "^:([0-9]{2}[A-Z]?):", 1)
-            start = F.length(name) + 3
-            return F.when(name == "", x).otherwise(
-                F.concat(F.substr(x, F.lit(1), start - 1), field_value(name, F.substr(x, start)))
-            )
+            def named(name: Column) -> Column:
+                start = F.length(name) + 3
+                return F.when(name == "", x).otherwise(
+                    F.concat(F.substr(x, F.lit(1), start - 1), field_value(name, F.substr(x, start)))
+                )
+
+            return let(F.regexp_extract(x, "^:([0-9]{2}[A-Z]?):", 1), named)
 
         return F.array_join(F.transform(pieces, piece), "")
 
