@@ -65,11 +65,20 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if seen <= rows else df
 
 
+TASK_ROWS = 50_000  # rows that one task of costly expressions gets
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks for the rows of a table scan: as many as the cluster has cores, and none beyond TASK_ROWS rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """More tasks for costly expressions on a table scan with fewer splits than the cluster has cores.
+    """More tasks for costly expressions on a table scan: as many as the cluster has cores, and no task beyond TASK_ROWS rows.
 
-    Large tables have many splits and pass through unchanged, without a shuffle. For scans only: asking a plan with
+    A file is read by few tasks, whatever its rows cost later, so the number of tasks follows the rows: the longest task stays as
+    long as it is when the table grows. A scan with enough splits passes through unchanged. For scans only: asking a plan with
     joins for its partitions would run its shuffles.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = task_count(df)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
