@@ -46,3 +46,8 @@ def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 10)
     assert session.spread(spark.range(0, 500, 1, 1)).rdd.getNumPartitions() == 50
     assert session.spread(spark.range(0, 5, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def plan_of(df, capsys):
+    df.explain(True)
+    return capsys.readouterr().out
