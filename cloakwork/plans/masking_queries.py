@@ -311,7 +311,7 @@ def split_columns(rows, key, fn, spec, row):
 )
 def phone_split(t):
     whole = F.expr(PHONE_DIGITS)
-    rows = t.customer.select(
+    rows = spread(t.customer.select("c_custkey")).select(
         "c_custkey", F.substring(whole, 1, 3).alias("area"), F.substring(whole, 4, 3).alias("exchange"),
         F.substring(whole, 7, 4).alias("line"),
     )
@@ -326,7 +326,7 @@ def phone_split(t):
 )
 def ssn_split(t):
     whole = F.expr(SSN_DIGITS)
-    rows = t.customer.select(
+    rows = spread(t.customer.select("c_custkey")).select(
         "c_custkey", F.substring(whole, 1, 3).alias("a"), F.substring(whole, 4, 2).alias("g"), F.substring(whole, 6, 4).alias("s")
     )
     row = Row({c: F.col(c) for c in ("a", "g", "s")})
