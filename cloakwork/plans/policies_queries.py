@@ -202,11 +202,11 @@ def mixed_sources(t):
 )
 def numbers_keep_digits(t):
     """Keys as int, smallint and bigint, prices as decimal: masked one-to-one inside their types, and keys of other width still join."""
-    orders = t.orders.select(
+    orders = spread(t.orders.select("o_orderkey", "o_custkey", "o_totalprice")).select(
         F.col("o_orderkey").cast("int").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"), F.col("o_orderkey").cast("int").alias("was"),
     )
-    customer = t.customer.select(F.col("c_custkey").cast("int").alias("c_custkey"))
+    customer = spread(t.customer.select(F.col("c_custkey").cast("int").alias("c_custkey")))
     rules = [
         Rule("orders", "o_orderkey", "FORMAT_PRESERVE"), Rule("orders", "o_custkey", "FORMAT_PRESERVE"),
         Rule("orders", "o_totalprice", "CHARACTER_MAP"), Rule("customer", "c_custkey", "FORMAT_PRESERVE"),
