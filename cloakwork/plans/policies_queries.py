@@ -268,7 +268,8 @@ def text_json(t):
         F.lit('{"who": "'), "event_type", F.lit('", "tags": ["'), "event_type", F.lit('"], "n": '), F.col("user_id").cast("string"), F.lit("}")
     )
     change = lambda x: mask("FORMAT_PRESERVE", x, KEY, "w")
-    return t.events.select("event_id", structured.change_json_text(doc, change).alias("doc"))
+    rows = spread(t.events.select("event_id", "event_type", "user_id"))
+    return rows.select("event_id", structured.change_json_text(doc, change).alias("doc"))
 
 
 ORDER_DOC = (
@@ -287,7 +288,8 @@ def text_json_path(t):
 
     doc = F.expr(ORDER_DOC.format(note="o_orderpriority"))
     changes = [("$.LINES[].note", lambda x: mask("FORMAT_PRESERVE", x, KEY, "w"))]
-    return t.orders.select("o_orderkey", scanner.change_selected(doc, "json", changes).alias("doc"))
+    rows = spread(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return rows.select("o_orderkey", scanner.change_selected(doc, "json", changes).alias("doc"))
 
 
 CUSTOMER_DOC = "'<c><x seg=\"' || {seg} || '\" id=\"' || c_mktsegment || '\"><![CDATA[' || {name} || ']]></x><n>' || {n} || ' &amp; co</n></c>'"
@@ -304,7 +306,8 @@ def text_xml_path(t):
 
     doc = F.expr(CUSTOMER_DOC.format(seg="c_mktsegment", name="c_name", n="c_name"))
     changes = [("$.c.x@seg", lambda x: mask("FORMAT_PRESERVE", x, KEY, "x")), ("$.c.n", F.upper)]
-    return t.customer.select("c_custkey", scanner.change_selected(doc, "xml", changes).alias("doc"))
+    rows = spread(t.customer.select("c_custkey", "c_mktsegment", "c_name"))
+    return rows.select("c_custkey", scanner.change_selected(doc, "xml", changes).alias("doc"))
 
 
 @query(
@@ -315,7 +318,7 @@ def text_xml_path(t):
 def text_html_element(t):
     """Text inside one kind of element, and all text: named entities are read; what doesn't change keeps its writing."""
     doc = F.concat(F.lit("<p>Caf&eacute; <b>"), "c_name", F.lit(" &eacute;&copy;</b><br>"), "c_name", F.lit("<script>b</script></p>"))
-    return t.customer.select(
+    return spread(t.customer.select("c_custkey", "c_name")).select(
         "c_custkey", scanner.change_selected(doc, "html", [("b", F.upper)]).alias("doc"), structured.change_html_text(doc, F.upper).alias("whole")
     )
 
@@ -374,7 +377,8 @@ def text_xml(t):
 
     doc = F.concat(F.lit('<c seg="'), "c_mktsegment", F.lit('"><n>'), "c_name", F.lit("</n></c>"))
     change = lambda x: mask("FORMAT_PRESERVE", x, KEY, "x")
-    return t.customer.select("c_custkey", structured.change_xml_text(doc, change).alias("doc"))
+    rows = spread(t.customer.select("c_custkey", "c_mktsegment", "c_name"))
+    return rows.select("c_custkey", structured.change_xml_text(doc, change).alias("doc"))
 
 
 @query(
