@@ -12,6 +12,7 @@ from cloakwork.plans import sqltext as sql
 from cloakwork.plans.keys import KEY
 from cloakwork.plans.masking_queries import ACCOUNT, EMAIL_IN, PHONE, PHONE_DIGITS, SSN_DASHED, SSN_DIGITS, strip
 from cloakwork.plans.registry import query
+from cloakwork.session import spread
 
 SECRET = "compliance-salt"
 
@@ -42,7 +43,7 @@ PARAMS = {"NATIONAL_ID": "CA"}
     + " UNION ALL SELECT 'broken', 'FAIL', count(*) FROM customer WHERE c_name NOT LIKE '%@%'",
 )
 def formats(t):
-    rows = t.customer.select("c_name", *[F.expr(v).alias(f.lower()) for f, v in INPUTS.items()], F.col("c_name").alias("broken"))
+    rows = spread(t.customer.select("c_custkey", "c_name", "c_acctbal")).select("c_name", *[F.expr(v).alias(f.lower()) for f, v in INPUTS.items()], F.col("c_name").alias("broken"))
     rules = [Rule("c", f.lower(), f, p1=PARAMS.get(f)) for f in INPUTS]
     masked = apply_policy(rows, "c", Policy(KEY, rules))
     found = chk.format_checks(masked, "c", [*rules, Rule("c", "broken", "EMAIL")])
@@ -127,7 +128,7 @@ ABA_SUM = " + ".join(f"substr({SSN_DIGITS}, {i + 1}, 1)::INT * {w}" for i, w in
     f"UNION ALL SELECT 'aba', 'ROUTING', count(*) FILTER (({ABA_SUM}) % 10 = 0) FROM customer UNION ALL SELECT 'acct', 'IBAN', 0 FROM (SELECT count(*) FROM customer)",
 )
 def real_values(t):
-    rows = t.customer.select(*[F.expr(v).alias(c) for c, (_, v) in REAL_INPUTS.items()])
+    rows = spread(t.customer.select("c_custkey")).select(*[F.expr(v).alias(c) for c, (_, v) in REAL_INPUTS.items()])
     return chk.validity_leaks(rows, "customer", {c: k for c, (k, _) in REAL_INPUTS.items()}).drop("table_name")
 
 
@@ -136,7 +137,7 @@ def real_values(t):
     "SELECT column_name, pii_type, 0 AS real_rows FROM (VALUES ('phone', 'PHONE'), ('email', 'EMAIL'), ('ssn', 'SSN')) v(column_name, pii_type) WHERE (SELECT count(*) FROM customer) > 0",
 )
 def masked_not_real(t):
-    rows = t.customer.select(
+    rows = spread(t.customer.select("c_custkey")).select(
         mask("PHONE", F.expr(PHONE), KEY).alias("phone"), mask("EMAIL", F.expr(EMAIL_IN), KEY).alias("email"),
         mask("SSN", F.expr(SSN_DASHED), KEY, p1="KEEP_LAST4").alias("ssn"),
     )
