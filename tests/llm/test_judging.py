@@ -142,6 +142,20 @@ def test_nearest_is_exact_over_rare_and_common_columns():
         assert found.tolist() == want and np.allclose(scores, np.minimum(cosine[want], 1))
 
 
+def test_driver_holds_hashes_and_counts_but_no_index(spark, documents):
+    """The driver's share: 20 bytes a term and 5 to 8 a posting; weights come back from counts, of 255 and more too."""
+    rows = [(i, " ".join(f"w{i}x{n}" for n in range(200)) + (" bad" * 300 if i % 4 == 0 else " good")) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    judge = toxicity.learn(documents(rows), labels)
+    assert "index" not in vars(judge) and not isinstance(judge.space.columns, dict)
+    of, columns = judge.examples, judge.space.columns
+    assert columns.hashes.nbytes + columns.sorted.nbytes + columns.order.nbytes == 20 * len(columns) > 20 * 40 * 200
+    assert of.column.nbytes + of.count.nbytes <= 8 * int(of.lengths.sum()) and of.count.max() == 300
+    row, column, weight = judge.space.vectors(pa.array([rows[int(i)][1] for i in judge.ids]))
+    assert column.tolist() == of.column.tolist() and weight.tolist() == judge.weights.tolist()
+    assert np.bincount(row).tolist() == of.lengths.tolist()
+
+
 def test_rare_words_of_examples_count(spark, documents):
     """Each toxic word stands in one example only: a near copy of that example is still found by it."""
     rows = [(i, f"slur{i:02d}x common words here" if i % 4 == 0 else f"nice{i:02d}x common words here") for i in range(40)]
