@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import hex_number
 from cloakwork.operators.positions import group_positions
-from cloakwork.session import cut
+from cloakwork.session import cut, small_side
 from cloakwork.streaming.snapshots import LANES, cell_text
 
 FRAGMENT_ROWS = 1_000
@@ -43,26 +43,29 @@ def fragments(members: Sequence[Member], per_fragment: int = FRAGMENT_ROWS) -> D
     hardly any exceeds it by chance; one that does, as with many equal rows, is cut by position. So no part holds more than
     ``per_fragment`` rows and no row is left out.
     Rows are kept as JSON text. The lanes are sums of row-hash slices: they do not depend on the order of rows, and together make
-    the digest of a capsule.
+    the digest of a capsule. A member's rows are read once for the sizes, once for the parts and once for the fragments; rows of
+    parts that are too large, wherever there are any, are read for these alone.
     """
     out = []
     for m in members:
         columns = m.frame.columns
         rows = with_root(m)
         count = F.count(F.lit(1))
-        sizes = rows.groupBy(F.col("entity").alias("_e")).agg(F.ceil(4 * count / per_fragment).alias("_parts")).where("_parts > 4")
+        sizes = cut(rows.groupBy(F.col("entity").alias("_e")).agg(F.ceil(4 * count / per_fragment).alias("_parts")).where("_parts > 4"))
+        dealt = F.pmod(F.xxhash64(cell_text(columns)), "_parts")  # equal rows share a part; no digest is needed to deal them
+        counted = rows.join(sizes, F.col("entity") == F.col("_e")).groupBy("_e", dealt.alias("_p")).agg(count.alias("_n"))
+        over = cut(counted.where(F.col("_n") > per_fragment).select("_e", "_p"))
         row_hash = F.sha2(cell_text(columns).cast("binary"), 256)
-        part = F.coalesce(F.pmod(F.xxhash64("hash"), "_parts"), F.lit(0))
-        parts = rows.join(sizes, F.col("entity") == F.col("_e"), "left").select(
-            "entity", F.to_json(F.struct(*columns)).alias("row"), row_hash.alias("hash"), "_parts"
-        ).withColumn("part", part)
-        over = parts.where("_parts IS NOT NULL").groupBy(F.col("entity").alias("_e"), F.col("part").alias("_p")).agg(count.alias("_n"))
-        over = cut(over.where(F.col("_n") > per_fragment))
+        held = ["entity", F.to_json(F.struct(*columns)).alias("row"), row_hash.alias("hash"), F.coalesce(dealt, F.lit(0)).alias("part"), "_parts"]
+        parts = rows.join(sizes, F.col("entity") == F.col("_e"), "left").select(*held)
         if not over.isEmpty():
-            marked = parts.join(over, (F.col("entity") == F.col("_e")) & (F.col("part") == F.col("_p")), "left").drop("_e", "_p")
-            placed = group_positions(marked.where("_n IS NOT NULL"), ["entity", "part"], ["hash"], "_place").drop("group_rows")
+            few = small_side(over)
+            same = (F.col("entity") == F.col("_e")) & (F.col("part") == F.col("_p"))
+            of_these = rows.join(few.select(F.col("_e").alias("_x")), F.col("entity") == F.col("_x"), "left_semi")
+            crowded = cut(of_these.join(sizes, F.col("entity") == F.col("_e")).select(*held).join(few, same, "left_semi"))
+            placed = group_positions(crowded, ["entity", "part"], ["hash"], "_place").drop("group_rows")
             split = placed.withColumn("part", F.col("part") + F.col("_parts") * F.floor((F.col("_place") - 1) / per_fragment)).drop("_place")
-            parts = marked.where("_n IS NULL").unionByName(split)
+            parts = parts.join(few, same, "left_anti").unionByName(split)
         parts = parts.select("entity", "row", "hash", F.col("part").cast("int").alias("part"))
         lanes = [F.sum(hex_number(F.substring("hash", 1 + 8 * i, 8))).alias(f"lane_{i}") for i in range(LANES)]
         out.append(
