@@ -256,7 +256,8 @@ def free_numbers(taken: DataFrame, wanted: DataFrame, low: int, high: int, key:
     if count > high - low + 1 - used:
         raise ValueError(f"{count} more unique values are wanted, {high - low + 1 - used} are free")
     if key is not None and count:
-        rows = rows.withColumn("_j", permuted(key, "gen|unique", F.col("_j").cast("bigint"), F.lit(count).cast("bigint")))
+        # kept: the sort below asks for its keys twice, and a permutation takes a dozen digests
+        rows = cut(rows.withColumn("_j", permuted(key, "gen|unique", F.col("_j").cast("bigint"), F.lit(count).cast("bigint"))))
     exact = "decimal(20,0)"
     placed = with_sequence(taken.select("_n"), ["_n"], "_i", 0)
     before = placed.select((F.col("_n").cast(exact) - F.lit(low).cast(exact) - F.col("_i")).cast(exact).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_row"))
@@ -291,11 +292,12 @@ def made_unique(df: DataFrame, column: str, kind: str = "string", key: MaskKey |
         top, last = df.agg(F.max(units), F.max("_row")).first()
         if top is not None and int(top) + int(last) * 10**places > high:
             taken = df.select(units.alias("_n")).where(F.col("_n").between(low, high)).distinct()
-            free = free_numbers(taken, joined.where(later).select("_row"), low, high, key)
+            free = free_numbers(cut(taken), cut(joined.where(later).select("_row")), low, high, key)
             date = F.date_from_unix_date(F.col("_free").cast("int"))
             text = (date if kind == "date" else date.cast("timestamp_ntz")) if dated else (F.col("_free") / F.lit(10**places)).cast(f"decimal(20,{places})") if places else F.col("_free")
             out = joined.join(free.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
-            return out.withColumn(column, F.when(later, text.cast("string")).otherwise(own)).drop("_value", "_first", "_free", "_r")
+            # kept: the next column's repair reads these rows six times
+            return cut(out.withColumn(column, F.when(later, text.cast("string")).otherwise(own)).drop("_value", "_first", "_free", "_r"))
     if dated:
         top = df.agg(F.max(own.try_cast("timestamp_ntz")).alias("_top"))
         moved = F.timestamp_add("DAY", F.col("_row").cast("int"), F.col("_top")).cast("string" if kind != "date" else "date").cast("string")
