@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm import batches as B
@@ -26,6 +26,10 @@ SENT = 5  # bytes of a signature that are sent; sets that only share these meet,
 SLICE = 4 << 20  # bytes of text whose shingles a task holds at once
 TASK_BYTES = 32 << 20  # bytes of sets whose pairs one task verifies; larger buckets are cut into blocks
 TESTED = 2_000_000  # failed pairs that a task remembers
+LEAF = 64  # members of a bucket up to which all its pairs are laid out at once
+HELD_WORDS = 1 << 21  # words of parity sketches compared in one step
+SKETCH_BYTES = 4 << 20  # bytes of parity sketches that a task holds
+UNIT_ROWS = 20_000  # members of buckets that stay together in one task of sketches
 AT_ONCE = 1_000_000  # shingles of other sets that one set is compared with in one step
 SALTS = 32  # tasks that may share the rows of one least member
 SMALL = 1_000_000  # rows of 16 bytes that a broadcast may hold, checked by count
@@ -139,18 +143,62 @@ def signatures(sets: list[np.ndarray], bands: SizeBands) -> tuple[np.ndarray, np
     return number[order], value[order]
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """One bit for each place of a hash table of one to two places a shingle: whether an odd number of shingles fell there."""
+    places = max(64, 1 << (len(shingles) - 1).bit_length())
+    at = ((shingles >> np.uint64(20)) % np.uint64(places)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class ParitySketches:
+    """Sets by their parities, a sixty-fourth to a thirty-second of their size. Each place that differs holds a shingle of only one
+    of the two sets, so these places never outnumber the shingles that differ."""
+
+    def __init__(self, packed: list[bytes]):
+        raw = [np.frombuffer(x, "<u8") for x in packed]
+        self.width = np.array([len(x) for x in raw], np.int64)
+        self.place, self.table = np.zeros(len(raw), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.place[own] = np.arange(len(own))
+            self.table[width] = np.concatenate([raw[i] for i in own.tolist()]).reshape(-1, width)
+
+    @staticmethod
+    def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+        while bits.shape[1] > width:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        return bits
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places that differ between the sets x and y, pair by pair; the longer sketch is folded to the shorter one's places."""
+        out = np.zeros(len(x), np.int64)
+        kind = self.width[x] << 32 | self.width[y]
+        for both in np.unique(kind).tolist():
+            wide, other = both >> 32, both & 0xFFFFFFFF
+            of, step = np.flatnonzero(kind == both), max(1, HELD_WORDS // max(wide, other))
+            for at in (of[i : i + step] for i in range(0, len(of), step)):
+                a, b = self.table[wide][self.place[x[at]]], self.table[other][self.place[y[at]]]
+                least = min(wide, other)
+                out[at] = np.bitwise_count(self._folded(a, least) ^ self._folded(b, least)).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def set_keys(docs: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """``id, n_shingles, key``: the key is 128 bits of the set, null for an empty one."""
+    """``id, n_shingles, key, sketch``: the key is 128 bits of the set, null for an empty one, the sketch its parities."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(parts, 1, SLICE):
             sets = shingle_sets(part.column(1), size)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             counts = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(keys, pa.binary())], ["id", "n_shingles", "key"])
+            sketches = pa.array([parities(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), counts, pa.array(keys, pa.binary()), sketches], ["id", "n_shingles", "key", "sketch"]
+            )
 
     frame = B.keyed_texts(docs, id_column, text_column)
-    return frame.mapInArrow(run, B.result_schema(frame, "id", "n_shingles long, key binary"))
+    return frame.mapInArrow(run, B.result_schema(frame, "id", "n_shingles long, key binary, sketch binary"))
 
 
 def shared_signatures(docs: DataFrame, size: int, bands: SizeBands, tasks: int, text_column: str) -> DataFrame:
@@ -228,31 +276,108 @@ def alike(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
     return 100 * both >= percent * (len(one) + sizes - both)
 
 
-def cross_links(members: DataFrame, sets: DataFrame, percent: int, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """Links ``a, b`` between components (``root``) of ``bucket, key, root, n`` that join what any similar pair of a bucket joins.
+def with_a_partner(
+    number: np.ndarray, member: np.ndarray, root: np.ndarray, part: np.ndarray, inside: np.ndarray, size: np.ndarray,
+    sketches: ParitySketches, percent: int,
+) -> np.ndarray:
+    """Which rows have a row of another root in their block (``number``) that may be similar by sizes and parities.
 
-    A task holds whole sets, each once, for units of some ``task_bytes``. A unit is all buckets with the same least component, as
-    they share most members, or one bucket where these are too many. A larger bucket is dealt to parts by hash, and each two
+    Sets of m and n shingles that differ in d share (m + n - d) / 2, and d is at least the difference of their sizes and the
+    number of parities that differ, so no row of a similar pair is left out.
+    """
+    hit = np.zeros(len(number), bool)
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        open_ = (root[i] != root[j]) & ((inside[i] & inside[j]) | (part[i] != part[j])) & ~(hit[i] & hit[j])
+        i, j = i[open_], j[open_]
+        m, n = size[member[i]], size[member[j]]
+        open_ = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+        i, j, total = i[open_], j[open_], (m + n)[open_]
+        apart = sketches.apart(member[i], member[j])
+        good = 100 * (total - apart) >= percent * (total + apart)
+        hit[i[good]] = hit[j[good]] = True
+
+    order = np.lexsort((member, number))
+    starts = np.flatnonzero(np.diff(number[order], prepend=number[order[:1]] - 1)) if len(order) else np.zeros(0, np.int64)
+    count = np.diff(starts, append=len(order))
+    end = np.repeat(starts + count, count)
+    at, step = np.flatnonzero(np.repeat(count <= LEAF, count)), 1
+    while len(at):  # the pairs of all small blocks, by their distance in the block
+        at = at[at + step < end[at]]
+        meet(order[at], order[at + step])
+        step += 1
+    for first, n in zip(starts[count > LEAF].tolist(), count[count > LEAF].tolist()):
+        own = order[first : first + n]
+        _, code, held = np.unique(root[own], return_inverse=True, return_counts=True)
+        # a pair of two roots has an end outside the most frequent one
+        few = 2 * held.max() > n
+        for x in own[code != held.argmax()].tolist() if few else own.tolist():
+            if not hit[x]:
+                meet(np.full(n, x), own)
+            elif few and not hit[own].all():
+                rest = own[~hit[own]]
+                meet(np.full(len(rest), x), rest)
+    return hit
+
+
+def _dealt(members: DataFrame, weight: Column, task_bytes: int, most_rows: int | None = None) -> DataFrame:
+    """``task, bucket, block, key, root, part, inside`` for buckets of more than one component (``root``).
+
+    Units of some ``task_bytes`` stay together: all buckets with the same least component, as they share most members, or one
+    bucket where these are too many (or have more than ``most_rows`` rows). A larger bucket is dealt to parts by hash, and each two
     parts of it are a block of their own, so every pair of the bucket meets somewhere and no task holds more than two parts.
     """
-    spans = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum(F.col("n") * 8 + 200).alias("bytes"))
+    spans = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum(weight).alias("bytes"))
     spans = cut(spans.where("least < most").select("bucket", "least", "bytes"))
     mixed = cut(members.join(spans, "bucket"))
-    units = mixed.select("least", "key", "n").distinct().groupBy("least").agg(F.sum(F.col("n") * 8 + 200).alias("unit_bytes"))
-    units = cut(units)
+    each = mixed.groupBy("least", "key").agg(F.first(weight).alias("weight"), F.count("*").alias("rows"))
+    units = cut(each.groupBy("least").agg(F.sum("weight").alias("unit_bytes"), F.sum("rows").alias("rows")))
     total = units.agg(F.sum("unit_bytes")).first()[0] or 0
     tasks = max(16, math.ceil(total / task_bytes))
-    small = units.where(F.col("unit_bytes") <= task_bytes).select("least", F.lit(True).alias("whole"))
+    fits = F.col("unit_bytes") <= task_bytes
+    small = units.where(fits if most_rows is None else fits & (F.col("rows") <= most_rows)).select("least", F.lit(True).alias("whole"))
     laid = mixed.join(small, "least", "left")
     laid = laid.withColumn("parts", F.when(F.col("whole"), 1).otherwise(F.ceil(F.col("bytes") / task_bytes)).cast("int"))
     laid = laid.withColumn("unit", F.when(F.col("whole"), F.xxhash64("least")).otherwise(F.xxhash64("bucket")))
     laid = laid.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     laid = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     ends = [F.least("part", "other"), F.greatest("part", "other")]
-    laid = cut(laid.select(
-        F.pmod(F.xxhash64("unit", *ends), F.lit(tasks)).alias("task"), F.xxhash64("bucket", *ends).alias("block"), "key", "root",
+    return cut(laid.select(
+        F.pmod(F.xxhash64("unit", *ends), F.lit(tasks)).alias("task"), "bucket", F.xxhash64("bucket", *ends).alias("block"), "key", "root",
         "part", (F.col("part") == F.col("other")).alias("inside"),
     ))
+
+
+def likely_members(members: DataFrame, sketches: DataFrame, percent: int, task_bytes: int = SKETCH_BYTES) -> DataFrame:
+    """The rows of ``bucket, key, root, n`` that may be similar to one of another root in their bucket, by their parities.
+
+    Many sets only share a signature of one or two frequent shingles. They are told apart here, by a fiftieth of their bytes,
+    before whole sets are sent to the tasks that verify.
+    """
+    laid = _dealt(members, F.col("n") / 4 + 200, task_bytes, UNIT_ROWS)
+    wanted = laid.select(F.col("task").alias("at"), F.col("key").alias("name")).distinct()
+    held = wanted.join(sketches.select(F.col("key").alias("name"), "n", "sketch"), "name")
+
+    def choose(rows: pa.Table, held: pa.Table) -> pa.Table:
+        at = {key: i for i, key in enumerate(held.column("name").to_pylist())}
+        member = np.array([at[key] for key in rows.column("key").to_pylist()], np.int64)
+        root = np.unique(np.frombuffer(b"".join(rows.column("root").to_pylist()), "V16"), return_inverse=True)[1]
+        size = held.column("n").to_numpy()
+        number, part, inside = (rows.column(c).to_numpy() for c in ("block", "part", "inside"))
+        hit = with_a_partner(number, member, root, part, inside, size, ParitySketches(held.column("sketch").to_pylist()), percent)
+        chosen = rows.select(["bucket", "key", "root"]).append_column("n", pa.array(size[member], pa.int64()))
+        return chosen.filter(pa.array(hit))
+
+    near = laid.groupBy("task").cogroup(held.groupBy("at")).applyInArrow(choose, "bucket long, key binary, root binary, n long")
+    return near.dropDuplicates(["bucket", "key"])  # a member of a bucket in several blocks
+
+
+def cross_links(members: DataFrame, sets: DataFrame, percent: int, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Links ``a, b`` between components (``root``) of ``bucket, key, root, n`` that join what any similar pair of a bucket joins.
+
+    A task holds whole sets, each once.
+    """
+    laid = _dealt(members, F.col("n") * 8 + 200, task_bytes)
     wanted = laid.select(F.col("task").alias("at"), F.col("key").alias("name")).distinct()
     held = wanted.join(sets.select(F.col("key").alias("name"), "shingles"), "name")
 
@@ -337,7 +462,8 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     """``id_column, n_shingles, component_id``: the smallest id that links reach from each row, itself included.
 
     Rows with equal sets are one set from the start (their links are certain), so copies are never expanded into pairs. Sets
-    that share a signature form buckets. First every set meets the least one of one of its buckets. Buckets that then hold more
+    that share a signature form buckets; a member that by its parities is similar to no other one leaves its bucket, and without
+    buckets no set is built. First every set meets the least one of one of its buckets. Buckets that then hold more
     than one component go to tasks with their sets, which verify pairs of different components and send on one link for each two
     components they join: rows grow with members, not with their pairs. A pair inside a component needs no test, as its outcome
     changes nothing.
@@ -362,15 +488,21 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "do
     found = kept(shared_signatures(docs, size, bands, tasks, text_column), "found")
     # the same members in buckets of several tasks: keep one bucket
     marks = found.groupBy("bucket").agg(F.min("key").alias("least"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("n"))
-    marks = kept(marks.groupBy("least", "mark", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "least", "n"), "marks")
-    members = kept(found.join(marks, "bucket").select("bucket", "key", "least"), "members")
-    sets = kept(_sets_of(docs, members.select("key").distinct(), rows, size, id_column, text_column), "sets")
-
-    pairs = members.where("key != least").groupBy(F.col("key").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
+    marks = kept(marks.groupBy("least", "mark", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "marks")
+    members = found.join(marks, "bucket")
+    sketches = rows.join(found.select("key").distinct(), "key", "left_semi").groupBy("key")
+    sketches = kept(sketches.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    alone = members.join(sketches.select("key", "n"), "key").select("bucket", "key", F.col("key").alias("root"), "n")
+    likely = kept(likely_members(kept(alone, "members"), sketches, percent).select("bucket", "key"), "likely")
+    sets = kept(_sets_of(docs, likely.select("key").distinct(), rows, size, id_column, text_column), "sets")
+
+    leasts = kept(likely.groupBy("bucket").agg(F.min("key").alias("least")), "leasts")
+    pairs = likely.join(leasts, "bucket").where("key != least").groupBy(F.col("key").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
     roots = sets.select(F.col("key").alias("node"), F.col("key").alias("root"), "n")
     roots = kept(_merged(roots, kept(similar(pairs, sets, percent), "first_links")), "first_roots")
-    at = members.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key")
-    links = kept(cross_links(kept(at, "at"), sets, percent), "links")
+    at = kept(likely.join(roots.withColumnRenamed("node", "key"), "key").select("bucket", "key", "root", "n"), "at")
+    at = kept(likely_members(at, sketches, percent), "likely_at")
+    links = kept(cross_links(at, sets, percent), "links")
     roots = kept(_merged(roots, links), "roots").select("node", "root")
 
     named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -128,6 +128,45 @@ def test_cross_links_join_all_similar_pairs_and_stay_few(spark, task_bytes):
     assert jaccard_join.cross_links(members.limit(0), sets, 85).count() == 0
 
 
+def test_parities_never_tell_similar_sets_apart():
+    draw = np.random.default_rng(8)
+    fresh = lambda n: np.unique(draw.integers(0, 2**63, n)).astype(np.uint64)
+    sets = [fresh(n) for n in (1, 2, 5, 63, 64, 65, 66, 120, 129, 700)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9 :], fresh(len(s) // 7)])) for s in sets] + [np.concatenate([s, s[:1] + np.uint64(1)]) for s in sets]
+    packed = jaccard_join.ParitySketches([jaccard_join.parities(s) for s in sets])
+    x, y = (i.reshape(-1) for i in np.indices((len(sets), len(sets))))
+    apart = packed.apart(x, y)
+    assert (apart <= [len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)]).all() and (apart[x == y] == 0).all()
+    assert apart[(x == 9) & (y == 8)] > 0 and max(packed.width) * 8 * 32 <= max(map(len, sets)) * 8 * 2
+    size = np.array([len(s) for s in sets])
+    similar = np.array([[100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t)) for t in sets] for s in sets])
+    for leaf, alike in ((64, 0), (2, 0), (2, 20)):  # pairs of small blocks, large blocks, and one root that most rows have
+        jaccard_join.LEAF, before = leaf, jaccard_join.LEAF
+        root = np.maximum(np.arange(len(sets)) - alike, 0)
+        part, whole = np.zeros(len(sets), np.int64), np.ones(len(sets), bool)
+        try:
+            hit = jaccard_join.with_a_partner(part, np.arange(len(sets)), root, part, whole, size, packed, 80)
+        finally:
+            jaccard_join.LEAF = before
+        assert (hit >= (similar & (root[:, None] != root)).any(axis=1)).all()
+
+
+@pytest.mark.parametrize("task_bytes", [1 << 20, 1000])
+def test_sets_that_only_share_frequent_shingles_leave_their_buckets(spark, task_bytes):
+    """Their whole sets were sent to every task that such a bucket went to."""
+    draw = np.random.default_rng(5)
+    common = draw.integers(0, 2**63, 2)
+    given = [np.unique(np.append(common, draw.integers(0, 2**63, 200))).astype(np.uint64) for _ in range(90)]
+    given.append(np.unique(np.append(given[7][3:], np.uint64(12345))))
+    keys = [i.to_bytes(16, "big") for i in range(len(given))]
+    rows = [(b, k, k, len(s)) for b in range(3) for k, s in zip(keys, given)]
+    members = spark.createDataFrame(rows, "bucket long, key binary, root binary, n long")
+    sketches = [(k, len(s), jaccard_join.parities(s)) for k, s in zip(keys, given)]
+    sketches = spark.createDataFrame(sketches, "key binary, n long, sketch binary")
+    got = sorted((r["bucket"], bytes(r["key"]), r["n"]) for r in jaccard_join.likely_members(members, sketches, 85, task_bytes).collect())
+    assert got == [(b, keys[i], len(given[i])) for b in range(3) for i in (7, 90)]
+
+
 def test_alike_in_steps(monkeypatch):
     monkeypatch.setattr(jaccard_join, "AT_ONCE", 7)
     one = np.arange(20, dtype=np.uint64)
