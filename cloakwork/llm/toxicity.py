@@ -22,6 +22,8 @@ BLOCK = 64  # examples in a block of the index
 REMEMBERED = 20_000  # equal vectors that a task looks up once
 FIRST = 4  # blocks read before others are ruled out
 WHOLE = 4  # one block in so many left: columns are read whole
+TRIED = 8  # vectors in a row whose bounds ruled out too little
+UNBOUND = 63  # vectors that are then read whole before bounds are tried again
 DENSE_BYTES = 24 << 20  # of a table of the columns that most examples hold
 LEAST_DENSE = 16  # examples that hold a column of that table
 TOGETHER = 64  # vectors looked up in the table at once
@@ -142,7 +144,7 @@ class BlockMaxIndex:
         return index
 
     def _lay_out(self, lengths: np.ndarray, column: np.ndarray, weight: np.ndarray, width: int) -> None:
-        self.size = len(lengths)
+        self.size, self.wasted, self.unbound = len(lengths), 0, 0
         self.blocks = max(1, (self.size + BLOCK - 1) // BLOCK)
         row = np.repeat(np.arange(self.size, dtype=np.int32), lengths)
         held = np.bincount(column, minlength=width)
@@ -181,10 +183,34 @@ class BlockMaxIndex:
         kept = number != but
         return number[kept], score[hit[kept]]
 
+    def _read_whole(self, base: np.ndarray, column: np.ndarray, weight: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of all examples with a cosine above 0; each sum runs over the columns in the order of ``_read``."""
+        cuts = list(zip(self.posting[column].tolist(), self.posting[column + 1].tolist()))
+        score = base.reshape(-1)
+        if cuts:
+            part = np.concatenate([self.weight[a:b] for a, b in cuts])
+            part *= np.repeat(weight, [b - a for a, b in cuts])
+            score = np.bincount(np.concatenate([self.row[a:b] for a, b in cuts]), part, len(score)) + score
+        hit = np.flatnonzero(score > 0)
+        hit = hit[hit != but]
+        return hit, score[hit]
+
+    @staticmethod
+    def _best(found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(scores) > k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12
+            found, scores = found[near], scores[near]
+        scores = np.round(scores, 12)
+        best = np.lexsort((found, -scores))[:k]
+        return found[best], np.minimum(scores[best], 1.0)
+
     def _nearest(self, base: np.ndarray, column: np.ndarray, weight: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
         """``base``: by block and example, what the columns of the table give."""
         rest = self.place[column] < 0
         column, weight = column[rest], weight[rest]
+        if self.unbound:
+            self.unbound -= 1
+            return self._best(*self._read_whole(base, column, weight, but), k)
         start = self.start[column]
         each = self.start[column + 1] - start
         ends = np.cumsum(each)
@@ -198,33 +224,32 @@ class BlockMaxIndex:
         early[order[:FIRST]] = True
         own = np.flatnonzero(early[block])
         found, scores = self._read(base, self.first[run[own]], self.length[run[own]], of_run[own], order[:FIRST], but)
+        wide = False
         if len(order) > FIRST:
             floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
             more_blocks = order[FIRST:]
             more_blocks = more_blocks[bound[more_blocks] >= floor - 1e-12]
-            if len(more_blocks):
-                if len(more_blocks) * WHOLE > self.blocks:  # columns in one stretch each are read sooner than their many runs
-                    stretches = self.posting[column], self.posting[column + 1] - self.posting[column], weight
-                else:
-                    late = np.zeros(self.blocks, bool)
-                    late[more_blocks] = True
-                    own = np.flatnonzero(late[block])
-                    stretches = self.first[run[own]], self.length[run[own]], of_run[own]
-                more, theirs = self._read(base, *stretches, more_blocks, but)
+            wide = len(more_blocks) * WHOLE > self.blocks
+            if wide:  # columns in one stretch each are read sooner than their many runs
+                found, scores = self._read_whole(base, column, weight, but)
+            elif len(more_blocks):
+                late = np.zeros(self.blocks, bool)
+                late[more_blocks] = True
+                own = np.flatnonzero(late[block])
+                more, theirs = self._read(base, self.first[run[own]], self.length[run[own]], of_run[own], more_blocks, but)
                 found, scores = np.append(found, more), np.append(scores, theirs)
-        if len(scores) > k:
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12
-            found, scores = found[near], scores[near]
-        scores = np.round(scores, 12)
-        best = np.lexsort((found, -scores))[:k]
-        return found[best], np.minimum(scores[best], 1.0)
+        self.wasted = self.wasted + 1 if wide else 0
+        if self.wasted >= TRIED:
+            self.unbound, self.wasted = UNBOUND, TRIED - 1  # one more vector like these, and the next ones are read whole again
+        return self._best(found, scores, k)
 
     def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """The k examples of largest cosine above 0 (ties: the lower number) of each vector, exactly; ``but`` is left out.
 
         A block's bound is its largest product in the table and the sum of query weight times block maximum over the other
         columns. The FIRST blocks of largest bound give the k-th best so far; after these, only blocks whose bound reaches it are
-        read, and none if there is none.
+        read, and none if there is none. Where bounds rule out too little for TRIED vectors in a row, they cost more than they
+        spare: the next UNBOUND vectors are read whole, with the same sums, then bounds are tried again.
         """
         out = []
         for first in range(0, len(vectors), TOGETHER):

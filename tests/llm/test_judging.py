@@ -142,6 +142,27 @@ def test_nearest_is_exact_over_rare_and_common_columns():
         assert found.tolist() == want and np.allclose(scores, np.minimum(cosine[want], 1))
 
 
+def test_bounds_that_rule_out_nothing_are_left(monkeypatch):
+    """They were computed for every vector; without them the sums are the same, and they are tried again later."""
+    draw = np.random.default_rng(13)
+    vectors = []
+    for _ in range(1200):
+        column = np.sort(draw.choice(3000, 40, replace=False))
+        weight = draw.random(40) + 0.5
+        vectors.append((column, weight / np.sqrt((weight**2).sum())))
+    monkeypatch.setattr(toxicity, "DENSE_BYTES", 0)
+    given, but = vectors[:150], list(range(150))
+    monkeypatch.setattr(toxicity, "TRIED", 10**9)
+    always = toxicity.BlockMaxIndex(vectors, 3000)
+    wanted = always.nearest_of_each(given, 9, but)
+    monkeypatch.setattr(toxicity, "TRIED", 8)
+    index, read = toxicity.BlockMaxIndex(vectors, 3000), []
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "_read", lambda self, *a, f=toxicity.BlockMaxIndex._read: read.append(1) or f(self, *a))
+    for (found, scores), (theirs, same) in zip(index.nearest_of_each(given, 9, but), wanted):
+        assert found.tolist() == theirs.tolist() and scores.tolist() == same.tolist()
+    assert always.unbound == 0 and 8 <= len(read) < 20
+
+
 def test_driver_holds_hashes_and_counts_but_no_index(spark, documents):
     """The driver's share: 20 bytes a term and 5 to 8 a posting; weights come back from counts, of 255 and more too."""
     rows = [(i, " ".join(f"w{i}x{n}" for n in range(200)) + (" bad" * 300 if i % 4 == 0 else " good")) for i in range(40)]
