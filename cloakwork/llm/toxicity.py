@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -20,22 +20,26 @@ PREFIXES = (4, 5, 6)
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»‘’“”…"
 BLOCK = 64  # examples in a block of the index
 REMEMBERED = 20_000  # equal vectors that a task looks up once
-FIRST = 4  # blocks read before others are ruled out
-WHOLE = 4  # one block in so many left: columns are read whole
+FIRST = 4  # blocks read before others are ruled out; where more than these are left, columns are read whole
 TRIED = 8  # vectors in a row whose bounds ruled out too little
 UNBOUND = 63  # vectors that are then read whole before bounds are tried again
-DENSE_BYTES = 24 << 20  # of a table of the columns that most examples hold
+DENSE_BYTES = 16 << 20  # of a table of the columns that most examples hold
 LEAST_DENSE = 16  # examples that hold a column of that table
-TOGETHER = 64  # vectors looked up in the table at once
+TOGETHER = 256  # vectors looked up in the table at once
 SLICE = 2 << 20  # bytes of text whose terms are counted at once
-KNOWN = 300_000  # words whose terms a worker remembers
-_COLUMNS: dict[str, dict[str, tuple[int, ...]]] = {}
+ODD = r"[^\x00-\x{12F}\x{131}-\x{24F}\x{400}-\x{4FF}]"  # characters that Arrow may lower-case otherwise than Python, and more
 
 
-def terms(word: str) -> tuple[str, ...]:
-    """A word without its marks, lower-cased, and its beginnings (many languages vary the ends)."""
-    word = word.lower().strip(EDGES)
-    return (word, *("^" + word[:n] for n in PREFIXES if len(word) > n)) if word else ()
+def terms(words: pa.Array) -> list[pa.Array]:
+    """Words without their marks, lower-cased, and their beginnings (many languages vary the ends); null where there is none."""
+    lowered = pc.utf8_lower(words)
+    odd = pc.match_substring_regex(words, ODD)
+    if pc.any(odd).as_py():
+        lowered = pc.replace_with_mask(lowered, odd, pa.array([w.lower() for w in pc.filter(words, odd).to_pylist()], words.type))
+    word = pc.utf8_trim(lowered, EDGES)
+    size, begun = pc.utf8_length(word), pc.binary_join_element_wise("^", word, "")
+    cut = [pc.utf8_slice_codeunits(pc.if_else(pc.greater(size, n), begun, None), 0, n + 1) for n in PREFIXES]
+    return [pc.if_else(pc.greater(size, 0), word, None), *cut]
 
 
 class Columns:
@@ -55,16 +59,21 @@ class Columns:
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def of(self, asked: list[str]) -> np.ndarray:
-        """The column of each term, -1 for a term that has none."""
-        wanted = np.fromiter(map(xxhash.xxh3_64_intdigest, asked), np.uint64, len(asked))
-        if not len(self.sorted):
-            return np.full(len(asked), -1, np.int32)
+    def of(self, asked: pa.Array) -> np.ndarray:
+        """The column of each term, -1 for null and for a term that has none."""
+        out = np.full(len(asked), -1, np.int32)
+        wanted = B.hashes(pc.drop_null(asked))
+        if not len(self.sorted) or not len(wanted):
+            return out
+        given = np.flatnonzero(asked.is_valid().to_numpy(zero_copy_only=False))
+        rising = np.argsort(wanted)  # neighbours are sought sooner
+        wanted = wanted[rising]
         at = np.minimum(np.searchsorted(self.sorted, wanted), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == wanted, self.order[at], np.int32(-1))
+        out[given[rising]] = np.where(self.sorted[at] == wanted, self.order[at], np.int32(-1))
+        return out
 
     def __getitem__(self, term: str) -> int:
-        column = int(self.of([term])[0])
+        column = int(self.of(pa.array([term], pa.string()))[0])
         if column < 0:
             raise KeyError(term)
         return column
@@ -72,11 +81,10 @@ class Columns:
 
 @dataclass
 class Space:
-    """Terms with their IDF; ``name`` keys what workers remember of it."""
+    """Terms with their IDF."""
 
     columns: Columns
     idf: np.ndarray
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, column, weight) of each text's vector of length 1, sorted by row and column; texts without terms have none."""
@@ -90,110 +98,125 @@ class Space:
         return weight / norm[row]
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, times) of each text's terms, sorted by row and column."""
         distinct, codes, offsets = B.word_codes(texts)
-        if self.name not in _COLUMNS and len(_COLUMNS) > 1:
-            _COLUMNS.clear()  # of earlier jobs in this worker
-        known = _COLUMNS.setdefault(self.name, {})
-        if len(known) > KNOWN:
-            known.clear()
-        names = distinct.to_numpy(zero_copy_only=False).tolist()
-        new = [n for n in names if n not in known]
-        asked = [terms(n) for n in new]
-        ends = np.cumsum([0, *map(len, asked)])
-        column = self.columns.of([t for a in asked for t in a])
-        hit = column >= 0
-        ends, column = np.concatenate([[0], np.cumsum(hit)])[ends].tolist(), column[hit].tolist()
-        for name, a, b in zip(new, ends, ends[1:]):
-            known[name] = tuple(column[a:b])
-        held = [known[n] for n in names]
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        at = np.flatnonzero(sizes[codes]) if len(codes) else np.zeros(0, np.int64)
-        row = np.searchsorted(offsets, at, "right") - 1
-        flat = np.array([c for h in held for c in h], np.int64)
-        first = np.cumsum(sizes) - sizes
-        each = sizes[codes[at]]
-        ends = np.cumsum(each)
-        column = flat[np.repeat(first[codes[at]] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        of_word = np.stack([self.columns.of(t) for t in terms(distinct)], axis=1)
+        at = np.flatnonzero((of_word >= 0).any(axis=1)[codes])
         width = max(1, len(self.columns))
-        key, count = np.unique(np.repeat(row, each) * width + column, return_counts=True)
+        begin = np.repeat(np.arange(len(texts)) * width, np.diff(offsets))[at]
+        column = of_word[codes[at]]
+        key, count = np.unique((begin[:, None] + column)[column >= 0], return_counts=True)
         return key // width, key % width, count
 
 
-def forget(space: Space) -> None:
-    _COLUMNS.pop(space.name, None)
-
-
 class BlockMaxIndex:
-    """Postings by column, cut into blocks of examples, with the largest weight of each column in each block.
+    """Examples in blocks, with the largest weight of each column in each block, and the postings of each column.
 
-    Runs (the postings of one column in one block) are kept by column, only where there are any. The columns that most examples
-    hold, as many as DENSE_BYTES take, stand in a table instead: their part of the cosine is a product for many vectors.
+    A weight is the level of a posting times a factor of its column and one of its example; most levels are 1 (terms that stand
+    once in their text), so most postings are the number of an example alone. The columns that most examples hold, as many as
+    DENSE_BYTES take, stand in a table instead: their part of the cosine is a product for many vectors. Products in
+    the table are near ones (32-bit floats); for examples that may be among the best they are summed in double precision.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int):
         lengths = np.array([len(c) for c, _ in vectors], np.int32)
         column = np.concatenate([c for c, _ in vectors]) if vectors else np.zeros(0, np.int32)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        self._lay_out(lengths, column.astype(np.int32), weight, width)
+        levels, level = np.unique(np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0), return_inverse=True)
+        self._lay_out(lengths, column.astype(np.int32), level.astype(np.int32), levels, np.ones(width), np.ones(len(vectors)))
 
     @classmethod
-    def of(cls, lengths: np.ndarray, column: np.ndarray, weight: np.ndarray, width: int) -> BlockMaxIndex:
-        """The index of vectors that stand one behind the other."""
+    def of(cls, lengths: np.ndarray, column: np.ndarray, level: np.ndarray, levels: np.ndarray, of_column: np.ndarray, of_example: np.ndarray) -> BlockMaxIndex:
+        """The index of vectors that stand one behind the other; ``level`` numbers ``levels``."""
         index = cls.__new__(cls)
-        index._lay_out(lengths, column, weight, width)
+        index._lay_out(lengths, column, level, levels, of_column, of_example)
         return index
 
-    def _lay_out(self, lengths: np.ndarray, column: np.ndarray, weight: np.ndarray, width: int) -> None:
-        self.size, self.wasted, self.unbound = len(lengths), 0, 0
+    def _lay_out(self, lengths: np.ndarray, column: np.ndarray, level: np.ndarray, levels: np.ndarray, of_column: np.ndarray, of_example: np.ndarray) -> None:
+        self.size, self.wasted, self.unbound, width = len(lengths), 0, 0, len(of_column)
         self.blocks = max(1, (self.size + BLOCK - 1) // BLOCK)
-        row = np.repeat(np.arange(self.size, dtype=np.int32), lengths)
+        self.column, self.level, self.levels, self.of_column = column, level, np.append(levels, 0.0), of_column
+        self.of_example = np.append(of_example, np.zeros(self.blocks * BLOCK - self.size))
+        self.ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        self.asked, self.marked = np.zeros(width), np.zeros(width, bool)  # by column, what a vector asks for while it is looked up
         held = np.bincount(column, minlength=width)
-        common = np.argsort(-held, kind="stable")[: DENSE_BYTES // (8 * self.blocks * BLOCK)]
+        common = np.argsort(-held, kind="stable")[: DENSE_BYTES // (4 * self.blocks * BLOCK)]
         common = common[held[common] >= LEAST_DENSE]
         self.place = np.full(width, -1, np.int32)  # of a column in the table
         self.place[common] = np.arange(len(common))
+        self.margin = 2 * (len(common) + 8) * 2.0**-24  # twice what 32-bit sums of products of vectors of length 1 can be off by
+        row = np.repeat(np.arange(self.size, dtype=np.min_scalar_type(self.blocks * BLOCK)), lengths)
         at = self.place[column]
-        self.table = np.zeros((len(common), self.blocks * BLOCK))
-        self.table[at[at >= 0], row[at >= 0]] = weight[at >= 0]
+        here = np.flatnonzero(at >= 0)
+        self.table = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.table[at[here], row[here]] = levels[level[here]] * self.of_example[row[here]]
+        self.in_table = np.full(self.table.shape, len(levels), np.min_scalar_type(len(levels)))  # levels; the last is that of no posting
+        self.in_table[at[here], row[here]] = level[here]
         rest = np.flatnonzero(at < 0)
-        del at
-        rest = rest[np.argsort(column[rest], kind="stable")]  # rows rise already
-        self.row, self.weight, column = row[rest], weight[rest], column[rest]
-        del row, weight, rest
-        runs = column.astype(np.int64) * self.blocks + self.row // BLOCK
-        first = np.flatnonzero(np.diff(runs, prepend=-1))
-        runs, length = runs[first], np.diff(first, append=len(runs))
-        self.first, self.length, self.block = first.astype(np.int32), length.astype(np.int32), (runs % self.blocks).astype(np.int32)
-        self.limit = np.maximum.reduceat(self.weight, first) if len(runs) else np.zeros(0)
-        self.start = np.searchsorted(runs // self.blocks, np.arange(width + 1)).astype(np.int32)  # runs of each column
-        self.posting = np.append(self.first, np.int32(len(self.row)))[self.start]  # postings of each column
-
-    def _read(self, base: np.ndarray, first: np.ndarray, each: np.ndarray, weight: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of all examples in the blocks with a cosine above 0; the stretches of postings from ``first`` on hold
-        all that lies in these blocks."""
+        del at, here
+        rest = rest[np.argsort(column[rest], kind="stable")].astype(np.int32)  # rows rise already
+        row, level, column = row[rest], level[rest], column[rest]
+        del rest
+        once = levels[level] == 1
+        self.once, self.once_start = row[once], self._starts(column[once], width)
+        self.row, self.row_start, self.times = row[~once], self._starts(column[~once], width), levels[level[~once]]
+        first = np.flatnonzero((np.diff(column, prepend=-1) != 0) | (np.diff(row.astype(np.int32) // BLOCK, prepend=-1) != 0))
+        limit = (levels[level] * self.of_example[row]).astype(np.float32)
+        self.limit = np.nextafter(np.maximum.reduceat(limit, first), np.float32(np.inf)) if len(first) else limit
+        self.block = (row[first] // BLOCK).astype(np.min_scalar_type(self.blocks))  # of each run, the postings of one column in one block
+        self.start = self._starts(column[first], width)
+
+    @staticmethod
+    def _starts(column: np.ndarray, width: int) -> np.ndarray:
+        """Where each column begins among sorted ones, and the end."""
+        return np.concatenate([[0], np.cumsum(np.bincount(column, minlength=width))]).astype(np.int32)
+
+    @staticmethod
+    def _stretches(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length of each stretch, all positions in the stretches)."""
+        each = (stop - start).astype(np.int64)
         ends = np.cumsum(each)
-        posting = np.repeat(first - (ends - each), each)
-        posting += np.arange(len(posting))
-        part = self.weight[posting]
-        part *= np.repeat(weight, each)
-        score = np.bincount(self.row[posting], part, self.blocks * BLOCK).reshape(base.shape)[blocks] + base[blocks]
-        score = score.reshape(-1)
-        hit = np.flatnonzero(score > 0)
-        number = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
-        kept = number != but
-        return number[kept], score[hit[kept]]
-
-    def _read_whole(self, base: np.ndarray, column: np.ndarray, weight: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of all examples with a cosine above 0; each sum runs over the columns in the order of ``_read``."""
-        cuts = list(zip(self.posting[column].tolist(), self.posting[column + 1].tolist()))
-        score = base.reshape(-1)
-        if cuts:
-            part = np.concatenate([self.weight[a:b] for a, b in cuts])
-            part *= np.repeat(weight, [b - a for a, b in cuts])
-            score = np.bincount(np.concatenate([self.row[a:b] for a, b in cuts]), part, len(score)) + score
-        hit = np.flatnonzero(score > 0)
-        hit = hit[hit != but]
-        return hit, score[hit]
+        position = np.repeat(start - (ends - each), each)
+        position += np.arange(len(position))
+        return each, position
+
+    def _exactly(self, found: np.ndarray) -> np.ndarray:
+        """Cosines of these examples with what is asked."""
+        if not len(found):
+            return np.zeros(0)
+        cuts = list(zip(self.ends[found].tolist(), self.ends[found + 1].tolist()))
+        ends = np.cumsum([b - a for a, b in cuts])
+        column = np.concatenate([self.column[a:b] for a, b in cuts])
+        shared = np.flatnonzero(self.marked[column])
+        level = np.concatenate([self.level[a:b] for a, b in cuts])[shared]
+        each = np.diff(np.searchsorted(shared, ends), prepend=0)
+        part = self.asked[column[shared]] * self.levels[level]
+        return np.bincount(np.repeat(np.arange(len(found)), each), part, len(found)) * self.of_example[found]
+
+    def _read(self, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of all examples in the blocks with a cosine above 0."""
+        found = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+        found = found[(found < self.size) & (found != but)]
+        scores = self._exactly(found)
+        return found[scores > 0], scores[scores > 0]
+
+    def _read_whole(self, base: np.ndarray, column: np.ndarray, asked: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of all examples with a cosine above 0 that may be among the best k."""
+        at = self.place[column]
+        rest = at < 0
+        rare, of_rare, at = column[rest], asked[rest], at[~rest]
+        each, position = self._stretches(self.once_start[rare], self.once_start[rare + 1])
+        score = np.bincount(self.once[position], np.repeat(of_rare, each), len(base))
+        each, position = self._stretches(self.row_start[rare], self.row_start[rare + 1])
+        part = np.repeat(of_rare, each)
+        part *= self.times[position]
+        score = (score + np.bincount(self.row[position], part, len(base))) * self.of_example  # counts of nothing are whole numbers
+        near = score + base
+        if but >= 0:
+            near[but] = 0
+        least = np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else 0.0
+        found = np.flatnonzero((near > 0) & (near >= least - self.margin))
+        exact = asked[~rest] @ self.levels[self.in_table[at[:, None], found]]
+        return found, score[found] + exact * self.of_example[found]
 
     @staticmethod
     def _best(found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,39 +227,30 @@ class BlockMaxIndex:
         best = np.lexsort((found, -scores))[:k]
         return found[best], np.minimum(scores[best], 1.0)
 
-    def _nearest(self, base: np.ndarray, column: np.ndarray, weight: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """``base``: by block and example, what the columns of the table give."""
-        rest = self.place[column] < 0
-        column, weight = column[rest], weight[rest]
+    def _nearest(self, base: np.ndarray, column: np.ndarray, asked: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """``base``: by example, what the columns of the table give."""
         if self.unbound:
             self.unbound -= 1
-            return self._best(*self._read_whole(base, column, weight, but), k)
-        start = self.start[column]
-        each = self.start[column + 1] - start
-        ends = np.cumsum(each)
-        run = np.repeat(start - (ends - each), each)
-        run += np.arange(len(run))
-        of_run, block = np.repeat(weight, each), self.block[run]
-        bound = base.max(axis=1) + np.bincount(block, of_run * self.limit[run], self.blocks)
+            return self._best(*self._read_whole(base, column, asked, k, but), k)
+        rare = column[self.place[column] < 0]
+        each, run = self._stretches(self.start[rare], self.start[rare + 1])
+        part = np.repeat(self.asked[rare], each)
+        part *= self.limit[run]
+        bound = base.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(self.block[run], part, self.blocks)
+        bound = np.where(bound > 0, bound + self.margin, 0.0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        early = np.zeros(self.blocks, bool)
-        early[order[:FIRST]] = True
-        own = np.flatnonzero(early[block])
-        found, scores = self._read(base, self.first[run[own]], self.length[run[own]], of_run[own], order[:FIRST], but)
+        found, scores = self._read(order[:FIRST], but)
         wide = False
         if len(order) > FIRST:
             floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
             more_blocks = order[FIRST:]
             more_blocks = more_blocks[bound[more_blocks] >= floor - 1e-12]
-            wide = len(more_blocks) * WHOLE > self.blocks
-            if wide:  # columns in one stretch each are read sooner than their many runs
-                found, scores = self._read_whole(base, column, weight, but)
+            wide = len(more_blocks) > FIRST
+            if wide:  # columns are read sooner than the examples of many blocks
+                found, scores = self._read_whole(base, column, asked, k, but)
             elif len(more_blocks):
-                late = np.zeros(self.blocks, bool)
-                late[more_blocks] = True
-                own = np.flatnonzero(late[block])
-                more, theirs = self._read(base, self.first[run[own]], self.length[run[own]], of_run[own], more_blocks, but)
+                more, theirs = self._read(more_blocks, but)
                 found, scores = np.append(found, more), np.append(scores, theirs)
         self.wasted = self.wasted + 1 if wide else 0
         if self.wasted >= TRIED:
@@ -244,7 +258,7 @@ class BlockMaxIndex:
         return self._best(found, scores, k)
 
     def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The k examples of largest cosine above 0 (ties: the lower number) of each vector, exactly; ``but`` is left out.
+        """The k examples of largest cosine above 0 (ties: the lower number) of each vector of length 1, exactly; ``but`` is left out.
 
         A block's bound is its largest product in the table and the sum of query weight times block maximum over the other
         columns. The FIRST blocks of largest bound give the k-th best so far; after these, only blocks whose bound reaches it are
@@ -253,13 +267,16 @@ class BlockMaxIndex:
         """
         out = []
         for first in range(0, len(vectors), TOGETHER):
-            part = vectors[first : first + TOGETHER]
-            asked = np.zeros((len(part), len(self.table)))
-            for i, (column, weight) in enumerate(part):
+            part = [(column, weight * self.of_column[column]) for column, weight in vectors[first : first + TOGETHER]]
+            common = np.zeros((len(part), len(self.table)), np.float32)
+            for i, (column, asked) in enumerate(part):
                 at = self.place[column]
-                asked[i, at[at >= 0]] = weight[at >= 0]
-            base = (asked @ self.table).reshape(len(part), self.blocks, BLOCK)
-            out += [self._nearest(base[i], c, w, k, but[first + i] if but else -1) for i, (c, w) in enumerate(part)]
+                common[i, at[at >= 0]] = asked[at >= 0]
+            base = common @ self.table
+            for i, (column, asked) in enumerate(part):
+                self.asked[column], self.marked[column] = asked, True
+                out.append(self._nearest(base[i], column, asked, k, but[first + i] if but else -1))
+                self.marked[column] = False
         return out
 
     def nearest(self, column: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +317,22 @@ class Judge:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex.of(self.examples.lengths, self.examples.column, self.weights, len(self.space.columns))
+        of, scale = self.examples, np.ones(len(self.examples.lengths))
+        ends = np.concatenate([[0], np.cumsum(of.lengths, dtype=np.int64)])
+        seen = np.flatnonzero(np.bincount(of.count))
+        levels, number = 1 + np.log(seen), np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.min_scalar_type(len(seen)))
+        number[seen] = np.arange(len(seen))
+        level = number[of.count]
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            if b > a:
+                scale[i] = 1 / np.linalg.norm(levels[level[a:b]] * self.space.idf[of.column[a:b]])
+        return BlockMaxIndex.of(of.lengths, of.column, level, levels, self.space.idf, scale)
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(column, weight) of an example's vector."""
+        part = slice(self.index.ends[i], self.index.ends[i + 1])
+        column, count = self.examples.column[part], self.examples.count[part]
+        return column, self.space.weights(np.zeros(len(column), np.int64), column, count, 1)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = self.class_weight[found] * cosine / (1.0 + 1e-3 - cosine)  # near examples count more
@@ -347,15 +379,13 @@ def _terms_of(texts: DataFrame) -> Columns:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for part in B.slices(parts, 0):
-            for word in B.word_codes(part.column(0))[0].to_pylist():
-                seen.update(terms(word))
+            for found in terms(B.word_codes(part.column(0))[0]):
+                seen.update(pc.unique(pc.drop_null(found)).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["term"])
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            held = part.column(0).to_pylist()
-            value = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held))
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], ["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(B.hashes(part.column(0)).view(np.int64))], ["hash"])
 
     found = texts.mapInArrow(run, "term string").distinct().orderBy("term").mapInArrow(hashed, "hash long").toArrow()
     return Columns(found.column(0).to_numpy().view(np.uint64))
@@ -414,7 +444,7 @@ def learn(
     sent = context.broadcast(bare)
     everything, seen = _texts_that_hold(texts.select("_text"), sent)
     sent.destroy()
-    space = Space(columns, np.log((1 + everything) / (1 + seen)) + 1, bare.name)
+    space = Space(columns, np.log((1 + everything) / (1 + seen)) + 1)
     del bare, seen
     sent = context.broadcast(space)
 
@@ -466,8 +496,7 @@ def _votes_of_examples(spark: SparkSession, sent: Broadcast[Judge], examples: in
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             mine, asked = sent.value, part.column(0).to_numpy()
-            ends = np.concatenate([[0], np.cumsum(mine.examples.lengths, dtype=np.int64)])
-            pairs = [(mine.examples.column[ends[i] : ends[i + 1]], mine.weights[ends[i] : ends[i + 1]]) for i in asked.tolist()]
+            pairs = [mine.example(i) for i in asked.tolist()]
             votes = [mine.vote(*near) if len(near[0]) else np.nan for near in mine.index.nearest_of_each(pairs, mine.k, asked.tolist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(votes, float))], ["example", "vote"])
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from texts import HARD
 
+from cloakwork.llm import batches as B
 from cloakwork.llm import license_scan, quality_rules, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,6 +188,65 @@ def test_rare_words_of_examples_count(spark, documents):
     assert got[2][0]["example"] == "5" and not got[2][0]["toxic"]
 
 
+def plain_terms(word):
+    word = word.lower().strip(toxicity.EDGES)
+    return [word, *("^" + word[:n] if len(word) > n else None for n in toxicity.PREFIXES)] if word else [None] * 4
+
+
+def test_terms_of_all_words_at_once_as_word_by_word():
+    """They were made word by word in Python, and a worker remembered 300,000 of them."""
+    every = [chr(c) for c in range(33, 0x3000) if not chr(c).isspace()] + ["\U00010400", "\U0001f600"]
+    words = [f"Ab{c}dEfg" for c in every] + [*every, "İΣΑΣ", "ΟΔΟΣ", "«Straße»", "...", "\"(don't)!", "x" * 40_000, "É" * 7]
+    for some in (words, ["Plain", "words,"], []):
+        got = zip(*(t.to_pylist() for t in toxicity.terms(pa.array(some, pa.string()))))
+        assert [list(g) for g in got] == [plain_terms(w) for w in some]
+
+
+def test_hashes_tell_strings_apart_wherever_they_lie():
+    made = ["", "a", "a\0", "\0a", "\0", "\0" * 8, "\0" * 9, *("abcdefgh" * n + "x" * m for n in range(4) for m in range(8)), "é" * 300]
+    strings = pa.array(made, pa.string())
+    whole = B.hashes(strings)
+    assert len(set(whole.tolist())) == len(set(made))
+    assert B.hashes(strings.slice(3, 20)).tolist() == whole[3:23].tolist()
+    assert [int(B.hashes(pa.array([x]))[0]) for x in made] == whole.tolist()
+    assert len(B.hashes(pa.array([], pa.string()))) == 0
+
+
+def test_index_takes_few_bytes_for_a_posting(spark, documents, monkeypatch):
+    """They were 12 for each and 20 for each run, and 8 more for the weights of the examples."""
+    monkeypatch.setattr(toxicity, "DENSE_BYTES", 0)
+    draw = random.Random(7)
+    rows = [(i, " ".join(f"{draw.randrange(4000):04d}" for _ in range(300)) + (" bad" if i % 2 else " good")) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    judge = toxicity.learn(documents(rows), labels)
+    index, width = judge.index, len(judge.space.columns)
+    held = [v for v in vars(index).values() if isinstance(v, np.ndarray)]
+    postings = int(judge.examples.lengths.sum())
+    assert sum(v.nbytes for v in held if v.ndim == 1 and len(v) > 2 * width) <= 10 * postings > 0
+    column, weight = judge.example(5)
+    assert np.allclose(weight, judge.weights[index.ends[5] : index.ends[6]], rtol=1e-12) and index.nearest(column, weight, 1)[0].tolist() == [5]
+
+
+def test_nearest_beyond_the_precision_of_the_table():
+    """Cosines that 32-bit sums can't tell apart still come in their order, and copies tie by number."""
+    base = np.linspace(1, 2, 40)
+    vectors = []
+    for i in range(300):
+        weight = base.copy()
+        weight[0] += ((i * 7) % 100) * 1e-7
+        vectors.append((np.arange(40), weight / np.linalg.norm(weight)))
+    index = toxicity.BlockMaxIndex(vectors, 40)
+    assert len(index.table) == 40
+    asked = np.zeros(40)
+    asked[0] = 1.0
+    asked = base * 0.1 + asked
+    asked /= np.linalg.norm(asked)
+    cosine = np.round([asked @ w for _, w in vectors], 12)
+    want = sorted(range(300), key=lambda j: (-cosine[j], j))[:15]
+    for found, scores in index.nearest_of_each([(np.arange(40), asked)] * 30, 15):
+        assert found.tolist() == want and np.allclose(scores, cosine[want], rtol=0, atol=2e-12)
+
+
 def test_isotonic_levels_rise():
     votes, toxic = np.array([0.0, 0.1, 0.1, 0.4, 0.5, 0.9]), np.array([0, 1, 0, 0, 1, 1.0])
     steps, levels = toxicity.rising_steps(votes, toxic, np.ones(6))
