@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 8 << 20  # text handled at once in a task; one longer text is a slice of its own
 CACHE_ENTRIES = 1_000_000  # pieces a Python worker remembers before it starts anew
 
+_REMEMBERED: dict[object, object] = {}
+
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # the Unicode property, inside a class
 _PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _SPACE_PAIRS = [chr(c) + " " for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -34,6 +36,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             start = stop
 
 
+def in_worker(key: object, make: Callable[[], object]) -> object:
+    """What this worker remembers under ``key``, from task to task; what it remembered of other work is dropped."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """Drop what this worker remembers of earlier work: workers outlive jobs, and the next one needs the memory."""
+    _REMEMBERED.clear()
+
+
 def codes_of(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct strings, their numbers in order of appearance in the lists, offset of each list) of a fresh list array."""
     coded = lists.flatten().dictionary_encode()

@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame
 
 from cloakwork.llm import batches as B
 
-_ENCODERS: dict[int, "PieceEncoder"] = {}
-
 
 class PieceEncoder(B.PieceIds):
     """Ids by the library, which encodes each new piece of text once per worker."""
@@ -54,8 +52,7 @@ class PieceEncoder(B.PieceIds):
 
 def encoder_in_worker(definition: Broadcast) -> PieceEncoder:
     """Found by its module, so what it has learned outlives a task."""
-    key = hash(definition.value)
-    return _ENCODERS.get(key) or _ENCODERS.setdefault(key, PieceEncoder(definition.value))
+    return B.in_worker(("packing", hash(definition.value)), lambda: PieceEncoder(definition.value))
 
 
 @dataclass

@@ -156,13 +156,14 @@ class BlockMaxIndex:
         rest = rest[np.argsort(column[rest], kind="stable")].astype(np.int32)  # rows rise already
         row, level, column = row[rest], level[rest], column[rest]
         del rest
-        once = levels[level] == 1
+        once = (levels == 1)[level]
         self.once, self.once_start = row[once], self._starts(column[once], width)
         self.row, self.row_start, self.times = row[~once], self._starts(column[~once], width), levels[level[~once]]
-        first = np.flatnonzero((np.diff(column, prepend=-1) != 0) | (np.diff(row.astype(np.int32) // BLOCK, prepend=-1) != 0))
-        limit = (levels[level] * self.of_example[row]).astype(np.float32)
-        self.limit = np.nextafter(np.maximum.reduceat(limit, first), np.float32(np.inf)) if len(first) else limit
-        self.block = (row[first] // BLOCK).astype(np.min_scalar_type(self.blocks))  # of each run, the postings of one column in one block
+        block = (row // BLOCK).astype(np.min_scalar_type(self.blocks))
+        first = np.flatnonzero(np.append(True, (column[1:] != column[:-1]) | (block[1:] != block[:-1]))[: len(column)])
+        limit = levels.astype(np.float32)[level] * self.of_example.astype(np.float32)[row]
+        self.limit = np.maximum.reduceat(limit, first) * np.float32(1 + 2**-20) if len(first) else limit  # no rounding is below
+        self.block = block[first]  # of each run, the postings of one column in one block
         self.start = self._starts(column[first], width)
 
     @staticmethod
@@ -377,8 +378,9 @@ def _terms_of(texts: DataFrame) -> Columns:
     """All terms of a column of texts, numbered in their order; only hashes come to the driver."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.forget()
         seen: set[str] = set()
-        for part in B.slices(parts, 0):
+        for part in B.slices(parts, 0, SLICE):
             for found in terms(B.word_codes(part.column(0))[0]):
                 seen.update(pc.unique(pc.drop_null(found)).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["term"])
@@ -395,6 +397,7 @@ def _texts_that_hold(texts: DataFrame, sent: Broadcast[Space]) -> tuple[int, np.
     """(texts, texts that hold each term), summed in each task."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.forget()
         space = sent.value
         seen, total = np.zeros(len(space.columns), np.int64), 0
         for part in B.slices(parts, 0, SLICE):
@@ -519,6 +522,7 @@ def score(docs: DataFrame, judge: Judge, text_column: str = "text", into: str =
 
     @F.arrow_udf("score double, evidence array<struct<example string, cosine double, toxic boolean>>")
     def toxicity(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        B.forget()
         mine = sent.value
         mine.steps, mine.levels, mine.silent = fit
         names = np.array(mine.ids, object)

@@ -1,16 +1,19 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 from texts import HARD
 
 from cloakwork.llm import batches as B
-from cloakwork.llm import license_scan, quality_rules, toxicity
+from cloakwork.llm import license_scan, packing, quality_rules, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LICENCES = [
@@ -60,6 +63,33 @@ def test_quality_counts_by_hand(spark, documents):
         assert got[i]["_base_failed"] == failed and got[i]["_kept"] == (not failed)
 
 
+def test_quality_counts_take_little_memory():
+    """Slices of 8 MB took some 200 MB of running sums in each worker."""
+    text = " ".join(f"word{i % 977} (x)" for i in range(80))
+    texts = pa.array([text] * (12_000_000 // len(text)), pa.string())
+    quality_rules.counted(texts.slice(0, 10))
+    tracemalloc.start()
+    got = quality_rules.counted(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(texts) and len(set(got.field("n_words").to_pylist())) == 1 and got[0]["n_words"].as_py() == 160
+    assert most < 100e6
+
+
+def test_workers_drop_what_earlier_work_left():
+    """Tokenizer and pieces of the packing stage stayed in workers for good, beside the examples of the next stage."""
+    made = []
+    make = lambda: made.append(1) or [0] * 10
+    first = B.in_worker("a", make)
+    assert B.in_worker("a", make) is first and len(made) == 1
+    B.in_worker("b", make)
+    assert list(B._REMEMBERED) == ["b"]
+    packing.encoder_in_worker(SimpleNamespace(value=open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()))
+    assert len(B._REMEMBERED) == 1
+    B.forget()
+    assert not B._REMEMBERED and not any(isinstance(v, packing.PieceEncoder) for v in vars(packing).values())
+
+
 def test_rules_are_learned_and_equal_their_spark_form(spark, documents):
     draw = np.random.default_rng(1)
     values = {name: draw.random(3000) for name in quality_rules.shares()}
