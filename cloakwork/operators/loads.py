@@ -169,7 +169,9 @@ def write_with_digest(df: DataFrame, path: str, form: str, **options) -> dict[st
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> dict[str, object]:
-    return write_with_digest(df, path, "csv", header=True, sep=sep, quote='"', escape='"')
+    """Values keep white space at their ends, which Spark's writer drops by default."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return write_with_digest(df, path, "csv", header=True, sep=sep, quote='"', escape='"', **kept)
 
 
 def write_json(df: DataFrame, path: str) -> dict[str, object]:

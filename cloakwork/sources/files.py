@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,15 @@ from pyspark.sql import types as T
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, multi_line: bool = False) -> DataFrame:
-    """Text columns of a CSV or TSV file; values are not trimmed, blank lines are skipped."""
-    return spark.read.options(
+    """Text columns of a CSV or TSV file; values are not trimmed, blank lines are skipped; nothing is null, two quotes are empty text."""
+    empty = uuid.uuid4().hex  # Spark reads two quotes as null too, unless they stand for a text of their own; no file can hold this one
+    read = spark.read.options(
         sep=sep, header=header, quote='"', escape='"', multiLine=multi_line, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        emptyValue=empty,
     ).csv(path)
+    named = read.toDF(*[f"_c{i}" if c.startswith(empty) else c for i, c in enumerate(read.columns)])
+    cells = {n: F.col("`" + n.replace("`", "``") + "`") for n in named.columns}
+    return named.select(*[F.when(c == empty, "").otherwise(c).alias(n) for n, c in cells.items()])
 
 
 def nested_as_text(df: DataFrame) -> DataFrame:
