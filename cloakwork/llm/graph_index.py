@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 FULL_BATCH = 512  # vectors inserted or searched at once
+EDGES = 1 << 17  # hits whose neighbours are looked at together
 
 
 class SmallWorld:
@@ -169,15 +170,17 @@ class SmallWorld:
         key = np.unique(number.astype(np.int64) * size + row)
         edge = key
         while len(edge):
-            each = (first[1:] - first[:-1])[edge % size]
-            ends = np.cumsum(each)
-            more = linked[np.repeat(first[edge % size] - (ends - each), each) + np.arange(ends[-1])]
-            reach = np.setdiff1d(np.unique(np.repeat(edge // size, each) * size + more), key, assume_unique=True)
             hits = []
-            for block in range(0, len(reach), 1 << 18):
-                part = reach[block : block + (1 << 18)]
-                fit = np.einsum("nd,nd->n", query[part // size], self.vectors[part % size])
-                hits.append(part[fit >= least])
-            edge = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+            for block in range(0, len(edge), EDGES):  # a large group has tens of neighbours for each of its hits
+                near = edge[block : block + EDGES]
+                each = (first[1:] - first[:-1])[near % size]
+                ends = np.cumsum(each)
+                more = linked[np.repeat(first[near % size] - (ends - each), each) + np.arange(ends[-1])]
+                reach = np.setdiff1d(np.unique(np.repeat(near // size, each) * size + more), key, assume_unique=True)
+                for start in range(0, len(reach), 1 << 18):
+                    part = reach[start : start + (1 << 18)]
+                    fit = np.einsum("nd,nd->n", query[part // size], self.vectors[part % size])
+                    hits.append(part[fit >= least])
+            edge = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
             key = np.union1d(key, edge)
         return key // size, key % size
