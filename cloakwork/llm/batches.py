@@ -39,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
 def in_worker(key: object, make: Callable[[], object]) -> object:
     """What this worker remembers under ``key``, from task to task; what it remembered of other work is dropped."""
     if key not in _REMEMBERED:
-        _REMEMBERED.clear()
+        forget()
         _REMEMBERED[key] = make()
     return _REMEMBERED[key]
 
@@ -47,6 +47,7 @@ def in_worker(key: object, make: Callable[[], object]) -> object:
 def forget() -> None:
     """Drop what this worker remembers of earlier work: workers outlive jobs, and the next one needs the memory."""
     _REMEMBERED.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def codes_of(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -125,13 +125,14 @@ def cut_to_fill(pieces: list[Piece], limits: tuple[int, int, int]) -> list[list[
 def pack(
     docs: DataFrame, vocabulary: str, max_tokens: int = 1024, max_segments: int = 64, max_loss_tokens: int | None = None,
     end_id: int = 0, window: int = 8192, slack: float = 0.01, id_column: str = "doc_id", text_column: str = "text",
+    slice_bytes: int = B.SLICE_BYTES,
 ) -> DataFrame:
     """Pieces of every document with their sequence and place in it; no id is lost, repeated or padded inside a sequence.
 
     A document's ids, with ``end_id`` behind them, are cut into pieces that fill a sequence alone and one remainder. Each task
     packs remainders in windows by the dot-product heuristic; what stands in sequences with more than ``slack`` of room goes
     on to the next window, and at the end of the task is cut to fill. So a task leaves one sequence with room or a few, no
-    shuffle is needed, and memory is one window. A sequence holds at most ``max_tokens`` tokens, ``max_segments`` pieces and
+    shuffle is needed, and memory is one window and ``slice_bytes`` of text at once. A sequence holds at most ``max_tokens`` tokens, ``max_segments`` pieces and
     ``max_loss_tokens`` tokens that bear a loss (default: no limit of its own).
     Null and empty texts are the end id alone; repeated rows and null ids are packed as documents of their own; an empty
     table gives no rows; other columns are ignored, whatever their names. ``sequence_id`` holds the task's number and a count.
@@ -177,7 +178,7 @@ def pack(
             waiting = rest
             return full
 
-        for part in B.slices(parts, 1):
+        for part in B.slices(parts, 1, slice_bytes):
             key_type = part.column(0).type
             bins = []
             ids_of, offsets = encoder.encode(part.column(1))

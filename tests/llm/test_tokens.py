@@ -8,7 +8,7 @@ import pytest
 from texts import HARD
 from tokenizers import Tokenizer
 
-from cloakwork.llm import bpe, packing, token_counts
+from cloakwork.llm import bpe, packing, stages, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -106,3 +106,16 @@ def test_digest_contract(documents):
 
     row = bpe.encode(documents([(1, "hello world")]), BYTE).select(F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(",".join(map(str, Tokenizer.from_file(BYTE).encode("hello world").ids)).encode()).hexdigest()
+
+
+def test_packing_encodes_as_much_at_once_as_it_is_told(documents, monkeypatch):
+    """In the pipeline, slices of 8 MB beside what earlier stages left took an executor beyond its memory."""
+    frame = documents([(i, f"word{i} " * 200) for i in range(60)]).coalesce(1)
+    want = packing.pack(frame, BYTE).select("doc_id", "start", "length", "ids_crc32").collect()
+    got = packing.pack(frame, BYTE, slice_bytes=4096).select("doc_id", "start", "length", "ids_crc32").collect()
+    spans = lambda rows: {d: sum(r["length"] for r in rows if r["doc_id"] == d) for d in range(60)}
+    assert spans(got) == spans(want)
+    seen = []
+    monkeypatch.setattr(packing, "pack", lambda docs, vocabulary, **options: seen.append(options))
+    stages.pack_rest(frame.sparkSession, frame, "")
+    assert seen[0]["slice_bytes"] <= 1 << 20
